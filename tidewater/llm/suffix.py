@@ -90,8 +90,8 @@ def pieces(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     return start, stop, g[at], mix(one.of(start, stop) ^ shape), two.of(start, stop) + shape
 
 
-def suffix_order(t: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array (suffixes that share `depth` bytes in any order) and its inverse, by prefix doubling of what is left.
+def suffix_order(t: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix array (suffixes that share `depth` bytes in any order), by prefix doubling of what is left.
 
     t: values 1..256, 0 at the ends, which all differ.
     """
@@ -104,6 +104,9 @@ def suffix_order(t: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarra
     near = to_end < 7
     key[near] &= ~((np.int64(1) << (9 * (6 - to_end[near]))) - 1)
     sa = np.argsort(key)
+    # equal ends, and what stands before them, follow the order of the texts
+    slots = np.flatnonzero(near[sa])
+    sa[slots] = sa[slots][np.lexsort((sa[slots], key[sa[slots]]))]
     key = key[sa]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | near[sa[1:]]))
     rank = np.empty(n, np.int64)
@@ -124,9 +127,7 @@ def suffix_order(t: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarra
         new[slots] = first
         rank[at] = slots[np.flatnonzero(first)[np.cumsum(first) - 1]]
         size *= 2
-    isa = np.empty(n, np.int64)
-    isa[sa] = np.arange(n)
-    return sa, isa
+    return sa
 
 
 def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,12 +144,14 @@ def repeats(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     t = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int32) + 1
     t[ends] = 0
     n = len(t)
-    sa, isa = suffix_order(t, ends, length)
+    sa = suffix_order(t, ends, length)
     left = t[sa - 1]  # the transform; the first text's is an end too, as it should be
     extends = left > 0
-    lf = isa[sa - 1]
     by = np.flatnonzero(extends)
     by = by[np.argsort(left[by], kind="stable")]
+    # where a suffix goes when its left byte is put before it: the ends come first, then bytes in the transform's order
+    lf = np.zeros(n, np.int64)
+    lf[by] = len(ends) + np.arange(len(by))
     same = left[by[1:]] == left[by[:-1]]
     before, after = np.full(n, -1), np.full(n, n)
     before[by[1:][same]] = by[:-1][same]
@@ -165,14 +168,16 @@ def repeats(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
         cut[now] = True
         own = seg[now]
         # pieces of each interval: from its start or a cut to the next cut or its end
-        ids, at, count = np.unique(own, return_index=True, return_counts=True)
+        at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        ids, count = own[at], np.diff(np.append(at, len(own)))
         start = np.insert(now, at, low[ids])
         stop = np.append(start[1:], 0)
         last = at + np.arange(len(ids)) + count
         stop[last] = high[ids]
-        of = np.repeat(ids, count + 1)
+        turn = np.repeat(np.arange(len(ids)), count + 1)
+        of = ids[turn]
         old_low, old_high = low[of], high[of]
-        order = np.lexsort((start - stop, of))
+        order = np.lexsort((start - stop, turn))
         largest = order[at + np.arange(len(ids))]
         small = np.ones(len(start), bool)
         small[largest] = False
