@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import bounded_batches
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: A boundary this near to a chunk's end isn't relied on: a match looks ahead two characters at most.
@@ -81,13 +83,17 @@ def encode_chunked(text: str, path: str, chunk: int = CHUNK, overlap: int = OVER
     return [i for a, b in zip(cut, [*cut[1:], len(text)], strict=True) for i in encode_text(text[a:b], path)]
 
 
-def summary(ids: list[int], path: str) -> tuple[int, str, str]:
-    raw, names = tables(path)
-    return (
-        len(ids),
-        hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(),
-        hashlib.sha256(b"".join(map(raw.__getitem__, ids))).hexdigest(),
-    )
+DIGESTS = "ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def finished(doc_id: pd.Series, ids: Iterable[list[int]], path: str) -> pd.DataFrame:
+    """Rows of DIGESTS: the ids packed, and hashes of their decimal list and of the bytes they decode to."""
+    names = tables(path)[1]
+    made = []
+    for x in ids:
+        data = packed(x)
+        made.append((data, len(x), hashlib.sha256(",".join(map(names.__getitem__, x)).encode()).hexdigest(), hashlib.sha256(decode(data, path)).hexdigest()))
+    return pd.concat([doc_id.reset_index(drop=True).rename("doc_id"), pd.DataFrame(made, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
 
 
 def packed(ids: list[int]) -> bytes:
@@ -95,7 +101,8 @@ def packed(ids: list[int]) -> bytes:
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, ids (binary, little-endian uint32): one row for each row of docs."""
+    """doc_id and the columns of DIGESTS: one row for each row of docs. ids: little-endian uint32."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
     size = F.length(F.coalesce("text", F.lit("")))
@@ -103,7 +110,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "ids": [packed(encode_text(t, path)) for t in x["text"]]})
+            yield finished(x["doc_id"], (encode_text(t, path) for t in x["text"]), path)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -129,8 +136,8 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
 
     def join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            made = [packed(encode_text(b"".join(p).decode(), path)) if broken else b"".join(p) for p, broken in zip(x["pieces"], x["broken"], strict=True)]
-            yield x[["doc_id", "times"]].assign(ids=made)
+            ids = (encode_text(b"".join(p).decode(), path) if broken else np.frombuffer(b"".join(p), "<u4").tolist() for p, broken in zip(x["pieces"], x["broken"], strict=True))
+            yield finished(x["doc_id"], ids, path).assign(times=x["times"].to_numpy())
 
     key = f"doc_id {kind}, digest string, k int"
     # equal rows are encoded once; chunks are dealt one by one, so that a long text is no long task
@@ -143,21 +150,9 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
     parts = parts.withColumns({"stop": stop, "broken": F.max(F.col("start").isNull()).over(W.partitionBy("doc_id", "digest"))})
     done = parts.repartition("doc_id", "digest", "k").mapInPandas(encode_pieces, f"{key}, broken boolean, times long, piece binary")
     joined = done.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("s"), F.first("broken").alias("broken"), F.first("times").alias("times"))
-    joined = joined.select("doc_id", F.col("s.piece").alias("pieces"), "broken", "times").mapInPandas(join_pieces, f"doc_id {kind}, times long, ids binary")
-    joined = joined.withColumn("n", F.explode(F.expr("array_repeat(0, int(times))"))).select("doc_id", "ids")
-    return short.mapInPandas(whole, f"doc_id {kind}, ids binary").union(joined)
-
-
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded ids; the ids are decoded for the last."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            made = [summary(np.frombuffer(i, "<u4").tolist(), path) for i in x["ids"]]
-            yield x[["doc_id"]].assign(n_tokens=[m[0] for m in made], ids_sha256=[m[1] for m in made], decoded_sha256=[m[2] for m in made])
-
-    return encoded.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    joined = joined.select("doc_id", F.col("s.piece").alias("pieces"), "broken", "times").mapInPandas(join_pieces, f"doc_id {kind}, {DIGESTS}, times long")
+    joined = joined.withColumn("n", F.explode(F.expr("array_repeat(0, int(times))"))).drop("n", "times")
+    return short.mapInPandas(whole, f"doc_id {kind}, {DIGESTS}").union(joined)
 
 
 def decode(ids: bytes, path: str) -> bytes:

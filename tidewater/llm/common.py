@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Arrow batches of whole texts by bytes as well as rows, so that a worker's memory doesn't follow their lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 class Cuts:
     """Tables written to the shared folder. A written table costs one pass, where checkpoint() would run the plan twice."""
 
