@@ -161,3 +161,23 @@ def digests(formatted: DataFrame) -> DataFrame:
     picked = formatted.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end")
     dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
     return dealt.select("conv_id", "segment", "loss_start", "loss_end").mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+_ESCAPED = " + ".join(f"(length(%s) - length(replace(%s, '{c}', ''))) // {len(c)}" for c in CONTROLS)
+_LENGTH = "length(%s) + length(%s) - length(replace(%s, chr(92), '')) + " + _ESCAPED
+
+
+def _sql_length(x: str) -> str:
+    return _LENGTH.replace("%s", x)
+
+
+ORACLE = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(TURN + BODY + END)} + {_sql_length("role")} + {_sql_length("text")})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, brown, chat, hnsw, lines, mixing, quality, simhash, urls
+import corpus_pipeline
+from tidewater.llm import bpe, brown, chat, hnsw, lines, mixing, quality, simhash, suffix, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), path).drop("ids")
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -68,10 +73,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_urls": op7_urls,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
+    "op10_suffix": op10_suffix,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_lines": lines.ORACLE,
     "op7_urls": urls.ORACLE,
+    "op8_chat": chat.ORACLE,
 }
 
 
