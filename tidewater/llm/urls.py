@@ -97,7 +97,7 @@ ORACLE = r"""
 WITH c AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched_on,
     lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.$', '')) AS host,
-    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), x -> x <> '') AS seg
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS seg
   FROM pages),
 p AS (
   SELECT DISTINCT pattern FROM (SELECT unnest(['d:' || host, 'p:' || host || '/' || seg[1]]) AS pattern FROM c) WHERE pattern IS NOT NULL),
