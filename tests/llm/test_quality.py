@@ -50,8 +50,8 @@ def test_estimate_matches_numpy(spark):
     from tidewater.llm.common import Cuts
 
     cuts = Cuts(spark)
-    rows = cuts.write(quality.with_features(quality.statistics(docs)).where("not base_failed").select("doc_id", *quality.GROUP, *quality.FEATURES))
-    pdf = rows.toPandas()
+    rows = cuts.write(quality.with_features(quality.statistics(docs)).select("doc_id", "base_failed", *quality.GROUP, *quality.FEATURES))
+    pdf = rows.where("not base_failed").toPandas()
     want = concentration(pdf[list(quality.FEATURES)].to_numpy(float), np.array(quality.FLOORS, float))
     got = quality.judge(docs, ["doc_id"]).where("not base_failed").toPandas().set_index("doc_id")["distance"]
     assert got.loc[pdf["doc_id"]].to_numpy() == pytest.approx(want, rel=1e-6)

@@ -39,7 +39,10 @@ def total(columns: list[Column]) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, row by row."""
+    """docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, row by row.
+
+    Filter on these only once they are written: a filter pushed below would evaluate the arrays inside their own lambdas.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     blank = " \t\n\x0b\f\r"
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
