@@ -30,7 +30,7 @@ P = len(FEATURES)
 FLOORS = (300, 100, 400, 400, 400)
 MIN_ROWS, STEPS, SUPPORT = 50, 4, 0.75
 CHI2_MEDIAN = 4.351460191095526  # chi-square, 5 degrees of freedom
-CUTOFF = 60.0  # in units of a chi-square with 5 degrees of freedom; a normal vector passes it once in 10^11
+CUTOFF = 36.0  # of a chi-square with 5 degrees of freedom: a normal vector lies beyond it once in a million
 GROUP = ("lang", "source")
 
 
