@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_batches
+from tidewater.llm.common import bounded_batches, texts_of, typed_id
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 1 << 15, 1 << 10
@@ -103,8 +103,7 @@ def packed(ids: list[int]) -> bytes:
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id and the columns of DIGESTS: one row for each row of docs. ids: little-endian uint32."""
     bounded_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
+    rows = texts_of(docs)
     size = F.length(F.coalesce("text", F.lit("")))
     short, long = rows.where(size <= chunk + overlap), rows.where(size > chunk + overlap)
 
@@ -116,7 +115,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
         for x in batches:
             for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
                 starts = range(0, len(text), chunk)
-                yield pd.DataFrame({"doc_id": pd.Series([doc_id] * len(starts), dtype=x["doc_id"].dtype), "digest": hashlib.sha256(text.encode()).hexdigest(), "k": range(len(starts)), "part": [text[s : s + chunk + overlap] for s in starts]})
+                yield pd.DataFrame({"doc_id": [doc_id] * len(starts), "digest": hashlib.sha256(text.encode()).hexdigest(), "k": range(len(starts)), "part": [text[s : s + chunk + overlap] for s in starts]})
 
     def pretokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -139,7 +138,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
             ids = (encode_text(b"".join(p).decode(), path) if broken else np.frombuffer(b"".join(p), "<u4").tolist() for p, broken in zip(x["pieces"], x["broken"], strict=True))
             yield finished(x["doc_id"], ids, path).assign(times=x["times"].to_numpy())
 
-    key = f"doc_id {kind}, digest string, k int"
+    key = "doc_id string, digest string, k int"
     # equal rows are encoded once; chunks are dealt one by one, so that a long text is no long task
     parts = long.mapInPandas(cut, f"{key}, part string").groupBy("doc_id", "digest", "k").agg(F.first("part").alias("part"), F.count("*").alias("times"))
     parts = parts.mapInPandas(pretokenise, f"{key}, part string, times long, head array<int>, tail array<int>")
@@ -150,9 +149,9 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
     parts = parts.withColumns({"stop": stop, "broken": F.max(F.col("start").isNull()).over(W.partitionBy("doc_id", "digest"))})
     done = parts.repartition("doc_id", "digest", "k").mapInPandas(encode_pieces, f"{key}, broken boolean, times long, piece binary")
     joined = done.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("s"), F.first("broken").alias("broken"), F.first("times").alias("times"))
-    joined = joined.select("doc_id", F.col("s.piece").alias("pieces"), "broken", "times").mapInPandas(join_pieces, f"doc_id {kind}, {DIGESTS}, times long")
+    joined = joined.select("doc_id", F.col("s.piece").alias("pieces"), "broken", "times").mapInPandas(join_pieces, f"doc_id string, {DIGESTS}, times long")
     joined = joined.withColumn("n", F.explode(F.expr("array_repeat(0, int(times))"))).drop("n", "times")
-    return short.mapInPandas(whole, f"doc_id {kind}, {DIGESTS}").union(joined)
+    return typed_id(short.mapInPandas(whole, f"doc_id string, {DIGESTS}").union(joined), docs)
 
 
 def decode(ids: bytes, path: str) -> bytes:

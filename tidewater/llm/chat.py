@@ -106,8 +106,8 @@ def format_turns(turns: DataFrame, content_col: str = "text") -> DataFrame:
     content_col: a string, or an array of PART.
     """
     typed = not turns.schema[content_col].dataType.simpleString() == "string"
-    picked = turns.select("conv_id", "turn", "role", F.col(content_col).alias("content"))
-    kinds = {k: picked.schema[k].dataType.simpleString() for k in ("conv_id", "turn", "role")}
+    # integers next to nulls would become floats in pandas
+    picked = turns.select(*[F.col(k).cast("string").alias(k) for k in ("conv_id", "turn")], "role", F.col(content_col).alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -121,8 +121,8 @@ def format_turns(turns: DataFrame, content_col: str = "text") -> DataFrame:
                 expanded_tokens=[m[3].tokens for m in made],
             )
 
-    columns = ", ".join(f"{k} {v}" for k, v in kinds.items())
-    return picked.mapInPandas(run, f"{columns}, segment string, loss_start int, loss_end int, attachments array<struct<kind:string,ref:string>>, expanded_tokens array<int>")
+    out = picked.mapInPandas(run, "conv_id string, turn string, role string, segment string, loss_start int, loss_end int, attachments array<struct<kind:string,ref:string>>, expanded_tokens array<int>")
+    return out.withColumns({k: F.col(k).cast(turns.schema[k].dataType) for k in ("conv_id", "turn")})
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -130,7 +130,6 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     Turns are sorted within partitions and streamed through running hashes: a long conversation takes no memory.
     """
-    kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: list | None = None
@@ -141,7 +140,6 @@ def digests(formatted: DataFrame) -> DataFrame:
         for x in batches:
             done = []
             for conv_id, segment, start, end in zip(x["conv_id"], x["segment"], x["loss_start"], x["loss_end"], strict=True):
-                conv_id = None if pd.isna(conv_id) else conv_id
                 if state is None or state[0] != conv_id:
                     if state is not None:
                         done.append(row(state))
@@ -154,13 +152,15 @@ def digests(formatted: DataFrame) -> DataFrame:
                 state[4].update(loss.encode())
                 state[5] += len(segment)
             if done:
-                yield pd.DataFrame(done).astype({"conv_id": object})
+                yield pd.DataFrame(done)
         if state is not None:
-            yield pd.DataFrame([row(state)]).astype({"conv_id": object})
+            yield pd.DataFrame([row(state)])
 
     picked = formatted.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end")
     dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
-    return dealt.select("conv_id", "segment", "loss_start", "loss_end").mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    streamed = dealt.select(F.col("conv_id").cast("string").alias("conv_id"), "segment", "loss_start", "loss_end")
+    out = streamed.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return out.withColumn("conv_id", F.col("conv_id").cast(formatted.schema["conv_id"].dataType))
 
 
 _ESCAPED = " + ".join(f"(length(%s) - length(replace(%s, '{c}', ''))) // {len(c)}" for c in CONTROLS)

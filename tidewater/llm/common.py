@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only separators of words.
@@ -37,6 +37,16 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id as a string, text, and more: what workers get. Integers next to nulls would become floats in pandas."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more)
+
+
+def typed_id(df: DataFrame, like: DataFrame) -> DataFrame:
+    """doc_id in its type again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast(like.schema["doc_id"].dataType))
+
+
 class Cuts:
     """Tables written to the shared folder. A written table costs one pass, where checkpoint() would run the plan twice."""
 

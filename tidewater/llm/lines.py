@@ -12,11 +12,10 @@ treated alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewater.llm.common import SPACE, Cuts
 
@@ -62,17 +61,16 @@ def cut_lines(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SI
     rows = docs.withColumn("_own", F.xxhash64("text"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_own"] == gone["_mark"]), "left").drop("_id", "_mark", "_own")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            text, removed = [], []
-            for t, r in zip(x["text"], x["_removed"], strict=True):
-                drop = set() if r is None else set(r)
-                removed.append(len(drop))
-                text.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop) if drop else t)
-            yield x.assign(text=text, _removed=removed)
+    @F.pandas_udf(StringType())
+    def shorter(text: pd.Series, removed: pd.Series) -> pd.Series:
+        def one(t: str, r) -> str:
+            drop = set(r)
+            return "\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop)
+
+        return pd.Series([one(t, r) for t, r in zip(text, removed, strict=True)], dtype=object)
 
     # only rows that lose lines go through Python
-    changed = rows.where("_removed is not null").mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _removed int")
+    changed = rows.where("_removed is not null").withColumns({"text": shorter("text", "_removed"), "_removed": F.size("_removed")})
     return changed.unionByName(rows.where("_removed is null").withColumn("_removed", F.lit(0)))
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Cuts, byte_words, components, local_labels
+from tidewater.llm.common import Cuts, byte_words, components, local_labels, texts_of, typed_id
 
 WIDTH, SEED, SHINGLE = 64, 42, 3
 BLOCK = 1 << 16
@@ -48,15 +48,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n).view(">u8")[0].astype(np.uint64).astype(np.int64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row per document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "fp": np.fromiter(map(fingerprint, x["text"]), np.int64, len(x))})
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long")
+    return typed_id(texts_of(docs).mapInPandas(run, "doc_id string, fp long"), docs)
 
 
 def masks(depth: int, budget: int) -> list[int]:

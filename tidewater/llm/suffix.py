@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Cuts
+from tidewater.llm.common import Cuts, bounded_batches, texts_of, typed_id
 
 LENGTH, GRAM = 400, 32
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -207,13 +207,12 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    return texts_of(docs.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("mark", F.xxhash64("text"))
 
 
 def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """(doc_id, mark, start, stop): ranges of bytes that go; they may overlap."""
     rows = keyed(docs)
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -223,7 +222,7 @@ def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int
             yield pd.DataFrame({"doc_id": x["doc_id"].repeat(count).reset_index(drop=True), "mark": x["mark"].repeat(count).to_numpy()} | out)
 
     long = rows.where(F.octet_length("text") >= length)
-    every = cuts.write(long.mapInPandas(cut, f"doc_id {kind}, mark long, start long, stop long, h long, c1 long, c2 long"))
+    every = cuts.write(long.mapInPandas(cut, "doc_id string, mark long, start long, stop long, h long, c1 long, c2 long"))
     again = every.groupBy("h").count().where("count > 1").select("h")
     shared = cuts.write(every.join(again, "h", "left_semi"))
     alike = cuts.write(shared.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start", "stop")).alias("one"), F.first(F.col("stop") - F.col("start")).alias("size")))
@@ -243,9 +242,9 @@ def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int
             for doc_id, mark, text, want in zip(x["doc_id"], x["mark"], x["text"], x["wanted"], strict=True):
                 data = text.encode()
                 made = [(doc_id, mark, w["h"], w["n"], w["hot"], w["start"], data[w["start"] : w["stop"]]) for w in want]
-                yield pd.DataFrame(made, columns=["doc_id", "mark", "h", "n", "hot", "start", "piece"]).astype({"doc_id": x["doc_id"].dtype})
+                yield pd.DataFrame(made, columns=["doc_id", "mark", "h", "n", "hot", "start", "piece"])
 
-    held = cuts.write(held.mapInPandas(take, f"doc_id {kind}, mark long, h long, n long, hot boolean, start long, piece binary"))
+    held = cuts.write(held.mapInPandas(take, "doc_id string, mark long, h long, n long, hot boolean, start long, piece binary"))
 
     def expand(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["h", "start"], ignore_index=True)
@@ -253,7 +252,7 @@ def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int
         at = [m[0] for m in made]
         return pd.DataFrame({"doc_id": x["doc_id"].iloc[at].reset_index(drop=True), "mark": x["mark"].to_numpy()[at], "start": np.array([m[1] for m in made], np.int64), "stop": np.array([m[2] for m in made], np.int64)})
 
-    span = f"doc_id {kind}, mark long, start long, stop long"
+    span = "doc_id string, mark long, start long, stop long"
     cool = held.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda x: expand(x), span)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,9 +261,9 @@ def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int
                 data = np.frombuffer(r.piece, np.uint8)
                 n = len(data) - length + 1
                 w1, w2 = (Hashes(data, b).of(slice(0, n), slice(length, length + n)).astype(np.int64) for b in BASES)
-                yield pd.DataFrame({"doc_id": pd.Series([r.doc_id] * n, dtype=x["doc_id"].dtype), "mark": r.mark, "n": r.n, "start": r.start + np.arange(n), "w1": w1, "w2": w2})
+                yield pd.DataFrame({"doc_id": [r.doc_id] * n, "mark": r.mark, "n": r.n, "start": r.start + np.arange(n), "w1": w1, "w2": w2})
 
-    each = held.where("hot").mapInPandas(windows, f"doc_id {kind}, mark long, n long, start long, w1 long, w2 long")
+    each = held.where("hot").mapInPandas(windows, "doc_id string, mark long, n long, start long, w1 long, w2 long")
     twice = each.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     warm = each.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "mark", "start", (F.col("start") + length).alias("stop"))
     return whole.union(cool).union(warm)
@@ -281,7 +280,8 @@ def merged(spans, size: int) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
-    """doc_id, text (null: empty) and spans, an array of the ranges to remove (null: none): a row for each row of docs."""
+    """doc_id (a string), text (null: empty) and spans, an array of the ranges to remove (null: none): a row for each row of docs."""
+    bounded_batches(docs.sparkSession)
     spans = repeated_spans(docs, Cuts(docs.sparkSession), length, **limits)
     lists = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
     rows = keyed(docs)
@@ -291,7 +291,6 @@ def with_spans(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFram
 def removed(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
     found = with_spans(docs, length, **limits)
-    kind = found.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -304,4 +303,4 @@ def removed(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
                 made.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             yield pd.concat([x[["doc_id"]].reset_index(drop=True), pd.DataFrame(made, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])], axis=1)
 
-    return found.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return typed_id(found.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), docs)
