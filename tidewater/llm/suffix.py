@@ -32,7 +32,7 @@ from tidewater.llm.common import Cuts, bounded_batches, texts_of, typed_id
 
 LENGTH, GRAM = 400, 32
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BUCKET, HOT = 1 << 21, 1 << 21
+BUCKET, HOT = 1 << 20, 1 << 20
 U32 = np.uint64(0xFFFFFFFF)
 
 
@@ -150,17 +150,17 @@ def repeats(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     by = np.flatnonzero(extends)
     by = by[np.argsort(left[by], kind="stable")]
     # where a suffix goes when its left byte is put before it: the ends come first, then bytes in the transform's order
-    lf = np.zeros(n, np.int64)
+    lf = np.zeros(n, np.int32)
     lf[by] = len(ends) + np.arange(len(by))
     same = left[by[1:]] == left[by[:-1]]
-    before, after = np.full(n, -1), np.full(n, n)
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     before[by[1:][same]] = by[:-1][same]
     after[by[:-1][same]] = by[1:][same]
     head = t[sa]
     cut = np.zeros(n + 1, bool)
     cut[0] = cut[n] = True
     now = np.flatnonzero((head[1:] != head[:-1]) | (head[1:] == 0)) + 1
-    seg, low, high, used = np.zeros(n, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), 1
+    seg, low, high, used = np.zeros(n, np.int32), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), 1
     high[0] = n
     for _ in range(length):
         if not len(now):
