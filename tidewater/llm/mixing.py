@@ -39,7 +39,8 @@ class Targets:
 
 
 def count_of(text: Column, symbols: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, symbols, ""))
+    """Occurrences of a character class."""
+    return F.regexp_count(text, F.lit(symbols))
 
 
 def labelled(docs: DataFrame, targets: Targets) -> DataFrame:
@@ -48,9 +49,9 @@ def labelled(docs: DataFrame, targets: Targets) -> DataFrame:
     n = F.length(text)
     topic = (
         F.when(~text.rlike(f"[^{SPACE}]"), "empty")
-        .when(25 * count_of(text, "|") >= n, "table")
-        .when(25 * count_of(text, "#*$%&<>{}=") >= n, "markup")
-        .when(5 * count_of(text, "0123456789") >= n, "numeric")
+        .when(25 * count_of(text, "[|]") >= n, "table")
+        .when(25 * count_of(text, "[#*$%&<>{}=]") >= n, "markup")
+        .when(5 * count_of(text, "[0-9]") >= n, "numeric")
         .otherwise("prose")
     )
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic") if "topic" in docs.columns else topic}
