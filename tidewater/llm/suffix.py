@@ -239,10 +239,11 @@ def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
+            made = []
             for doc_id, mark, text, want in zip(x["doc_id"], x["mark"], x["text"], x["wanted"], strict=True):
                 data = text.encode()
-                made = [(doc_id, mark, w["h"], w["n"], w["hot"], w["start"], data[w["start"] : w["stop"]]) for w in want]
-                yield pd.DataFrame(made, columns=["doc_id", "mark", "h", "n", "hot", "start", "piece"])
+                made += [(doc_id, mark, w["h"], w["n"], w["hot"], w["start"], data[w["start"] : w["stop"]]) for w in want]
+            yield pd.DataFrame(made, columns=["doc_id", "mark", "h", "n", "hot", "start", "piece"])
 
     held = cuts.write(held.mapInPandas(take, "doc_id string, mark long, h long, n long, hot boolean, start long, piece binary"))
 
@@ -257,13 +258,19 @@ def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for r in x.itertuples():
-                data = np.frombuffer(r.piece, np.uint8)
-                n = len(data) - length + 1
-                w1, w2 = (Hashes(data, b).of(slice(0, n), slice(length, length + n)).astype(np.int64) for b in BASES)
-                yield pd.DataFrame({"doc_id": [r.doc_id] * n, "mark": r.mark, "n": r.n, "start": r.start + np.arange(n), "w1": w1, "w2": w2})
-
-    each = held.where("hot").mapInPandas(windows, "doc_id string, mark long, n long, start long, w1 long, w2 long")
+            count = np.array([len(p) - length + 1 for p in x["piece"]], np.int64)
+            starts, w1, w2 = [], [], []
+            for start, n, piece in zip(x["start"], count, x["piece"], strict=True):
+                data = np.frombuffer(piece, np.uint8)
+                one, two = (Hashes(data, b).of(slice(0, n), slice(length, length + n)).astype(np.int64) for b in BASES)
+                starts.append(start + np.arange(n))
+                w1.append(one)
+                w2.append(two)
+            if len(x):
+                kept = {k: x[k].repeat(count).reset_index(drop=True) for k in ("doc_id", "mark", "n")}
+                yield pd.DataFrame(kept | {"start": np.concatenate(starts), "w1": np.concatenate(w1), "w2": np.concatenate(w2)})
+
+    each = cuts.write(held.where("hot").mapInPandas(windows, "doc_id string, mark long, n long, start long, w1 long, w2 long"))
     twice = each.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     warm = each.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "mark", "start", (F.col("start") + length).alias("stop"))
     return whole.union(cool).union(warm)
