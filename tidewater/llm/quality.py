@@ -1,15 +1,15 @@
 """Quality rules: fixed base rules, then robust multivariate outliers by minimum covariance determinant.
 
 Every step is DataFrame code. One pass over the texts gives counts and a vector of transformed statistics in integer
-thousandths, so that all later sums are exact and don't depend on how rows are dealt. Per language and source, an
-estimate starts from medians and median deviations; each concentration step takes the given share of rows nearest by
+thousandths, so that all later sums are exact and don't depend on how rows are dealt. Per language and source (or, for small
+groups, language or all rows), an estimate starts from medians and median deviations; each concentration step takes the given share of rows nearest by
 Mahalanobis distance and estimates mean and covariance anew, which never raises the determinant. The last estimate is
 scaled to the chi-square median; rows beyond the cut-off are rejected. Groups are reduced by partial aggregation
 (sums, and exact percentiles over a few thousand distinct values) and joined back as one row each.
 
 Defined results: null texts have no words and fail the base rule; null languages and sources form groups of their own;
-groups with under MIN_ROWS rows that pass the base rules give no estimate and reject nothing; an empty table gives no
-rows; repeated rows are judged row by row. A window of three words is compared by its 64-bit hash within its own text.
+groups with under MIN_ROWS rows that pass the base rules are judged by the estimate of their language, and if that has
+too few as well, by that of all rows, however few; an empty table gives no rows; repeated rows are judged row by row. A window of three words is compared by its 64-bit hash within its own text.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ MIN_ROWS, STEPS, SUPPORT = 50, 4, 0.75
 CHI2_MEDIAN = 4.351460191095526  # chi-square, 5 degrees of freedom
 CUTOFF = 36.0  # of a chi-square with 5 degrees of freedom: a normal vector lies beyond it once in a million
 GROUP = ("lang", "source")
+#: Whose estimate judges a row: level 0 is its group, 1 its language, 2 all rows.
+JUDGE = ("level", "judge_lang", "judge_source")
 
 
 def total(columns: list[Column]) -> Column:
@@ -77,20 +79,38 @@ def with_features(x: DataFrame) -> DataFrame:
     return x.withColumns({k: F.round(1000 * v).cast("long") for k, v in zip(FEATURES, values, strict=True)}).drop("_lines")
 
 
-def on_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
-    g = groups.withColumnsRenamed({k: f"_{k}" for k in GROUP})
-    return rows.join(g, reduce(lambda a, b: a & b, (rows[k].eqNullSafe(g[f"_{k}"]) for k in GROUP)), how).drop(*(f"_{k}" for k in GROUP))
+def on_group(rows: DataFrame, groups: DataFrame, how: str = "inner", by: tuple[str, ...] = JUDGE) -> DataFrame:
+    g = groups.withColumnsRenamed({k: f"_{k}" for k in by})
+    return rows.join(g, reduce(lambda a, b: a & b, (rows[k].eqNullSafe(g[f"_{k}"]) for k in by)), how).drop(*(f"_{k}" for k in by))
+
+
+def judges(rows: DataFrame) -> DataFrame:
+    """GROUP and JUDGE: for each group the smallest of itself, its language and all rows with MIN_ROWS rows to learn from."""
+    groups = rows.groupBy(*GROUP).agg(F.count_if(~F.col("base_failed")).alias("n"))
+    langs = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"))
+    level = F.when(F.col("n") >= MIN_ROWS, 0).when(F.col("n_lang") >= MIN_ROWS, 1).otherwise(2)
+    x = on_group(groups, langs, by=("lang",)).withColumn("level", level)
+    return x.select(*GROUP, "level", F.when(F.col("level") < 2, F.col("lang")).alias("judge_lang"), F.when(F.col("level") < 1, F.col("source")).alias("judge_source"))
+
+
+def learners(rows: DataFrame, judged_by: DataFrame) -> DataFrame:
+    """JUDGE and FEATURES: the rows that each judge that is asked for learns from."""
+    nothing = F.lit(None).cast("string")
+    at = [F.lit(0).alias("level"), F.col("lang").alias("judge_lang"), F.col("source").alias("judge_source")]
+    levels = [at, [F.lit(1).alias("level"), at[1], nothing.alias("judge_source")], [F.lit(2).alias("level"), nothing.alias("judge_lang"), nothing.alias("judge_source")]]
+    asked = judged_by.select(*JUDGE).distinct()
+    return reduce(DataFrame.union, (on_group(rows.select(*by, *FEATURES), asked.where(F.col("level") == k)) for k, by in enumerate(levels)))
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """Per group n, means and the lower Cholesky factor of the covariance with floors on its diagonal."""
+    """Per judge n, means and the lower Cholesky factor of the covariance with floors on its diagonal."""
     sums = [F.count("*").alias("n")]
     sums += [F.sum(f).alias(f"s{j}") for j, f in enumerate(FEATURES)]
     sums += [F.sum(F.col(FEATURES[j]) * F.col(FEATURES[k])).alias(f"s{j}{k}") for j in range(P) for k in range(j + 1)]
-    g = rows.groupBy(*GROUP).agg(*sums)
+    g = rows.groupBy(*JUDGE).agg(*sums)
     n = F.col("n")
     g = g.select(
-        *GROUP,
+        *JUDGE,
         "n",
         *[(F.col(f"s{j}") / n).alias(f"m{j}") for j in range(P)],
         *[((F.col(f"s{j}{k}") - F.col(f"s{j}") / n * F.col(f"s{k}")) / n + (FLOORS[j] ** 2 if j == k else 0)).alias(f"c{j}{k}") for j in range(P) for k in range(j + 1)],
@@ -98,11 +118,11 @@ def estimate(rows: DataFrame) -> DataFrame:
     for k in range(P):
         g = g.withColumn(f"l{k}{k}", F.sqrt(F.greatest(F.col(f"c{k}{k}") - total([F.lit(0.0), *[F.col(f"l{k}{i}") ** 2 for i in range(k)]]), F.lit(1.0))))
         g = g.withColumns({f"l{j}{k}": (F.col(f"c{j}{k}") - total([F.lit(0.0), *[F.col(f"l{j}{i}") * F.col(f"l{k}{i}") for i in range(k)]])) / F.col(f"l{k}{k}") for j in range(k + 1, P)})
-    return g.select(*GROUP, "n", *[f"m{j}" for j in range(P)], *[f"l{j}{k}" for j in range(P) for k in range(j + 1)])
+    return g.select(*JUDGE, "n", *[f"m{j}" for j in range(P)], *[f"l{j}{k}" for j in range(P) for k in range(j + 1)])
 
 
 def squared_distance(rows: DataFrame) -> DataFrame:
-    """rows joined with their group's estimate, and d2: the squared Mahalanobis distance by forward substitution."""
+    """rows joined with their judge's estimate, and d2: the squared Mahalanobis distance by forward substitution."""
     for j in range(P):
         rows = rows.withColumn(f"z{j}", (F.col(FEATURES[j]) - F.col(f"m{j}") - total([F.lit(0.0), *[F.col(f"l{j}{k}") * F.col(f"z{k}") for k in range(j)]])) / F.col(f"l{j}{j}"))
     return rows.withColumn("d2", total([F.col(f"z{j}") ** 2 for j in range(P)]))
@@ -114,28 +134,29 @@ def ranked() -> Column:
 
 
 def fit(rows: DataFrame, cuts: Cuts) -> DataFrame:
-    """Per group the estimate and `scale`, by which its squared distances are divided. rows: GROUP and FEATURES."""
+    """Per judge the estimate and `scale`, by which its squared distances are divided. rows: JUDGE and FEATURES."""
     median = lambda c: F.percentile(c, 0.5)
-    centre = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *[median(f).alias(f"m{j}") for j, f in enumerate(FEATURES)]).where(F.col("n") >= MIN_ROWS)
-    spread = on_group(rows, centre).groupBy(*GROUP, "n", *[f"m{j}" for j in range(P)])
+    centre = rows.groupBy(*JUDGE).agg(F.count("*").alias("n"), *[median(f).alias(f"m{j}") for j, f in enumerate(FEATURES)])
+    spread = on_group(rows, centre).groupBy(*JUDGE, "n", *[f"m{j}" for j in range(P)])
     start = spread.agg(*[F.greatest(1.4826 * median(F.abs(F.col(f) - F.col(f"m{j}"))), F.lit(float(FLOORS[j]))).alias(f"l{j}{j}") for j, f in enumerate(FEATURES)])
     model = cuts.write(start.withColumns({f"l{j}{k}": F.lit(0.0) for j in range(P) for k in range(j)}))
     for _ in range(STEPS):
-        far = squared_distance(on_group(rows, model)).select(*GROUP, *FEATURES, ranked().alias("rank"))
-        edge = far.groupBy(*GROUP).agg(F.percentile("rank", SUPPORT).alias("edge"))
+        far = squared_distance(on_group(rows, model)).select(*JUDGE, *FEATURES, ranked().alias("rank"))
+        edge = far.groupBy(*JUDGE).agg(F.percentile("rank", SUPPORT).alias("edge"))
         model = cuts.write(estimate(on_group(far, edge).where("rank <= edge")))
     far = squared_distance(on_group(rows, model))
-    scale = far.groupBy(*GROUP).agg((F.expm1(F.percentile(ranked(), 0.5) / 1000) / CHI2_MEDIAN).alias("scale"))
+    scale = far.groupBy(*JUDGE).agg((F.expm1(F.percentile(ranked(), 0.5) / 1000) / CHI2_MEDIAN).alias("scale"))
     return cuts.write(on_group(model, scale).withColumn("scale", F.greatest("scale", F.lit(1.0))))
 
 
 def judge(docs: DataFrame, key: list[str]) -> DataFrame:
-    """key columns, the counts, base_failed, distance (null: no estimate) and kept, for every row of docs."""
+    """key columns, the counts, base_failed, distance (null: no row passes the base rules) and kept, for every row of docs."""
     cuts = Cuts(docs.sparkSession)
     counts = statistics(docs)
     rows = cuts.write(with_features(counts).select(*key, *[k for k in GROUP if k not in key], *FEATURES, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
-    model = fit(rows.where("not base_failed").select(*GROUP, *FEATURES), cuts)
-    out = squared_distance(on_group(rows, model, "left")).withColumn("distance", F.col("d2") / F.col("scale"))
+    judged_by = cuts.write(judges(rows))
+    model = fit(learners(rows.where("not base_failed"), judged_by), cuts)
+    out = squared_distance(on_group(on_group(rows, judged_by, by=GROUP), model, "left")).withColumn("distance", F.col("d2") / F.col("scale"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
 
 
