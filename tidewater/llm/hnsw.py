@@ -2,9 +2,10 @@
 
 Vectors of a label are dealt to shards of bounded size; each shard gets a graph of layers, and every vector of the label
 queries every shard. Searches run in lockstep over blocks of queries. A query whose beam holds nothing but links is
-searched again with a wider one, and beyond the widest against all rows of the shard. Each shard audits itself: a
-spread of its rows is compared with brute force, and beams widen until the audit finds enough; where even the widest
-beam fails, the shard is searched by blocks of brute force. Links are verified by cosine in double precision.
+searched again with a wider one, and beyond the widest against all rows of the shard. Each shard audits itself: for
+a spread of its rows, and of each batch of queries of other shards, links and nearest rows (never a row's match with
+itself) are compared with brute force, and beams widen until enough of both are found; where even the widest beam fails,
+the shard is searched by blocks of brute force. Links are verified by cosine in double precision.
 
 Equal vectors of a label are one row of the index, with their number. A task streams its queries: it holds one shard
 and one batch. It counts links and emits a spanning forest of them, never the pairs of a dense group; components are
@@ -140,18 +141,38 @@ class Shard:
 
     def __init__(self, vectors: np.ndarray, similarity: float = SIMILARITY):
         self.graph, self.similarity, self.n = Graph(vectors), similarity, len(vectors)
-        self.width: int | None = None  # None: brute force
-        probe = np.unique(np.linspace(0, self.n - 1, min(self.n, AUDIT)).astype(int))
-        truth = set(zip(*self.brute(self.graph.exact[probe]), strict=True))
+        self.width: int | None = WIDTHS[0] if WIDTHS[0] < self.n else None  # None: brute force
         self.recall = 1.0
-        for width in WIDTHS:
+        probe = np.unique(np.linspace(0, self.n - 1, min(self.n, AUDIT)).astype(int))
+        self.settle(self.graph.exact[probe], probe)
+
+    def settle(self, q: np.ndarray, own: np.ndarray | None = None) -> None:
+        """Widens the beam until it finds enough of the links and of the nearest rows of q, each counted by itself.
+
+        own: the rows that the queries are, which are no evidence. Every query has a nearest row, linked or not.
+        """
+        if self.width is None or not len(q):
+            return
+        at, short = np.arange(len(q)), q.astype(np.float32)
+        every = short @ self.graph.x.T
+        if own is not None:
+            every[at, own] = -np.inf
+        nearest = every.max(axis=1)
+        others = lambda pairs: {(i, j) for i, j in zip(*pairs, strict=True) if own is None or own[i] != j}
+        truth = others(self.brute(q))
+        for width in WIDTHS[WIDTHS.index(self.width) :]:
             if width >= self.n:
                 break
-            found = set(zip(*self.narrow(self.graph.exact[probe], width), strict=True))
-            self.recall = len(found & truth) / max(1, len(truth))
+            ids, sim = self.graph.beam(0, short, self.graph.entry(short, 0, self.n), width, self.n)
+            if own is not None:
+                sim = np.where(ids == own[:, None], -np.inf, sim)
+            self.recall = float((sim.max(axis=1) >= nearest - 1e-5).mean())
+            if truth:
+                self.recall = min(self.recall, len(others(self.narrow(q, width)) & truth) / len(truth))
             if self.recall >= RECALL:
                 self.width = width
-                break
+                return
+        self.width = None
 
     def verified(self, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = np.einsum("ij,ij->i", q[i], self.graph.exact[j]) >= self.similarity if len(i) else np.zeros(0, bool)
@@ -178,10 +199,12 @@ class Shard:
             made.append((again[i], j))
         return tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
-    def links(self, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (query, row of the shard), by blocks of queries."""
+    def links(self, vectors: np.ndarray, foreign: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs (query, row of the shard), by blocks of queries. Queries of other shards are audited as well."""
         q = vectors.astype(np.float64)
         q /= np.linalg.norm(q, axis=1, keepdims=True)
+        if foreign:
+            self.settle(q[np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT)).astype(int))])
         for s in range(0, len(q), BLOCK):
             i, j = self.brute(q[s : s + BLOCK]) if self.width is None else self.narrow(q[s : s + BLOCK], self.width)
             yield i + s, self.graph.order[j]
@@ -231,7 +254,7 @@ def search(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
                     yield out
                 links, edge_a, edge_b = np.zeros(len(queries), np.int64), [none], [none]
                 rep = queries["rep"].to_numpy()
-                for i, j in shard.links(np.stack(queries["embedding"].to_numpy())):
+                for i, j in shard.links(np.stack(queries["embedding"].to_numpy()), foreign=True):
                     np.add.at(links, i, shard.times[j])
                     # a query joins each group of the shard that it touches once
                     touched = np.unique(i * shard.n + shard.label[j]) if len(i) else none
