@@ -48,14 +48,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n).view(">u8")[0].astype(np.uint64).astype(np.int64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp) and more: one row per document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "fp": np.fromiter(map(fingerprint, x["text"]), np.int64, len(x))})
+            yield x.drop(columns="text").assign(fp=np.fromiter(map(fingerprint, x["text"]), np.int64, len(x)))
 
-    return typed_id(texts_of(docs).mapInPandas(run, "doc_id string, fp long"), docs)
+    kept = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in more)
+    return typed_id(texts_of(docs, *more).mapInPandas(run, f"doc_id string, {kept}fp long"), docs)
 
 
 def masks(depth: int, budget: int) -> list[int]:
@@ -170,5 +171,10 @@ def drop_near_copies(docs: DataFrame, budget: int = 2) -> DataFrame:
     The verdicts of a repeated doc_id follow its rows' texts: a row stays if its own text's group is led by its doc_id.
     """
     groups = simhash_groups(docs, budget)
-    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    gone = groups.where("doc_id <> component_id").select("doc_id", F.col("fingerprint").alias("_print")).distinct()
+    # an id may have several texts: each row's verdict is found by its own text
+    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text"), F.lit("\x00"))))
+    cuts = Cuts(docs.sparkSession)
+    again = marked.join(gone.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", "_mark")
+    drop = cuts.write(fingerprints(again, "_mark").withColumn("_print", F.lpad(F.lower(F.hex("fp")), 16, "0")).join(gone, ["doc_id", "_print"], "left_semi").select("doc_id", "_mark").distinct())
+    return marked.join(drop, ["doc_id", "_mark"], "left_anti").select(*docs.columns)
