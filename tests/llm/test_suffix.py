@@ -61,3 +61,17 @@ def test_documents_match_brute_force(spark):
 def test_repeated_rows_repeat_each_other(spark):
     docs = spark.createDataFrame([(1, "c" * 10 + "d" * 500)] * 2 + [(2, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in suffix.removed(docs).collect()) == [(1, 510), (1, 510), (2, 0)]
+
+
+def test_finer_anchors_of_hot_pieces(spark):
+    """A passage shared by many texts that differ around it, with every limit small: anchors are cut again and again."""
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage, other = noise(90), noise(70)
+    texts = [noise(40) + passage[rnd.randrange(12) :] + noise(rnd.randrange(40)) + other[: rnd.randrange(50, 71)] for _ in range(80)]
+    texts += [noise(20) + passage + "z" * 30 for _ in range(3)] + [passage[20:85]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(expected([t.encode() for t in texts], 60)))
+    for limits in ({"hot": 200, "bucket": 400}, {"hot": 0, "bucket": 400}, {}):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removed(docs, 60, gram=12, **limits).collect()}
+        assert got == want

@@ -22,10 +22,12 @@ def byte_words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of its own (tests)."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
         at = sc.getCheckpointDir()
     return at
@@ -48,10 +50,18 @@ def typed_id(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 class Cuts:
-    """Tables written to the shared folder. A written table costs one pass, where checkpoint() would run the plan twice."""
+    """Tables written to the shared folder. A written table costs one pass, where checkpoint() would run the plan twice.
+
+    They go when `only` says so, and the rest when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}", 0
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self.files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files.mkdirs(root)
+        self.files.deleteOnExit(root)
+        self.held: set[str] = set()
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -59,13 +69,19 @@ class Cuts:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cut_path = path
+        self.held.add(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Removes a written table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.held.discard(df._cut_path)
+        self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._cut_path), True)
+
+    def only(self, *kept: DataFrame) -> None:
+        """Removes all written tables but these."""
+        for path in self.held - {df._cut_path for df in kept}:
+            self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        self.held = {df._cut_path for df in kept}
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

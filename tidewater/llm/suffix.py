@@ -6,12 +6,16 @@ task, so texts are dealt by content first: of the grams inside each window of LE
 piece of text. Pieces alike are one, with their number: they repeat as a whole. Pieces whose anchor occurs nowhere else
 are done. The rest, where one anchor has several different pieces, are gathered by anchor in bounded buckets.
 
+An anchor with more than `hot` bytes of pieces would outgrow a bucket. Its pieces are cut into shorter ones, by where the
+anchor lies in a window, and each gets a finer anchor: the bytes that all windows of its cut share. The same steps
+follow, again and again with an eighth of the windows, until every anchor fits a bucket; a piece of one window has
+nothing to be told apart from.
+
 A bucket's pieces are concatenated with unique ends, and their transform is taken. Breadth-first backward extension
 derives the common prefixes of neighbouring suffixes by increasing value: an interval of suffixes that share l bytes is
 cut where they differ next, and each cut, extended to the left by every byte that stands before both sides, gives the
 cuts at l + 1. Only the smaller sides are visited. At LENGTH it stops: what then still lies in one interval shares that
-many bytes. An anchor with more than `hot` bytes of pieces would outgrow a bucket: its windows are compared by 128 bits
-of hash, with partial aggregation, and none is dropped.
+many bytes.
 
 Pieces are told apart by 128 bits of hash. Defined results: a null text is empty; texts shorter than LENGTH keep all;
 rows alike in id and text are two texts that repeat each other; an empty table gives no rows.
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import Cuts, bounded_batches, texts_of, typed_id
 
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BUCKET, HOT = 1 << 20, 1 << 20
+#: A hot anchor's pieces are cut to at most this share of their windows.
+FINER = 8
 U32 = np.uint64(0xFFFFFFFF)
 
 
@@ -74,10 +80,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(start, stop, h, c1, c2) of each piece: windows start in [start, stop - length]; h: of its anchor, c1 and c2: its own."""
+    """(start, stop, at, h, c1, c2) of each piece: windows start in [start, stop - length]; at, h: its anchor, c1 and c2: its own hashes."""
     n = len(text)
     if n < length:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 3
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
     data = np.frombuffer(text, np.uint8)
     one, two = Hashes(data, BASES[0]), Hashes(data, BASES[1])
     g = one.of(slice(0, n - gram + 1), slice(gram, n + 1))
@@ -87,7 +93,26 @@ def pieces(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     stop = np.concatenate((start[1:], [len(anchor)])) + length - 1
     at = anchor[start]
     shape = mix((at - start).astype(np.uint64) * np.uint64(BASES[1]) + (stop - start).astype(np.uint64))
-    return start, stop, g[at], mix(one.of(start, stop) ^ shape), two.of(start, stop) + shape
+    return start, stop, at, g[at], mix(one.of(start, stop) ^ shape), two.of(start, stop) + shape
+
+
+def finer(piece: bytes, at: int, h: int, size: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(start, stop, h, c1, c2) of the shorter pieces of a piece with its anchor at `at`, of `size` windows at most.
+
+    Windows are cut where the anchor's place in them is a multiple of size. The bytes common to all windows that such a
+    cut can have are the finer anchor, whether the piece has all of them or not, so equal windows have equal ones.
+    """
+    data = np.frombuffer(piece, np.uint8)
+    one, two = Hashes(data, BASES[0]), Hashes(data, BASES[1])
+    place = at - np.arange(len(data) - length + 1)
+    cut = place // size
+    start = np.flatnonzero(np.concatenate(([True], cut[1:] != cut[:-1])))
+    stop = np.concatenate((start[1:], [len(place)])) + length - 1
+    cut = cut[start]
+    inside = at - cut * size
+    key = mix(one.of(inside, inside - size + 1 + length) ^ mix(cut.astype(np.uint64) * np.uint64(BASES[1]) + np.uint64(h % (1 << 64))))
+    shape = mix((at - start).astype(np.uint64) * np.uint64(BASES[1]) + (stop - start).astype(np.uint64))
+    return start, stop, key, mix(one.of(start, stop) ^ shape), two.of(start, stop) + shape
 
 
 def suffix_order(t: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -210,6 +235,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts_of(docs.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("mark", F.xxhash64("text"))
 
 
+SPAN = "doc_id string, mark long, start long, stop long"
+PIECE = SPAN + ", at long, n long, h long"
+
+
+def told_apart(rows: DataFrame, cuts: Cuts, hot: int, *more: str) -> tuple[DataFrame, DataFrame, int]:
+    """What repeats as a whole (SPAN); one of each kind of the pieces that may repeat in part, and their bytes but for hot ones.
+
+    rows: PIECE, c1, c2 and more. n: how many pieces a row stands for.
+    """
+    one = F.min(F.struct("doc_id", "mark", "start", "stop", "at", *more)).alias("one")
+    kinds = cuts.write(rows.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), one))
+    whole = rows.where("n = 1").join(kinds.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("doc_id", "mark", "start", "stop")
+    # anchors with different pieces, at least one of which is alone
+    size = F.sum(F.col("one.stop") - F.col("one.start"))
+    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), size.alias("bytes")).where("kinds > 1 and least = 1")
+    anchors = cuts.write(anchors.select("h", "bytes", (F.col("bytes") > hot).alias("hot")))
+    fits = anchors.where("not hot").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return whole, kinds.join(anchors.select("h", "hot"), "h").select("one.*", "n", "h", "hot"), fits
+
+
 def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """(doc_id, mark, start, stop): ranges of bytes that go; they may overlap."""
     rows = keyed(docs)
@@ -218,34 +263,48 @@ def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int
         for x in batches:
             made = [pieces(t.encode(), length, gram) for t in x["text"]]
             count = [len(m[0]) for m in made]
-            out = {k: np.concatenate([m[i] for m in made]).astype(np.int64) for i, k in enumerate(("start", "stop", "h", "c1", "c2"))}
-            yield pd.DataFrame({"doc_id": x["doc_id"].repeat(count).reset_index(drop=True), "mark": x["mark"].repeat(count).to_numpy()} | out)
+            out = {k: np.concatenate([m[i] for m in made]).astype(np.int64) for i, k in enumerate(("start", "stop", "at", "h", "c1", "c2"))}
+            yield pd.DataFrame({"doc_id": x["doc_id"].repeat(count).reset_index(drop=True), "mark": x["mark"].repeat(count).to_numpy(), "n": 1} | out)
 
     long = rows.where(F.octet_length("text") >= length)
-    every = cuts.write(long.mapInPandas(cut, "doc_id string, mark long, start long, stop long, h long, c1 long, c2 long"))
-    again = every.groupBy("h").count().where("count > 1").select("h")
-    shared = cuts.write(every.join(again, "h", "left_semi"))
-    alike = cuts.write(shared.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start", "stop")).alias("one"), F.first(F.col("stop") - F.col("start")).alias("size")))
-    whole = shared.join(alike.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("doc_id", "mark", "start", "stop")
-    # anchors with different pieces, at least one of which is alone
-    group = alike.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum("size").alias("bytes")).where("kinds > 1 and least = 1")
-    group = cuts.write(group.withColumn("hot", F.col("bytes") > hot).select("h", "hot", "bytes"))
-    total = group.where("not hot").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // bucket))
-    wanted = alike.join(group.select("h", "hot"), "h").select("h", "n", "hot", "one.*")
-    lists = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "n", "hot", "start", "stop")).alias("wanted"))
+    every = cuts.write(long.mapInPandas(cut, PIECE + ", c1 long, c2 long"))
+    whole, left, total = told_apart(every, cuts, hot)
+    spans = [cuts.write(whole)]
+    lists = left.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "n", "hot", "at", "start", "stop")).alias("wanted"))
     lists = lists.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
     held = long.join(lists, long["doc_id"].eqNullSafe(lists["_id"]) & (long["mark"] == lists["_mark"])).drop("_id", "_mark").dropDuplicates(["doc_id", "mark"])
+    names = ["doc_id", "mark", "start", "stop", "at", "n", "h", "hot", "piece"]
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             made = []
             for doc_id, mark, text, want in zip(x["doc_id"], x["mark"], x["text"], x["wanted"], strict=True):
                 data = text.encode()
-                made += [(doc_id, mark, w["h"], w["n"], w["hot"], w["start"], data[w["start"] : w["stop"]]) for w in want]
-            yield pd.DataFrame(made, columns=["doc_id", "mark", "h", "n", "hot", "start", "piece"])
+                made += [(doc_id, mark, w["start"], w["stop"], w["at"], w["n"], w["h"], w["hot"], data[w["start"] : w["stop"]]) for w in want]
+            yield pd.DataFrame(made, columns=names)
 
-    held = cuts.write(held.mapInPandas(take, "doc_id string, mark long, h long, n long, hot boolean, start long, piece binary"))
+    held = cuts.write(held.mapInPandas(take, PIECE + ", hot boolean, piece binary"))
+    fitting, size = [held.where("not hot")], length - gram + 1
+
+    def shorten(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            made = []
+            for doc_id, mark, start, at, n, h, piece in zip(x["doc_id"], x["mark"], x["start"], x["at"], x["n"], x["h"], x["piece"], strict=True):
+                for a, b, *keys in zip(*(k.astype(np.int64).tolist() for k in finer(piece, at - start, h, size, length)), strict=True):
+                    made.append((doc_id, mark, start + a, start + b, at, n, *keys, piece[a:b]))
+            yield pd.DataFrame(made, columns=["doc_id", "mark", "start", "stop", "at", "n", "h", "c1", "c2", "piece"])
+
+    while size > 1 and not (now := held.where("hot")).isEmpty():
+        size = -(-size // FINER)
+        shorter = cuts.write(now.mapInPandas(functools.partial(shorten, size=size), PIECE + ", c1 long, c2 long, piece binary"))
+        whole, left, fits = told_apart(shorter, cuts, hot, "piece")
+        spans.append(cuts.write(whole))
+        held = cuts.write(left.select(*names))
+        fitting.append(held.where("not hot"))
+        total += fits
+    # of one window at last: what hashes alike is alike
+    fitting.append(held.where("hot"))
+    buckets = max(1, -(-total // bucket))
 
     def expand(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["h", "start"], ignore_index=True)
@@ -253,27 +312,10 @@ def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int
         at = [m[0] for m in made]
         return pd.DataFrame({"doc_id": x["doc_id"].iloc[at].reset_index(drop=True), "mark": x["mark"].to_numpy()[at], "start": np.array([m[1] for m in made], np.int64), "stop": np.array([m[2] for m in made], np.int64)})
 
-    span = "doc_id string, mark long, start long, stop long"
-    cool = held.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda x: expand(x), span)
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            count = np.array([len(p) - length + 1 for p in x["piece"]], np.int64)
-            starts, w1, w2 = [], [], []
-            for start, n, piece in zip(x["start"], count, x["piece"], strict=True):
-                data = np.frombuffer(piece, np.uint8)
-                one, two = (Hashes(data, b).of(slice(0, n), slice(length, length + n)).astype(np.int64) for b in BASES)
-                starts.append(start + np.arange(n))
-                w1.append(one)
-                w2.append(two)
-            if len(x):
-                kept = {k: x[k].repeat(count).reset_index(drop=True) for k in ("doc_id", "mark", "n")}
-                yield pd.DataFrame(kept | {"start": np.concatenate(starts), "w1": np.concatenate(w1), "w2": np.concatenate(w2)})
-
-    each = cuts.write(held.where("hot").mapInPandas(windows, "doc_id string, mark long, n long, start long, w1 long, w2 long"))
-    twice = each.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    warm = each.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "mark", "start", (F.col("start") + length).alias("stop"))
-    return whole.union(cool).union(warm)
+    gathered = functools.reduce(DataFrame.union, fitting).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    spans.append(cuts.write(gathered.groupBy("bucket").applyInPandas(lambda x: expand(x), SPAN)))
+    cuts.only(*spans)
+    return functools.reduce(DataFrame.union, spans)
 
 
 def merged(spans, size: int) -> list[tuple[int, int]]:
