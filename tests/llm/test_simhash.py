@@ -1,7 +1,8 @@
 import numpy as np
 import xxhash
 
-from tidewater.llm.simhash import drop_near_copies, fingerprint, simhash_groups, trie_join
+from tidewater.llm.common import Cuts, components
+from tidewater.llm.simhash import drop_near_copies, fingerprint, link_edges, simhash_groups, trie_join
 
 
 def plain(text):
@@ -66,3 +67,32 @@ def test_corpus(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     prints = {i: fingerprint(t) % 2**64 for i, t in rows.items()}
     assert {r.doc_id: r.component_id for r in simhash_groups(docs).collect()} == groups(prints)
+
+
+def test_hot_nodes_are_descended(spark):
+    """Fingerprints that share a long prefix, with leaves of three: pairs of nodes of different depths."""
+    rng = np.random.default_rng(2)
+    low = rng.integers(0, 1 << 12, 150, dtype=np.uint64) << np.uint64(46)
+    prints = np.unique(np.concatenate([low, low ^ np.uint64(3 << 40), low ^ np.uint64(1 << 63), rng.integers(0, 2**63, 60, dtype=np.uint64)]))
+    unique = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    want = groups(dict(enumerate(prints.tolist())))
+    for limits in ({"leaf": 3, "top": 4, "step": 4}, {}):
+        cuts = Cuts(spark)
+        found = components(link_edges(unique, cuts, 2, **limits), cuts).collect()
+        at = {int(x): i for i, x in enumerate(prints.view(np.int64))}
+        least = {}
+        for r in found:
+            least[r.component] = min(least.get(r.component, len(at)), at[r.node])
+        got = dict.fromkeys(range(len(at)), None) | {at[r.node]: least[r.component] for r in found}
+        assert {i: i if c is None else c for i, c in got.items()} == want
+
+
+def test_null_ids_link_and_bridge(spark):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[:k] + ["x"] + base[k:]) for k in range(0, 400, 3)]
+    prints = [plain(t) for t in texts]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2
+    a, b, c = next((a, b, c) for b in range(len(texts)) for a in range(len(texts)) for c in range(a) if near(a, b) and near(b, c) and not near(a, c) and prints[a] != prints[b] != prints[c])
+    docs = spark.createDataFrame([(5, texts[a]), (None, texts[b]), (3, texts[c]), (None, "alone without an id")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash_groups(docs).collect()), key=str)
+    assert got == sorted([(5, 3), (None, 3), (3, 3), (None, None)], key=str)

@@ -1,14 +1,15 @@
 """SimHash near-dedup by a binary-trie self-join.
 
-Fingerprints are the paths of a binary trie. Pairs of trie nodes of the same depth are traversed together; the bits in
-which their paths differ are counted, and a pair is pruned as soon as it exceeds the Hamming budget. The top `depth`
-levels are traversed by the cluster: a fingerprint is dealt to the pairs of top nodes within the budget. Below, each
-task traverses its pair of subtrees over sorted arrays. A top node with more than `leaf` fingerprints is cut into
-chunks by hash, and every pair of chunks becomes a task of its own, so that a hot prefix is no hot task.
+Fingerprints are the paths of a binary trie. Pairs of trie nodes are traversed together; the bits in which their paths
+differ are counted, and a pair is pruned as soon as it exceeds the Hamming budget. The top levels are traversed by the
+cluster: a fingerprint is dealt to the pairs of its own top node with the top nodes within the budget. A top node with
+more than `leaf` fingerprints is descended further, and so are its pairs, until every node is a leaf. Below, each task
+traverses its pair of subtrees over sorted arrays.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; under three words the whole
-word sequence is the only shingle; repeated shingles count each time; rows that share a doc_id give one row each;
-null ids are kept and never the smallest of a group unless all are null; an empty table gives no rows.
+word sequence is the only shingle; repeated shingles count each time; rows that share a doc_id give one row each; rows
+with a null id link and bridge like others, and their component is null only if all its ids are; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from tidewater.llm.common import Cuts, byte_words, components, local_labels, tex
 
 WIDTH, SEED, SHINGLE = 64, 42, 3
 BLOCK = 1 << 16
+#: Fingerprints of a trie node that one task may hold.
+LEAF = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -113,54 +116,70 @@ def trie_join(a: np.ndarray, b: np.ndarray, depth: int, budget: int) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
 
 
-def link_edges(unique: DataFrame, cuts: Cuts, budget: int = 2, leaf: int = 1 << 16, top: int = 8) -> DataFrame:
-    """(a, b) representatives of linked fingerprints, enough of them to connect whatever links within a task.
+def node_at(fp, depth: int):
+    """The trie node on the way to a fingerprint: its path behind a leading one."""
+    return F.lit(1 << depth).bitwiseOR(F.shiftrightunsigned(fp, WIDTH - depth))
 
-    unique: (fp, rep, part), one row per fingerprint.
-    """
+
+def each_mask(depth: int, budget: int):
+    return F.explode(F.array(*[F.lit(m).cast("long") for m in masks(depth, budget)]))
+
+
+def descend(pairs: DataFrame, node: str, heavy: DataFrame, depth: int, step: int, budget: int) -> DataFrame:
+    """pairs, where those at a heavy node of this depth are at its children within the budget of their own fingerprint."""
+    at = pairs.join(heavy.select(F.col("node").alias("_node"), F.lit(True).alias("_heavy")), F.col(node) == F.col("_node"), "left").drop("_node")
+    below = at.where("_heavy").withColumn("_m", each_mask(step, budget)).withColumn(node, F.shiftleft(node, step).bitwiseOR(node_at("fp", depth + step).bitwiseXOR(F.col("_m")).bitwiseAND((1 << step) - 1)))
+    below = below.where(F.bit_count(F.col(node).bitwiseXOR(node_at("fp", depth + step))) <= budget)
+    return at.where("_heavy is null").drop("_heavy").unionByName(below.drop("_m", "_heavy"))
+
+
+def link_edges(unique: DataFrame, cuts: Cuts, budget: int = 2, leaf: int = LEAF, top: int = 8, step: int = 4) -> DataFrame:
+    """(a, b): linked fingerprints, enough of them to connect whatever links. unique: (fp), one row per fingerprint."""
     n = unique.count()
     depth = max(top, math.ceil(math.log2(max(1, n / leaf))))
-    shift = WIDTH - depth
-    rows = unique.withColumn("p", F.shiftrightunsigned("fp", shift))
-    # chunks of a top node: one, unless it holds more than a leaf
-    sizes = rows.groupBy("p").count().select("p", F.ceil(F.col("count") / leaf).cast("int").alias("chunks"))
-    dealt = rows.join(sizes, "p").withColumn("c", F.expr("pmod(xxhash64(fp), chunks)").cast("int")).drop("chunks")
-    mask = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(depth, budget)]))
-    pairs = dealt.select("fp", "rep", "p", "c", mask.alias("m")).withColumn("q", F.col("p").bitwiseXOR(F.col("m")))
-    pairs = pairs.join(sizes.select(F.col("p").alias("q"), F.col("chunks").alias("qs")), "q")
-    pairs = pairs.withColumn("e", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-    own = F.struct("p", "c")
-    other = F.struct(F.col("q").alias("p"), F.col("e").alias("c"))
-    first = own <= other
-    pairs = pairs.select(F.when(first, own).otherwise(other).alias("k1"), F.when(first, other).otherwise(own).alias("k2"), first.alias("first"), "fp", "rep")
+    rows = unique.select("fp", node_at("fp", depth).alias("own"))
+    pairs = rows.withColumn("m", each_mask(depth, budget)).select("fp", "own", F.col("own").bitwiseXOR(F.col("m")).alias("other"))
+    while depth + step < WIDTH - 1:
+        counted = rows.where(F.col("own") >= F.lit(1 << depth)).groupBy(F.col("own").alias("node")).count()
+        heavy = cuts.write(counted.where(F.col("count") > leaf).select("node"))
+        if heavy.isEmpty():
+            break
+        rows = cuts.write(descend(rows, "own", heavy, depth, step, 0))
+        pairs = cuts.write(descend(descend(pairs, "other", heavy, depth, step, budget), "own", heavy, depth, step, 0))
+        depth += step
+    there = cuts.write(rows.select(F.col("own").alias("other")).distinct())
+    pairs = pairs.join(there, "other", "left_semi")
+    pairs = pairs.select(F.least("own", "other").alias("k1"), F.greatest("own", "other").alias("k2"), (F.col("own") <= F.col("other")).alias("first"), "fp")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.assign(u=x["fp"].to_numpy().astype(np.uint64)).sort_values("u")
-        one = x[x["first"]]
-        two = x[~x["first"]]
-        if not len(two):  # a node with itself
-            if x["k1"].iloc[0] != x["k2"].iloc[0]:
-                return pd.DataFrame({"a": [], "b": []}).astype("int64")
-            two = one
-        i, j = trie_join(one["u"].to_numpy(), two["u"].to_numpy(), depth, budget)
-        reps = np.concatenate([one["rep"].to_numpy(), two["rep"].to_numpy()])
-        nodes, at = np.unique(reps, return_inverse=True)
-        label = local_labels(len(nodes), at[i], at[j + len(one)])
-        moved = label != np.arange(len(nodes))
-        return pd.DataFrame({"a": nodes[moved], "b": nodes[label[moved]]})
+        k1, k2 = int(x["k1"].iloc[0]), int(x["k2"].iloc[0])
+        u = x["fp"].to_numpy().astype(np.uint64)
+        first = x["first"].to_numpy()
+        one = np.sort(u[first])
+        if k1 == k2:  # a node with itself
+            two, both = one, one
+        else:
+            two = np.sort(u[~first])
+            both = np.concatenate([one, two])
+        i, j = trie_join(one, two, min(k1.bit_length(), k2.bit_length()) - 1, budget)
+        label = local_labels(len(both), i, j if k1 == k2 else j + len(one))
+        moved = label != np.arange(len(both))
+        return pd.DataFrame({"a": both[moved].view(np.int64), "b": both[label[moved]].view(np.int64)})
 
     return cuts.write(pairs.groupBy("k1", "k2").applyInPandas(run, "a long, b long"))
 
 
-def simhash_groups(docs: DataFrame, budget: int = 2, leaf: int = 1 << 16) -> DataFrame:
+def simhash_groups(docs: DataFrame, budget: int = 2, leaf: int = LEAF) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id reachable over links of `budget` differing bits or fewer."""
     cuts = Cuts(docs.sparkSession)
     prints = cuts.write(fingerprints(docs))
     # copies collapse here: whatever follows sees each fingerprint once
-    unique = cuts.write(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    edges = link_edges(unique, cuts, budget, leaf)
-    roots = components(edges, cuts).withColumnsRenamed({"node": "rep"})
-    byprint = unique.join(roots, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    unique = cuts.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = components(link_edges(unique, cuts, budget, leaf), cuts).withColumnRenamed("node", "fp")
+    grouped = cuts.write(unique.join(roots, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")))
+    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    byprint = cuts.write(grouped.join(least, "component").select("fp", "component_id"))
+    cuts.only(prints, byprint)
     out = prints.join(byprint, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
