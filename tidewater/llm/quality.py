@@ -1,15 +1,20 @@
 """Quality rules: fixed base rules, then robust multivariate outliers by minimum covariance determinant.
 
 Every step is DataFrame code. One pass over the texts gives counts and a vector of transformed statistics in integer
-thousandths, so that all later sums are exact and don't depend on how rows are dealt. Per language and source (or, for small
-groups, language or all rows), an estimate starts from medians and median deviations; each concentration step takes the given share of rows nearest by
-Mahalanobis distance and estimates mean and covariance anew, which never raises the determinant. The last estimate is
-scaled to the chi-square median; rows beyond the cut-off are rejected. Groups are reduced by partial aggregation
-(sums, and exact percentiles over a few thousand distinct values) and joined back as one row each.
+thousandths, so that all later sums are exact and don't depend on how rows are dealt. Per language and source (or, for
+small groups, language or all rows) the estimate seeks the share SUPPORT of rows whose covariance, with floors on its
+diagonal, has the least determinant: from three starts (medians with median deviations, with the correlation of
+hyperbolic tangents, and with that of spatial signs), concentration steps take the rows nearest by Mahalanobis distance
+and estimate mean and covariance anew. Rows at the edge count in part, so that a step's weight is exactly the share; a
+step then never raises the determinant but for the grid in which distances are ranked, and one that doesn't lower it
+ends its start. Of the starts the least determinant counts. The estimate is scaled to the chi-square median; rows
+beyond the cut-off are rejected. Groups are reduced by partial aggregation (sums, and exact percentiles over a few
+thousand distinct values) and joined back as one row each.
 
 Defined results: null texts have no words and fail the base rule; null languages and sources form groups of their own;
 groups with under MIN_ROWS rows that pass the base rules are judged by the estimate of their language, and if that has
-too few as well, by that of all rows, however few; an empty table gives no rows; repeated rows are judged row by row. A window of three words is compared by its 64-bit hash within its own text.
+too few as well, by that of all rows, however few; an empty table gives no rows; repeated rows are judged row by row. A
+window of three words is compared by its 64-bit hash within its own text.
 """
 
 from __future__ import annotations
@@ -28,12 +33,16 @@ P = len(FEATURES)
 #: A feature's deviation counts as this many thousandths at least: a group in which hardly any text has symbols must
 #: not turn the first symbol into an outlier.
 FLOORS = (300, 100, 400, 400, 400)
-MIN_ROWS, STEPS, SUPPORT = 50, 4, 0.75
+MIN_ROWS, SUPPORT = 50, 0.75
+#: A step must lower the log of the determinant by this much to be followed by another; there are so many at most.
+LOWER, STEPS = 1e-3, 30
 CHI2_MEDIAN = 4.351460191095526  # chi-square, 5 degrees of freedom
 CUTOFF = 36.0  # of a chi-square with 5 degrees of freedom: a normal vector lies beyond it once in a million
 GROUP = ("lang", "source")
 #: Whose estimate judges a row: level 0 is its group, 1 its language, 2 all rows.
 JUDGE = ("level", "judge_lang", "judge_source")
+START = (*JUDGE, "start")
+MEANS, FACTOR = [f"m{j}" for j in range(P)], [f"l{j}{k}" for j in range(P) for k in range(j + 1)]
 
 
 def total(columns: list[Column]) -> Column:
@@ -102,23 +111,27 @@ def learners(rows: DataFrame, judged_by: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, (on_group(rows.select(*by, *FEATURES), asked.where(F.col("level") == k)) for k, by in enumerate(levels)))
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """Per judge n, means and the lower Cholesky factor of the covariance with floors on its diagonal."""
-    sums = [F.count("*").alias("n")]
-    sums += [F.sum(f).alias(f"s{j}") for j, f in enumerate(FEATURES)]
-    sums += [F.sum(F.col(FEATURES[j]) * F.col(FEATURES[k])).alias(f"s{j}{k}") for j in range(P) for k in range(j + 1)]
-    g = rows.groupBy(*JUDGE).agg(*sums)
-    n = F.col("n")
-    g = g.select(
-        *JUDGE,
-        "n",
-        *[(F.col(f"s{j}") / n).alias(f"m{j}") for j in range(P)],
-        *[((F.col(f"s{j}{k}") - F.col(f"s{j}") / n * F.col(f"s{k}")) / n + (FLOORS[j] ** 2 if j == k else 0)).alias(f"c{j}{k}") for j in range(P) for k in range(j + 1)],
-    )
+def factored(g: DataFrame) -> DataFrame:
+    """g and the lower Cholesky factor l of its covariance c, and logdet."""
     for k in range(P):
         g = g.withColumn(f"l{k}{k}", F.sqrt(F.greatest(F.col(f"c{k}{k}") - total([F.lit(0.0), *[F.col(f"l{k}{i}") ** 2 for i in range(k)]]), F.lit(1.0))))
         g = g.withColumns({f"l{j}{k}": (F.col(f"c{j}{k}") - total([F.lit(0.0), *[F.col(f"l{j}{i}") * F.col(f"l{k}{i}") for i in range(k)]])) / F.col(f"l{k}{k}") for j in range(k + 1, P)})
-    return g.select(*JUDGE, "n", *[f"m{j}" for j in range(P)], *[f"l{j}{k}" for j in range(P) for k in range(j + 1)])
+    return g.withColumn("logdet", 2 * total([F.log(f"l{k}{k}") for k in range(P)]))
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """Per start n, means, factor and logdet of the nearest rows. rows: START, FEATURES, n, rank and edge, the rank of the last row of the share."""
+    part = {"b": F.col("rank") < F.col("edge"), "t": F.col("rank") == F.col("edge")}
+    sums = [F.count_if(at).alias(f"n{p}") for p, at in part.items()]
+    sums += [F.coalesce(F.sum(F.when(at, F.col(f))), F.lit(0)).alias(f"{p}{j}") for p, at in part.items() for j, f in enumerate(FEATURES)]
+    sums += [F.coalesce(F.sum(F.when(at, F.col(FEATURES[j]) * F.col(FEATURES[k]))), F.lit(0)).alias(f"{p}{j}{k}") for p, at in part.items() for j in range(P) for k in range(j + 1)]
+    g = rows.groupBy(*START, "n").agg(*sums).withColumn("h", F.ceil(SUPPORT * F.col("n")))
+    # rows at the edge have the weight that is left
+    g = g.withColumn("w", (F.col("h") - F.col("nb")) / F.col("nt"))
+    whole = lambda k: (F.col(f"b{k}") + F.col("w") * F.col(f"t{k}")) / F.col("h")
+    g = g.select(*START, "n", *[whole(j).alias(f"m{j}") for j in range(P)], *[whole(f"{j}{k}").alias(f"c{j}{k}") for j in range(P) for k in range(j + 1)])
+    g = g.withColumns({f"c{j}{k}": F.col(f"c{j}{k}") - F.col(f"m{j}") * F.col(f"m{k}") + (FLOORS[j] ** 2 if j == k else 0) for j in range(P) for k in range(j + 1)})
+    return factored(g).select(*START, "n", *MEANS, *FACTOR, "logdet")
 
 
 def squared_distance(rows: DataFrame) -> DataFrame:
@@ -133,17 +146,40 @@ def ranked() -> Column:
     return F.round(1000 * F.log1p("d2")).cast("long")
 
 
-def fit(rows: DataFrame, cuts: Cuts) -> DataFrame:
-    """Per judge the estimate and `scale`, by which its squared distances are divided. rows: JUDGE and FEATURES."""
+def starts(rows: DataFrame) -> DataFrame:
+    """Per judge three estimates to begin with, whose logdet is infinite."""
     median = lambda c: F.percentile(c, 0.5)
     centre = rows.groupBy(*JUDGE).agg(F.count("*").alias("n"), *[median(f).alias(f"m{j}") for j, f in enumerate(FEATURES)])
-    spread = on_group(rows, centre).groupBy(*JUDGE, "n", *[f"m{j}" for j in range(P)])
-    start = spread.agg(*[F.greatest(1.4826 * median(F.abs(F.col(f) - F.col(f"m{j}"))), F.lit(float(FLOORS[j]))).alias(f"l{j}{j}") for j, f in enumerate(FEATURES)])
-    model = cuts.write(start.withColumns({f"l{j}{k}": F.lit(0.0) for j in range(P) for k in range(j)}))
+    spread = on_group(rows, centre).groupBy(*JUDGE, "n", *MEANS)
+    spread = spread.agg(*[F.greatest(1.4826 * median(F.abs(F.col(f) - F.col(f"m{j}"))), F.lit(float(FLOORS[j]))).alias(f"a{j}") for j, f in enumerate(FEATURES)])
+    x = on_group(rows, spread).withColumns({f"z{j}": (F.col(f) - F.col(f"m{j}")) / F.col(f"a{j}") for j, f in enumerate(FEATURES)})
+    x = x.withColumn("norm", F.greatest(F.sqrt(total([F.col(f"z{j}") ** 2 for j in range(P)])), F.lit(1e-9)))
+    # thousandths again, so that sums are exact
+    x = x.withColumns({f"y{j}": F.round(1000 * F.tanh(f"z{j}")).cast("long") for j in range(P)} | {f"s{j}": F.round(1000 * F.col(f"z{j}") / F.col("norm")).cast("long") for j in range(P)})
+    pairs = [(j, k) for j in range(P) for k in range(j + 1)]
+    g = x.groupBy(*JUDGE, "n", *MEANS, *[f"a{j}" for j in range(P)]).agg(*[F.sum(F.col(f"{v}{j}") * F.col(f"{v}{k}")).alias(f"{v}{j}{k}") for v in "ys" for j, k in pairs])
+    like = [{(j, k): F.lit(float(j == k)) for j, k in pairs}] + [{(j, k): F.col(f"{v}{j}{k}") / F.greatest(F.sqrt(F.col(f"{v}{j}{j}").cast("double") * F.col(f"{v}{k}{k}")), F.lit(1.0)) for j, k in pairs} for v in "ys"]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), *[(F.col(f"a{j}") * F.col(f"a{k}") * (r[j, k] + (0.01 if j == k else 0))).alias(f"c{j}{k}") for j, k in pairs]) for i, r in enumerate(like)]))
+    g = g.select(*JUDGE, "n", *MEANS, each.alias("e")).select(*JUDGE, "n", *MEANS, "e.*")
+    return factored(g).select(*START, "n", *MEANS, *FACTOR, F.lit(float("inf")).alias("logdet"))
+
+
+def fit(rows: DataFrame, cuts: Cuts) -> DataFrame:
+    """Per judge the estimate of least determinant and `scale`, by which its squared distances are divided. rows: JUDGE and FEATURES."""
+    now, done = cuts.write(starts(rows)), []
     for _ in range(STEPS):
-        far = squared_distance(on_group(rows, model)).select(*JUDGE, *FEATURES, ranked().alias("rank"))
-        edge = far.groupBy(*JUDGE).agg(F.percentile("rank", SUPPORT).alias("edge"))
-        model = cuts.write(estimate(on_group(far, edge).where("rank <= edge")))
+        far = squared_distance(on_group(rows, now)).select(*START, *FEATURES, ranked().alias("rank"))
+        edge = far.groupBy(*START).agg(F.count("*").alias("n"), F.expr(f"percentile_disc({SUPPORT}) WITHIN GROUP (ORDER BY rank)").alias("edge"))
+        new = estimate(on_group(far, edge, by=START))
+        both = cuts.write(on_group(new, now.select(*START, F.struct("n", *MEANS, *FACTOR, "logdet").alias("old")), by=START))
+        lower = F.col("logdet") < F.col("old.logdet") - LOWER
+        # of a step that doesn't lower it, the lesser determinant
+        done.append(both.where(~lower).select(*START, F.when(F.col("logdet") < F.col("old.logdet"), F.struct("n", *MEANS, *FACTOR, "logdet")).otherwise(F.col("old")).alias("e")).select(*START, "e.*"))
+        now = both.where(lower).drop("old")
+        if now.isEmpty():
+            break
+    least = reduce(DataFrame.union, [*done, now]).groupBy(*JUDGE).agg(F.min_by(F.struct("n", *MEANS, *FACTOR, "logdet"), F.struct("logdet", "start")).alias("e"))
+    model = cuts.write(least.select(*JUDGE, "e.*"))
     far = squared_distance(on_group(rows, model))
     scale = far.groupBy(*JUDGE).agg((F.expm1(F.percentile(ranked(), 0.5) / 1000) / CHI2_MEDIAN).alias("scale"))
     return cuts.write(on_group(model, scale).withColumn("scale", F.greatest("scale", F.lit(1.0))))
