@@ -54,6 +54,15 @@ def test_digests(spark):
     assert chat.digests(chat.format_turns(spark.createDataFrame([], schema))).count() == 0
 
 
+def test_equal_turns_are_ordered_by_text(spark):
+    """By the text as it is, not as it is escaped; a null role stands where an empty one does."""
+    texts = ["<s>", "<A", "<\\", "a!", "a", "<|end|>z", "<|end|>", "[INST]", "[I"]
+    rows = [(1, 0, "user", t) for t in texts] + [(1, 0, None, "n"), (1, 0, "", "m")]
+    r = chat.digests(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    want = "".join(f"{role}\n{t}\n" for role, t in sorted([*(("user", t) for t in texts), ("", "n"), ("", "m")]))
+    assert r.turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_typed_column(spark):
     rows = [(1, 0, "user", [("text", "hi", None, None, None, None, None), ("image", None, "i.png", 14, 14, None, None)])]
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")

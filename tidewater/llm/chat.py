@@ -101,7 +101,7 @@ def parsed(segment: str) -> tuple[str, str]:
 
 
 def format_turns(turns: DataFrame, content_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, segment, loss_start, loss_end, attachments, expanded_tokens: one row per turn.
+    """conv_id, turn, role, segment, plain (the text read back), loss_start, loss_end, attachments, expanded_tokens: one row per turn.
 
     content_col: a string, or an array of PART.
     """
@@ -115,13 +115,14 @@ def format_turns(turns: DataFrame, content_col: str = "text") -> DataFrame:
             made = [format_turn(r, c) for r, c in zip(x["role"], content, strict=True)]
             yield x[["conv_id", "turn", "role"]].assign(
                 segment=[m[0] for m in made],
+                plain=[parsed(m[0])[1] for m in made],
                 loss_start=[m[1] for m in made],
                 loss_end=[m[2] for m in made],
                 attachments=[[{"kind": k, "ref": r} for k, r in m[3].attachments] for m in made],
                 expanded_tokens=[m[3].tokens for m in made],
             )
 
-    out = picked.mapInPandas(run, "conv_id string, turn string, role string, segment string, loss_start int, loss_end int, attachments array<struct<kind:string,ref:string>>, expanded_tokens array<int>")
+    out = picked.mapInPandas(run, "conv_id string, turn string, role string, segment string, plain string, loss_start int, loss_end int, attachments array<struct<kind:string,ref:string>>, expanded_tokens array<int>")
     return out.withColumns({k: F.col(k).cast(turns.schema[k].dataType) for k in ("conv_id", "turn")})
 
 
@@ -156,8 +157,8 @@ def digests(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield pd.DataFrame([row(state)])
 
-    picked = formatted.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end")
-    dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment")
+    picked = formatted.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "plain", "segment", "loss_start", "loss_end")
+    dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "plain")
     streamed = dealt.select(F.col("conv_id").cast("string").alias("conv_id"), "segment", "loss_start", "loss_end")
     out = streamed.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return out.withColumn("conv_id", F.col("conv_id").cast(formatted.schema["conv_id"].dataType))
