@@ -41,8 +41,8 @@ def test_matches_brute_force(spark):
     labels += [0, 0, 0, 0, 0, None, 0, 0, 0]
     ids = [3 * i + 1 for i in range(len(x) - 3)] + [None, 5000, 5001]
     df = spark.createDataFrame(list(zip(ids, x, labels, ["e"] * len(x), strict=True)), "vec_id long, embedding array<float>, label int, rep string")
-    for shard in (1 << 14, 40):
-        got = {(r.vec_id, r.n_links, r.component_id) for r in hnsw.near_copies(df, shard=shard).collect()}
+    for limits in ({}, {"shard": 40}, {"shard": 40, "queries": 30}):
+        got = {(r.vec_id, r.n_links, r.component_id) for r in hnsw.near_copies(df, **limits).collect()}
         assert got == plain(ids, x, labels)
     assert hnsw.near_copies(df.limit(0)).count() == 0
 
@@ -57,3 +57,8 @@ def test_graph_recall():
     truth = set(zip(*np.nonzero(unit @ unit.T >= 0.98), strict=True))
     found = {p for i, j in shard.links(x) for p in zip(i, j, strict=True)}
     assert found <= truth and len(found) >= 0.97 * len(truth)
+    # planted pairs by themselves: neither matches with oneself nor the dense cluster count
+    planted = {(i, 3000 + i) for i in range(600) if unit[i] @ unit[3000 + i] >= 0.98}
+    assert len(planted) > 100 and len(found & planted) >= 0.97 * len(planted)
+    near = {(j, i) for i, j in found} | found
+    assert planted <= near

@@ -8,7 +8,8 @@ itself) are compared with brute force, and beams widen until enough of both are
 the shard is searched by blocks of brute force. Links are verified by cosine in double precision.
 
 Equal vectors of a label are one row of the index, with their number. A task streams its queries: it holds one shard
-and one batch. It counts links and emits a spanning forest of them, never the pairs of a dense group; components are
+and one batch. Where a shard has more than QUERIES queries of other shards, they are dealt to several tasks, each with
+the shard. It counts links and emits a spanning forest of them, never the pairs of a dense group; components are
 the connected components of the forests.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those with a null label or id,
@@ -30,6 +31,7 @@ from tidewater.llm.common import Cuts, components, local_labels
 SIMILARITY, SHARD = 0.98, 1 << 14
 DEGREE, WIDTHS, AUDIT, RECALL = 24, (32, 64, 128, 256), 64, 0.98
 BLOCK, BATCH, SLACK = 512, 1024, 1e-4
+QUERIES = 1 << 20
 
 
 def diverse(own: np.ndarray, ids: np.ndarray, x: np.ndarray, degree: int) -> np.ndarray:
@@ -211,7 +213,8 @@ class Shard:
 
 
 def search(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (label, dim, target, query): a shard's members, then the vectors that query it."""
+    """Rows sorted by (label, dim, target, slice, query): a shard's members, then the vectors that query it. Only slice 0
+    tells of the members' own links."""
 
     def rows(rep, links, a, b) -> pd.DataFrame:
         return pd.DataFrame({"rep": np.concatenate([rep, a]), "links": np.concatenate([links, np.zeros(len(a), np.int64)]), "other": np.concatenate([np.full(len(rep), -1), b]), "edge": np.concatenate([np.zeros(len(rep), bool), np.ones(len(a), bool)])})
@@ -224,6 +227,7 @@ def search(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
         x = pd.concat(members, ignore_index=True)
         made = Shard(np.stack(x["embedding"].to_numpy()), similarity)
         made.rep, made.times = x["rep"].to_numpy(), x["times"].to_numpy()
+        lead = x["slice"].iloc[0] == 0
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
         pairs = []
         for i, j in made.links(np.stack(x["embedding"].to_numpy())):
@@ -237,12 +241,12 @@ def search(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
         label = local_labels(len(x), i, j)
         made.label = label
         moved = label != np.arange(len(x))
-        return made, rows(made.rep, links, made.rep[moved], made.rep[label[moved]])
+        return made, rows(made.rep, links, made.rep[moved], made.rep[label[moved]]) if lead else rows(none, none, none, none)
 
     for batch in batches:
-        for k, x in batch.groupby(["label", "dim", "target"], sort=False):
+        for k, x in batch.groupby(["label", "dim", "target", "slice"], sort=False):
             if k != key:
-                if members and shard is None:
+                if members and shard is None and key[3] == 0:
                     yield opened()[1]
                 key, members, shard = k, [], None
             own, queries = x[~x["query"]], x[x["query"]]
@@ -261,11 +265,11 @@ def search(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
                     edge_a.append(rep[touched // shard.n])
                     edge_b.append(shard.rep[touched % shard.n])
                 yield rows(rep, links, np.concatenate(edge_a), np.concatenate(edge_b))
-    if members and shard is None:
+    if members and shard is None and key[3] == 0:
         yield opened()[1]
 
 
-def near_copies(vectors: DataFrame, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
+def near_copies(vectors: DataFrame, similarity: float = SIMILARITY, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of vectors (vec_id, embedding, label)."""
     cuts = Cuts(vectors.sparkSession)
     e = F.col("embedding")
@@ -275,11 +279,14 @@ def near_copies(vectors: DataFrame, similarity: float = SIMILARITY, shard: int =
     rows = vectors.select("vec_id", "label", "embedding", usable.alias("usable"), k1.alias("k1"), k2.alias("k2"))
     distinct = rows.where("usable").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.any_value("embedding").alias("embedding"))
     distinct = cuts.write(distinct.withColumn("dim", F.size("embedding")))
-    shards = distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    shards = distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.ceil(F.count("*") / queries).cast("int").alias("slices"))
     dealt = distinct.join(shards, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-    sent = dealt.select("label", "dim", "rep", "times", "embedding", "own", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("target"))
-    sent = sent.withColumn("query", F.col("own") != F.col("target")).drop("own")
-    sent = sent.repartition("label", "dim", "target").sortWithinPartitions("label", "dim", "target", "query", "rep")
+    sent = dealt.select("label", "dim", "rep", "times", "embedding", "own", "slices", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("target"))
+    sent = sent.withColumn("query", F.col("own") != F.col("target"))
+    one = F.array(F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("slices")).cast("int"))
+    sent = sent.withColumn("slice", F.explode(F.when(F.col("query"), one).otherwise(F.sequence(F.lit(0), F.col("slices") - 1)))).drop("own", "slices")
+    key = ["label", "dim", "target", "slice"]
+    sent = sent.repartition(*key).sortWithinPartitions(*key, "query", "rep")
     found = cuts.write(sent.mapInPandas(lambda b: search(b, similarity), "rep long, links long, other long, edge boolean"))
     links = found.where("not edge").groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("edge").select(F.col("rep").alias("a"), F.col("other").alias("b")), cuts).withColumnRenamed("node", "rep")
