@@ -1,135 +1,201 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents fall into cells of source, language and topic. One aggregation counts each cell's tokens. Values that the
-targets don't name share one level, so the table of cells is bounded by the targets, not by the data: it is fitted on
-the driver and broadcast. Raking scales the cells' token weights to one marginal after the other until all hold.
-Cells' weights over their tokens, scaled to the budget with probabilities of 1 at most, are the calibrated sampling
-probabilities; a document is kept if its hash falls below its cell's.
-
-Topic, where there is no such column, is the form of the whole text: table, markup, numeric, prose or empty. Defined
-results: null and unnamed values are OTHER; targets of levels without tokens are dropped and the rest rescaled; texts
-without words have no weight and go; rows with the same id share their fate, null ids are hashed by text; an empty
-table gives no rows.
+Documents fall into cells of source, language and topic. One aggregation counts each cell's tokens; it is bounded by
+`levels` a marginal, beyond which values are one level, OTHER. Raking scales the cells' expected tokens to one marginal
+after the other until all hold. A cell can't give more tokens than it has, so each scaling is sought under that bound
+(a document is never drawn twice); what a marginal lacks because of it is reported, not hidden. A cell's expected
+tokens over its tokens are the calibrated sampling probability; a document is kept if its hash falls below its cell's.
+
+Targets are given by level. Where none are, they are tempered: the marginals that cells have whose tokens are raised to
+`power` and scaled to the budget under the same bound, so that small sources, languages and topics gain on large ones
+and the marginals can hold together. Targets that contradict each other are followed for `rounds` and then reported.
+Topic, where there is no such column, is fitted (llm/topics.py).
+Defined results: null values and those that targets don't name are OTHER; targets of levels without tokens are dropped
+and the rest rescaled; with no target left the corpus' own shares hold; texts without words have no weight and go; rows
+with the same id share their fate, null ids are hashed by text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACE
+from tidewater.llm import topics
+from tidewater.llm.common import Cuts, bounded_batches
 
 OTHER = "(other)"
 DIMS = ("source", "lang", "topic")
+CELL = [f"_{d}" for d in DIMS]
 
 
 @dataclass(frozen=True)
 class Targets:
-    """Shares of tokens wanted for each marginal; budget: the share of all tokens to keep."""
+    """Shares of tokens wanted by level (None: tempered shares of the corpus); budget: the share of all tokens to keep."""
 
-    source: dict[str, float] = field(default_factory=lambda: {"src0": 0.2} | {f"src{i}": 0.8 / 19 for i in range(1, 20)} | {OTHER: 0.001})
-    lang: dict[str, float] = field(default_factory=lambda: {"en": 0.56, "de": 0.15, "fr": 0.15, "es": 0.13, OTHER: 0.01})
-    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.9, "table": 0.05, "markup": 0.03, "numeric": 0.01, OTHER: 0.01})
+    source: dict[str, float] | None = None
+    lang: dict[str, float] | None = None
+    topic: dict[str, float] | None = None
     budget: float = 0.6
+    power: float = 0.7
     seed: int = 17
-
-
-def count_of(text: Column, symbols: str) -> Column:
-    """Occurrences of a character class."""
-    return F.regexp_count(text, F.lit(symbols))
-
-
-def labelled(docs: DataFrame, targets: Targets) -> DataFrame:
-    """docs and _source, _lang, _topic (levels of the targets) and _u, the document's place in [0, 1)."""
-    text = F.coalesce("text", F.lit(""))
-    n = F.length(text)
-    topic = (
-        F.when(~text.rlike(f"[^{SPACE}]"), "empty")
-        .when(25 * count_of(text, "[|]") >= n, "table")
-        .when(25 * count_of(text, "[#*$%&<>{}=]") >= n, "markup")
-        .when(5 * count_of(text, "[0-9]") >= n, "numeric")
-        .otherwise("prose")
-    )
-    values = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic") if "topic" in docs.columns else topic}
-    levels = {f"_{d}": F.when(v.isin(*[k for k in getattr(targets, d) if k != OTHER]), v).otherwise(OTHER) for d, v in values.items()}
-    h = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(targets.seed), "text")).otherwise(F.xxhash64(F.lit(targets.seed), "doc_id"))
-    return docs.withColumns(levels | {"_u": F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))})
-
-
-def tokens() -> Column:
-    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
-
-
-def rake(counts: dict[tuple[str, ...], int], targets: Targets, tolerance: float = 1e-10, rounds: int = 10_000) -> dict[tuple[str, ...], float]:
-    """Weight of each cell, summing to 1, whose marginals are the targets, in the proportions of the counts."""
-    axes = [sorted(set(k[i] for k in counts)) for i in range(len(DIMS))]
-    w = np.zeros([len(a) for a in axes])
-    for k, v in counts.items():
-        w[tuple(a.index(x) for a, x in zip(axes, k, strict=True))] = v
-    want = []
-    for i, (d, a) in enumerate(zip(DIMS, axes, strict=True)):
-        t = np.array([getattr(targets, d).get(x, 0.0) for x in a])
-        t[w.sum(axis=tuple(j for j in range(len(DIMS)) if j != i)) == 0] = 0
-        want.append(t / t.sum())
-    w /= w.sum()
+    levels: int = 200
+    topics: int = 8
+
+
+@dataclass
+class Raked:
+    """Expected tokens of each cell, and for each marginal's level the share wanted and that expected."""
+
+    tokens: dict[tuple[str, ...], int]
+    expected: dict[tuple[str, ...], float]
+    shares: list[tuple[str, str, float, float]]
+    converged: bool
+    centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, topics.WIDTH)))
+    named: dict[str, list[str]] = field(default_factory=dict)
+
+    def probability(self, cell: tuple[str, ...]) -> float:
+        return self.expected[cell] / self.tokens[cell]
+
+
+def bounded_factor(y: np.ndarray, most: np.ndarray, wanted: float) -> float:
+    """a such that min(most, a * y) sums to wanted; if all of most is too little, one that reaches all."""
+    if wanted <= 0 or not len(y):
+        return 0.0
+    order = np.argsort(most / y, kind="stable")
+    y, most = y[order], most[order]
+    full = np.concatenate(([0.0], np.cumsum(most)[:-1]))  # of those that reach their bound before
+    rest = np.cumsum(y[::-1])[::-1]
+    a = (wanted - full) / rest
+    fits = a <= most / y
+    return float(a[fits.argmax()]) if fits.any() else float(most[-1] / y[-1])
+
+
+def tempered(tokens: np.ndarray, total: float, power: float) -> np.ndarray:
+    """Tokens of cells raised to a power and scaled to the total, none above what it has."""
+    y = tokens**power
+    return np.minimum(tokens, bounded_factor(y, tokens, total) * y)
+
+
+def wanted_shares(tokens: np.ndarray, level: np.ndarray, names: list[str], target: dict[str, float] | None, total: float, power: float) -> np.ndarray:
+    t = np.bincount(level, weights=tempered(tokens, total, power) if target is None else tokens, minlength=len(names))
+    if target is not None and sum(target.get(n, 0.0) for n in names) > 0:
+        t = np.array([target.get(n, 0.0) for n in names])
+    return t / t.sum()
+
+
+def rake(counts: dict[tuple[str, ...], int], targets: Targets, tolerance: float = 1e-9, rounds: int = 2000) -> Raked:
+    """Expected tokens of cells in the proportions of their counts, none above its count, whose marginals are the targets."""
+    cells = sorted(counts)
+    n = np.array([counts[c] for c in cells], float)
+    total = targets.budget * n.sum()
+    axes = []
+    for i, d in enumerate(DIMS):
+        names = sorted({c[i] for c in cells})
+        level = np.array([names.index(c[i]) for c in cells])
+        axes.append((names, level, wanted_shares(n, level, names, getattr(targets, d), total, targets.power), [np.flatnonzero(level == k) for k in range(len(names))]))
+    factors = [np.ones(len(names)) for names, *_ in axes]
+    x, worst = n * targets.budget, np.inf
     for _ in range(rounds):
         worst = 0.0
-        for i, t in enumerate(want):
-            other = tuple(j for j in range(len(DIMS)) if j != i)
-            now = w.sum(axis=other)
-            worst = max(worst, float(np.abs(now - t).max()))
-            factor = np.divide(t, now, out=np.zeros_like(t), where=now > 0)
-            w *= factor.reshape([-1 if j == i else 1 for j in range(len(DIMS))])
+        for i, (_, _, want, members) in enumerate(axes):
+            y = n * targets.budget
+            for j, (_, level, *_) in enumerate(axes):
+                if j != i:
+                    y = y * factors[j][level]
+            for k, at in enumerate(members):
+                live = at[y[at] > 0]
+                worst = max(worst, abs(x[at].sum() - want[k] * total) / max(total, 1.0))
+                factors[i][k] = bounded_factor(y[live], n[live], want[k] * total)
+                x[at] = np.minimum(n[at], factors[i][k] * y[at])
         if worst < tolerance:
             break
-    return {k: float(w[tuple(a.index(x) for a, x in zip(axes, k, strict=True))]) for k in counts}
-
-
-def probabilities(counts: dict[tuple[str, ...], int], weights: dict[tuple[str, ...], float], budget: float) -> dict[tuple[str, ...], float]:
-    """p = min(1, c * weight / tokens), with c such that the expected tokens are the budget (or all that have weight)."""
-    keys = [k for k in counts if weights[k] > 0]
-    ratio = np.array([weights[k] / counts[k] for k in keys])
-    size = np.array([counts[k] for k in keys], float)
-    left, full = budget * sum(counts.values()), np.zeros(len(keys), bool)
-    while not full.all():
-        c = left / (ratio * size)[~full].sum()
-        over = ~full & (c * ratio >= 1)
-        if not over.any() or left <= 0:
-            break
-        left -= size[over].sum()
-        full |= over
-    p = np.where(full, 1.0, np.clip(c * ratio, 0, 1)) if len(keys) else []
-    return dict.fromkeys(counts, 0.0) | {k: float(x) for k, x in zip(keys, p, strict=True)}
+    share = lambda i, k: float(x[axes[i][3][k]].sum() / max(x.sum(), 1e-300))
+    shares = [(d, name, float(axes[i][2][k]), share(i, k)) for i, d in enumerate(DIMS) for k, name in enumerate(axes[i][0])]
+    return Raked(dict(counts), dict(zip(cells, x.tolist(), strict=True)), shares, worst < tolerance)
+
+
+def leveled(rows: DataFrame, named: dict[str, list[str]]) -> DataFrame:
+    """rows with their values of DIMS that aren't among the named ones as OTHER."""
+    return rows.withColumns({f"_{d}": F.when(F.col(f"_{d}").isin(*named[d]), F.col(f"_{d}")).otherwise(OTHER) if named[d] else F.lit(OTHER) for d in DIMS})
+
+
+def topic_name(at: np.ndarray) -> pa.Array:
+    return pa.array(pd.Series(at, dtype=object).map(lambda k: None if k < 0 else f"topic{k}"), pa.string())
+
+
+def fit(docs: DataFrame, targets: Targets, cuts: Cuts) -> Raked:
+    """Topics, the named levels of each marginal, and the raked cells."""
+    bounded_batches(docs.sparkSession)
+    own = "topic" in docs.columns
+    values = docs.select("text", *[F.col(d).cast("string").alias(f"_{d}") if d != "topic" or own else F.lit(None).cast("string").alias("_topic") for d in DIMS])
+    rows = cuts.write(topics.hashed(values, *CELL))
+    centroids = np.zeros((0, topics.WIDTH)) if own else topics.fit(rows, targets.topics, cuts)[0]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            at = topics.nearest(topics.stacked(x.column(4)), centroids) if len(centroids) else np.full(x.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2) if own else topic_name(at), x.column(3)], [*CELL, "n"])
+
+    cells = cuts.write(rows.mapInArrow(label, ", ".join(f"{c} string" for c in CELL) + ", n long").groupBy(*CELL).agg(F.sum("n").alias("n")).where("n > 0"))
+    named = {}
+    for d in DIMS:
+        if (target := getattr(targets, d)) is not None:
+            named[d] = [k for k in target if k != OTHER]
+        else:
+            top = cells.where(F.col(f"_{d}").isNotNull()).groupBy(f"_{d}").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), f"_{d}").limit(targets.levels)
+            named[d] = [r[0] for r in top.collect()]
+    found = leveled(cells, named).groupBy(*CELL).agg(F.sum("n").alias("n")).collect()  # bounded by the levels
+    counts = {tuple(r[c] for c in CELL): r["n"] for r in found}
+    raked = rake(counts, targets) if counts else Raked({}, {}, [], True)
+    raked.centroids, raked.named = centroids, named
+    cuts.only()
+    return raked
+
+
+def labelled(docs: DataFrame, raked: Raked, seed: int) -> DataFrame:
+    """docs and _source, _lang, _topic (levels), _n (words) and _u, the document's place in [0, 1)."""
+    centroids = raked.centroids
+
+    @F.arrow_udf("struct<n long, topic string>")
+    def words_and_topic(text: pa.Array) -> pa.Array:
+        v, n = topics.vectors(text)
+        at = topics.nearest(v, centroids) if len(centroids) else np.full(len(n), -1)
+        return pa.StructArray.from_arrays([pa.array(n), topic_name(at)], ["n", "topic"])
+
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    out = docs.withColumn("_made", words_and_topic("text"))
+    values = {f"_{d}": F.col(d).cast("string") for d in DIMS if d in docs.columns} | ({} if "topic" in docs.columns else {"_topic": F.col("_made.topic")})
+    return leveled(out.withColumns(values | {"_n": F.col("_made.n"), "_u": F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))}), raked.named).drop("_made")
 
 
-def fitted(docs: DataFrame, targets: Targets) -> DataFrame:
-    """(_source, _lang, _topic, weight, probability), a row for each cell that has tokens."""
-    cells = [f"_{d}" for d in DIMS]
-    found = labelled(docs, targets).groupBy(*cells).agg(F.sum(tokens()).alias("n")).where("n > 0").collect()  # bounded by the targets
-    bound = len(list(itertools.product(*(set(getattr(targets, d)) | {OTHER} for d in DIMS))))
-    assert len(found) <= bound
-    counts = {tuple(r[c] for c in cells): r["n"] for r in found}
-    weights = rake(counts, targets) if counts else {}
-    p = probabilities(counts, weights, targets.budget) if counts else {}
-    return docs.sparkSession.createDataFrame([(*k, weights[k], p[k]) for k in sorted(counts)], ", ".join(f"{c} string" for c in cells) + ", weight double, probability double")
+def shares(raked: Raked, like: DataFrame) -> DataFrame:
+    """(marginal, level, target, expected, shortfall): shares of tokens; shortfall: what the bound of one draw a document costs."""
+    rows = [(d, k, t, e, max(0.0, t - e)) for d, k, t, e in raked.shares]
+    return like.sparkSession.createDataFrame(rows, "marginal string, level string, target double, expected double, shortfall double")
 
 
 def mixed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
-    """docs and weight, probability, kept; helper columns stay too."""
+    """docs and weight (the cell's share of expected tokens), probability, kept; helper columns stay too."""
     targets = targets or Targets()
-    rows = labelled(docs, targets).join(F.broadcast(fitted(docs, targets)), [f"_{d}" for d in DIMS], "left")
-    rows = rows.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "probability": F.coalesce("probability", F.lit(0.0))})
+    raked = fit(docs, targets, Cuts(docs.sparkSession))
+    total = sum(raked.expected.values()) or 1.0
+    cells = docs.sparkSession.createDataFrame([(*k, x / total, raked.probability(k)) for k, x in sorted(raked.expected.items())], ", ".join(f"{c} string" for c in CELL) + ", weight double, probability double")
+    rows = labelled(docs, raked, targets.seed).join(F.broadcast(cells), CELL, "left")  # bounded by the levels
+    some = F.col("_n") > 0
+    rows = rows.withColumns({k: F.when(some, F.coalesce(k, F.lit(0.0))).otherwise(0.0) for k in ("weight", "probability")})
     return rows.withColumn("kept", F.col("_u") < F.col("probability"))
 
 
 def sample(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """The kept rows with their own columns. Own columns named like a helper are set aside meanwhile."""
     own = docs.columns
-    needed = [c for c in ("doc_id", "text", "source", "lang", "topic") if c in own]
+    needed = [c for c in ("doc_id", "text", *DIMS) if c in own]
     clash = {c: f"_own{i}_{c}" for i, c in enumerate(own) if c not in needed}
-    out = mixed(docs.withColumnsRenamed(clash), targets).where("kept").drop("weight", "probability", "kept", "_u", *[f"_{d}" for d in DIMS])
-    return out.withColumnsRenamed({v: k for k, v in clash.items()}).select(*own)
+    out = mixed(docs.withColumnsRenamed(clash), targets).where("kept")
+    return out.select(*[F.col(clash.get(c, c)).alias(c) for c in own])
