@@ -61,3 +61,26 @@ def test_frame(spark):
     docs = spark.createDataFrame([(1, "x" * 2500, "a"), (2, None, "b"), (3, "", "c")], "id long, body string, content string")
     out = chunk(docs, "id", "body").orderBy("chunk_index").collect()
     assert [(r.id, r.chunk_index, r.start, r.end) for r in out] == [(1, 0, 0, 1000), (1, 1, 800, 1800), (1, 2, 1600, 2500)]
+
+
+def test_hierarchy(spark):
+    from tidewater.operators.chunking import HierarchicalSplitter, WindowSplitter, chunk, with_parents
+
+    text = "".join(f"line {i}\n" for i in range(900))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, "")], "doc_id long, text string")
+    rows = with_parents(chunk(docs, splitter=HierarchicalSplitter()), docs).collect()
+    assert all(r.content == {1: text, 2: "short"}[r.doc_id][r.start : r.end] and r.content in r.parent_content for r in rows)
+    parents = {r.parent_content for r in rows if r.doc_id == 1}
+    assert parents == {c.text for c in WindowSplitter(2000, 0, 200).split_text(text)} and [r.content for r in rows if r.doc_id == 2] == ["short"]
+
+
+def test_files_are_split_by_their_kind(spark, tmp_path):
+    from tidewater.sources.files import chunk_files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a_b.md").write_text("# One\nx\n## Two\ny\n")
+    (tmp_path / "sub" / "c.txt").write_text("plain " * 300)
+    (tmp_path / "d.pdf").write_text("no")
+    rows = chunk_files(spark, str(tmp_path)).collect()
+    assert sorted((r.title, r.chunk_index, r.cut_type) for r in rows if r.title == "A B") == [("A B", 0, "One"), ("A B", 1, "One > Two")]
+    assert {r.title for r in rows} == {"A B", "C"} and sum(r.title == "C" for r in rows) == 2

@@ -113,3 +113,61 @@ def test_embedder():
 
     with pytest.raises(RuntimeError):
         embed_query(Broken(), "x")
+
+
+def test_search_index(spark):
+    from tidewater.operators.embedding import HashingEmbedder
+    from tidewater.operators.search import SearchIndex, metadata_filter
+
+    rows = [(1, "Python", "Loops", "for loops in python " * 30, {"k": "a"}), (2, "Java", "Arrays", "java arrays and loops " * 30, {"k": "b"}), (3, None, "", "nothing like it", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, title string, text string, metadata map<string,string>")
+    index = SearchIndex.build(docs, "text", HashingEmbedder(), context=("lang", "title"), fields=("title",), filters=("lang",))
+    assert index.vector("python loops").first().doc_id == 1
+    assert [r.doc_id for r in index.fts("title:arrays").collect()] == [2]
+    assert {r.doc_id: r.match_type for r in index.hybrid("java arrays").collect()} == {2: "HYBRID", 1: "VECTOR", 3: "VECTOR"}
+    assert {r.doc_id for r in index.hybrid("loops", facets={"lang": "Python"}).collect()} == {1}
+    with pytest.raises(ValueError):
+        index.fts("x", facets={"title": "Loops"})
+    assert [r.doc_id for r in metadata_filter(docs, {"k": "b"}).collect()] == [2]
+
+
+def test_index_rows_without_a_document_are_hidden(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c")], "doc_id long, text string")
+    stale = fulltext.build(docs, {"text": None})
+    assert [r.doc_id for r in fulltext.search(stale, "a", 10, docs.where("doc_id = 2")).collect()] == [2]
+
+
+def test_breadcrumbs_and_assets(spark):
+    from pyspark.sql import functions as F
+
+    from tidewater.functions.text import assets, breadcrumb_text, search_text
+
+    df = spark.createDataFrame([("D", "A > B", "x ![i](p/a.png) ![](b.svg \"t\")"), ("", None, "x")], "d string, p string, t string")
+    out = df.select(breadcrumb_text(F.col("d"), F.col("p"), F.col("t")).alias("b"), assets(F.col("t")).alias("a"), search_text("d", "p", "t").alias("s")).collect()
+    assert out[0].b.startswith("Document: D\nPath: A > B\n---\nx") and out[0].a == ["p/a.png", "b.svg"] and out[1].b == "x"
+    assert out[0].s.split("\n")[:2] == ["D", "A > B"] and out[1].s == "x"
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_near_is_brute_force(spark, n):
+    import itertools
+    import random
+
+    rnd = random.Random(n)
+    texts = [" ".join(rnd.choice("abcdxyz") for _ in range(rnd.randrange(2, 40))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits, _ = fulltext.matches(fulltext.build(docs, {"text": None}), f'NEAR("a b" c d, {n})')
+    got = {r.doc_id: (r.tf0, r.tf1, r.tf2) for r in hits.collect() if r.tf0}
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        at = [[k for k in range(len(w)) if w[k : k + len(p)] == p] for p in (["a", "b"], ["c"], ["d"])]
+        part = [set(), set(), set()]
+        for combo in itertools.product(*at):
+            m = max(combo)
+            if all(m - s <= len(p) + n for s, p in zip(combo, (["a", "b"], ["c"], ["d"]), strict=True)):
+                for x, s in zip(part, combo, strict=True):
+                    x.add(s)
+        if part[0]:
+            want[i] = tuple(map(len, part))
+    assert got == want

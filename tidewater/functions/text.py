@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,11 +26,20 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.coalesce(fold(text), F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def python_tokens(text: str) -> list[str]:
-    """The same for a query string on the driver."""
+_FOLDING = str.maketrans(FOLD_FROM, FOLD_TO)
+
+
+@cache
+def _token():
     import regex
 
-    return regex.findall(TOKEN, text.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO)))
+    return regex.compile(TOKEN)
+
+
+def python_tokens(text: str) -> list[str]:
+    """The same for a string in Python: queries on the driver, texts in workers."""
+    low = text.lower()
+    return _token().findall(low if low.isascii() else low.translate(_FOLDING))
 
 
 def context_text(category: Column, title: Column) -> Column:
@@ -42,6 +52,23 @@ def vector_text(context: Column, chunk: Column) -> Column:
     return F.when(context != "", F.concat(context, F.lit("\n\n"), chunk)).otherwise(chunk)
 
 
+def search_text(*parts: Column | str) -> Column:
+    """A row's text to search by: its parts that there are, in order, on lines of their own."""
+    each = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.concat_ws("\n", *[F.when(p != "", p) for p in each])
+
+
+def breadcrumb_text(title: Column, path: Column, text: Column) -> Column:
+    """A section's text under its document and path of headings (`A > B`)."""
+    head = F.concat_ws("\n", F.concat(F.lit("Document: "), F.when(title != "", title)), F.concat(F.lit("Path: "), F.when(path != "", path)))
+    return F.when(head != "", F.concat(head, F.lit("\n---\n"), text)).otherwise(text)
+
+
+def assets(markdown: Column) -> Column:
+    """The targets of a Markdown text's images, in order."""
+    return F.regexp_extract_all(markdown, F.lit(r"!\[[^\]]*\]\(([^)\s]+)"), F.lit(1))
+
+
 def preview(text: Column | str, n: int = 80) -> Column:
     """The first n characters on one line, with dots."""
     return F.concat(F.translate(F.substring(text, 1, n), "\n", " "), F.lit("..."))

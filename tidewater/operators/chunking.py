@@ -127,6 +127,26 @@ class MarkdownSplitter:
             yield Chunk(i, a, b, crumbs, i == len(pieces) - 1, text[a:b])
 
 
+@dataclass(frozen=True)
+class HierarchicalSplitter:
+    """Small chunks to search, each inside a large one to show. A chunk's cut_type is `start-end` of its large one."""
+
+    parent: TextSplitter = WindowSplitter(2000, 0, 200)
+    child: TextSplitter = WindowSplitter(400, 50, 40)
+
+    def split_text(self, text: str | None) -> Iterator[Chunk]:
+        made = [(p, c) for p in self.parent.split_text(text) for c in self.child.split_text(p.text)]
+        for i, (p, c) in enumerate(made):
+            yield Chunk(i, p.start + c.start, p.start + c.end, f"{p.start}-{p.end}", i == len(made) - 1, c.text)
+
+
+def with_parents(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of a HierarchicalSplitter and parent_content, the text of the large chunk that each is in."""
+    edge = F.split("cut_type", "-")
+    start, end = edge[0].cast("int"), edge[1].cast("int")
+    return chunks.join(docs.select(id_col, F.col(text_col).alias("_text")), id_col).withColumn("parent_content", F.substring(F.col("_text"), start + 1, end - start)).drop("_text")
+
+
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", splitter: TextSplitter | None = None) -> DataFrame:
     """id_col and the columns of CHUNK: a row per chunk, produced where its document is; no shuffle."""
     splitter = splitter or WindowSplitter()

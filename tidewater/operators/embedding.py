@@ -22,7 +22,7 @@ class Embedder(Protocol):
     def embed(self, texts: list[str], task: str) -> np.ndarray: ...
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 20)
 def _place(token: str, dimension: int) -> tuple[int, float]:
     digest = hashlib.md5(token.encode()).hexdigest()
     return int(digest[:8], 16) % dimension, 1.0 if int(digest[8], 16) < 8 else -1.0
@@ -37,9 +37,9 @@ class HashingEmbedder:
     def embed(self, texts: list[str], task: str = "document") -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
         for row, text in zip(out, texts, strict=True):
-            for token in python_tokens(text):
-                bucket, sign = _place(token, self.dimension)
-                row[bucket] += sign
+            if places := [_place(token, self.dimension) for token in python_tokens(text)]:
+                buckets, signs = zip(*places, strict=True)
+                row += np.bincount(buckets, signs, self.dimension)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0).astype(np.float32)
 
@@ -71,3 +71,31 @@ def embed_column(embedder: Embedder, text: Column) -> Column:
             yield pd.Series([next(made) if t else None for t in there], dtype=object)
 
     return run(text)
+
+
+def try_embed_column(embedder: Embedder, text: Column) -> Column:
+    """Vectors of a text column by Arrow batches; blank and null texts, and batches that the embedder refuses, have none."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            there = x.notna() & (x.str.strip() != "")
+            try:
+                made = iter(wrapped(embedder, x[there].tolist(), "document") if there.any() else ())
+            except RuntimeError:
+                there &= False
+                made = iter(())
+            yield pd.Series([next(made) if t else None for t in there], dtype=object)
+
+    return run(text)
+
+
+class QueryCache:
+    """An embedder whose queries are embedded once, the latest `size` of them kept. Documents go straight through."""
+
+    def __init__(self, embedder: Embedder, size: int = 1024):
+        self.embedder, self.dimension = embedder, embedder.dimension
+        self.query = lru_cache(size)(lambda text: embedder.embed([text], "query")[0])
+
+    def embed(self, texts: list[str], task: str = "document") -> np.ndarray:
+        return np.stack([self.query(t) for t in texts]) if task == "query" and texts else self.embedder.embed(texts, task)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import tokens
@@ -28,7 +29,8 @@ class Index:
     fields: tuple[str, ...]
 
     def write(self, path: str) -> None:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        # a stop word's postings are spread by document
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
@@ -86,25 +88,28 @@ def _starts(p: Phrase) -> Column:
     return found if p.columns is None else F.when(F.col("field").isin(*p.columns), found).otherwise(F.array().cast("array<int>"))
 
 
-def _near(query: Query, group: int) -> dict[int, Column]:
-    """The starts of each phrase of a NEAR group that are part of a match: some phrase starts last, at m, and every
-    phrase has a start at m or before it that ends at most n tokens before m."""
-    members = [i for i, p in enumerate(query.phrases) if p.near == group]
-    n = query.near[group]
-    reach = {i: len(query.phrases[i].terms) + n for i in members}
-    ends = F.array_distinct(F.concat(*[F.col(f"s{i}") for i in members]))
+def _alive(fields: DataFrame, query: Query) -> DataFrame:
+    """(doc_id, i, start): the starts of phrase i that count. fields: doc_id, field and the sorted starts s0, s1, ...
 
-    def ends_within(m: Column, size: int):
-        return lambda x: (x <= m) & (x >= m - size)
-
-    def begins_within(x: Column, size: int):
-        return lambda m: (x <= m) & (x >= m - size)
-
-    def in_match(size: int):
-        return lambda x: F.exists(ok, begins_within(x, size))
-
-    ok = F.filter(ends, lambda m: reduce(lambda a, b: a & b, [F.exists(F.col(f"s{j}"), ends_within(m, reach[j])) for j in members]))
-    return {i: F.filter(F.col(f"s{i}"), in_match(reach[i])) for i in members}
+    In a NEAR group some phrase starts last, at m, and every phrase has a start at m or before it that ends at most n
+    tokens before m; starts that are part of such a match count. Starts are merged in their order: what stands last
+    before m, and which m comes next, are running values of a window over one field of one document.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"s{i}").alias("s")) for i in range(len(query.phrases))]))
+    starts = fields.select("doc_id", "field", each.alias("x")).select("doc_id", "field", F.col("x.i").alias("i"), F.explode("x.s").alias("start"))
+    out = [starts.where(F.col("i").isin(*alone)).select("doc_id", "i", "start")] if (alone := [i for i, p in enumerate(query.phrases) if p.near is None]) else []
+    for group, n in enumerate(query.near):
+        members = [i for i, p in enumerate(query.phrases) if p.near == group]
+        reach = {i: len(query.phrases[i].terms) + n for i in members}
+        by = W.partitionBy("doc_id", "field").orderBy("start")
+        so_far, from_here = by.rangeBetween(W.unboundedPreceding, 0), by.rangeBetween(0, W.unboundedFollowing)
+        last = {j: F.max(F.when(F.col("i") == j, F.col("start"))).over(so_far) for j in members}
+        whole = reduce(lambda a, b: a & b, [F.coalesce(F.col("start") - last[j] <= reach[j], F.lit(False)) for j in members])
+        rows = starts.where(F.col("i").isin(*members)).withColumn("m", F.when(whole, F.col("start")))
+        size = F.element_at(F.create_map(*[F.lit(x) for i in members for x in (i, reach[i])]), F.col("i"))
+        rows = rows.withColumn("next", F.min("m").over(from_here)).where(F.col("next") - F.col("start") <= size)
+        out.append(rows.select("doc_id", "i", "start"))
+    return reduce(DataFrame.union, out)
 
 
 def _holds(node: Node) -> Column:
@@ -139,8 +144,8 @@ def matches(index: Index, query: str | Query, parse_mode: str = "fts") -> tuple[
         tf = [F.sum(F.when(_wanted(p), F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, p in enumerate(phrases)]
         return rows.groupBy("doc_id").agg(*tf), query
     fields = rows.groupBy("doc_id", "field").agg(*[_starts(p).alias(f"s{i}") for i, p in enumerate(phrases)])
-    for g in range(len(query.near)):
-        fields = fields.withColumns({f"s{i}": c for i, c in _near(query, g).items()})
+    if query.near:
+        return _alive(fields, query).groupBy("doc_id").agg(*[F.count_if(F.col("i") == i).alias(f"tf{i}") for i in range(n)]), query
     return fields.groupBy("doc_id").agg(*[F.sum(F.size(f"s{i}")).alias(f"tf{i}") for i in range(n)]), query
 
 
@@ -165,5 +170,7 @@ def search(index: Index, query: str | Query, limit: int | None = 10, facets: Dat
         idf = math.log((corpus["n"] - here + 0.5) / (here + 0.5))
         tf, size = F.col(f"tf{i}").cast("double"), F.col("doc_len") / F.lit(corpus["avg"] or 1.0)
         score = score - F.lit(idf if idf > 0 else IDF_FLOOR) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size))
-    found = found.select("doc_id", F.round(score, 6).alias("score"))
-    return found if limit is None else ranked(found, F.asc("score"), F.asc("doc_id"), most=limit)
+    found = found.select("doc_id", score.alias("score"))
+    # ranked by the whole value, rounded to be read
+    found = found if limit is None else ranked(found, F.asc("score"), F.asc("doc_id"), most=limit)
+    return found.withColumn("score", F.round("score", 6))

@@ -7,13 +7,17 @@ compared, and facets apply before ("pre").
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.text import context_text, vector_text
 from tidewater.functions.vectors import cosine_distance, literal
 from tidewater.operators import fulltext
+from tidewater.operators.chunking import TextSplitter, chunk
+from tidewater.operators.embedding import Embedder, embed_column, embed_query
 from tidewater.operators.fusion import ranked, reciprocal_rank
 
 OVERSAMPLE, BRANCH = 10, 100
@@ -27,10 +31,15 @@ def facet_filter(df: DataFrame, facets: dict) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in facets.items()], F.lit(True))
 
 
-def nearest(vectors: DataFrame, query, k: int | None, id_col: str = "chunk_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """vectors and distance, the k nearest (None: all). Vectors without a direction have a null distance and come last."""
-    rows = vectors.withColumn("distance", F.round(cosine_distance(F.col(vector_col), literal(query)), digits)).drop(vector_col)
-    return rows if k is None else rows.orderBy(F.asc_nulls_last("distance"), F.asc(id_col)).limit(k)
+def nearest(vectors: DataFrame, query, k: int | None, id_col: str = "chunk_id", vector_col: str = "embedding", digits: int | None = 6) -> DataFrame:
+    """vectors and distance, the k nearest (None: all). Vectors without a direction have a null distance and come last.
+
+    Rows are ranked by the whole distance; digits: what it is rounded to then (None: it isn't).
+    """
+    rows = vectors.withColumn("distance", cosine_distance(F.col(vector_col), literal(query))).drop(vector_col)
+    if k is not None:
+        rows = rows.orderBy(F.asc_nulls_last("distance"), F.asc(id_col)).limit(k)
+    return rows if digits is None else rows.withColumn("distance", F.round("distance", digits))
 
 
 AGGREGATES = {"min": F.min, "avg": F.avg, "max": F.max}
@@ -45,19 +54,19 @@ def vector_search(parents: DataFrame, vectors: DataFrame, query, limit: int = 10
     allowed = parents.where(facet_filter(parents, facets)).select(parent_id)
     if facet_mode == "pre":
         vectors = vectors.join(allowed, parent_id, "left_semi")
-    hits = nearest(vectors, query, None if exact else OVERSAMPLE * limit)
+    hits = nearest(vectors, query, None if exact else OVERSAMPLE * limit, digits=None)
     if facet_mode == "post":
         hits = hits.join(allowed, parent_id, "left_semi")
     best = F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", "chunk_id")))["chunk_id"].alias("best_chunk")
-    found = hits.groupBy(parent_id).agg(F.round(AGGREGATES[agg]("distance"), 6).alias("distance"), best)
-    return ranked(found, F.asc_nulls_last("distance"), F.asc(parent_id), most=limit)
+    found = hits.groupBy(parent_id).agg(AGGREGATES[agg]("distance").alias("distance"), best)
+    return ranked(found, F.asc_nulls_last("distance"), F.asc(parent_id), most=limit).withColumn("distance", F.round("distance", 6))
 
 
 def hybrid_search(parents: DataFrame, vectors: DataFrame, index: fulltext.Index, query, text: str, limit: int = 10, *, k: int = 60, facets: dict | None = None, facet_mode: str = "post", exact: bool = False, parent_id: str = "doc_id", parse_mode: str = "fts") -> DataFrame:
     """(parent_id, score, rank_0 by vectors, rank_1 by text, rank): both branches capped, then fused by rank."""
     allowed = parents.where(facet_filter(parents, facets or {})).select(F.col(parent_id).alias("doc_id"))
     hits = vectors.join(allowed, vectors[parent_id] == allowed["doc_id"], "left_semi") if facet_mode == "pre" else vectors
-    hits = nearest(hits, query, None if exact else OVERSAMPLE * limit)
+    hits = nearest(hits, query, None if exact else OVERSAMPLE * limit, digits=None)
     if facet_mode == "post":
         hits = hits.join(allowed, hits[parent_id] == allowed["doc_id"], "left_semi")
     near = hits.groupBy(F.col(parent_id).alias("doc_id")).agg(F.min("distance").alias("distance"))
@@ -69,9 +78,63 @@ def hybrid_search(parents: DataFrame, vectors: DataFrame, index: fulltext.Index,
 
 
 def hydrate(results: DataFrame, parents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Whole rows of the ranked ids, in order; ids whose row is gone are left out. Results hold `limit` rows at most."""
-    return parents.join(F.broadcast(results), id_col).orderBy("rank")
+    """Whole rows of the ranked ids, in order; ids whose row is gone are left out. Whether the ids are broadcast is left
+    to their size."""
+    return parents.join(results, id_col).orderBy("rank")
 
 
 def facet_counts(parents: DataFrame, column: str) -> DataFrame:
     return parents.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def row_search(rows: DataFrame, query, limit: int = 10, *, facets: dict | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(id_col, distance, rank) of whole documents with one vector each: facets apply before the nearest are taken."""
+    found = nearest(rows.where(facet_filter(rows, facets or {})).select(id_col, vector_col), query, None, id_col, vector_col, None)
+    return ranked(found, F.asc_nulls_last("distance"), F.asc(id_col), most=limit).withColumn("distance", F.round("distance", 6))
+
+
+def metadata_filter(df: DataFrame, wanted: dict[str, str], column: str = "metadata") -> DataFrame:
+    """Rows whose metadata (a map) has all wanted values."""
+    return df.where(reduce(lambda a, b: a & b, [F.coalesce(F.col(column)[k] == F.lit(v), F.lit(False)) for k, v in wanted.items()], F.lit(True)))
+
+
+def with_match_type(results: DataFrame) -> DataFrame:
+    """Fused results and match_type: what found a row, VECTOR, FTS or HYBRID."""
+    near, words = F.col("rank_0").isNotNull(), F.col("rank_1").isNotNull()
+    return results.withColumn("match_type", F.when(near & words, "HYBRID").when(near, "VECTOR").otherwise("FTS"))
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """A declared index over a table of documents: what is searched, what gives context, and what may be filtered by."""
+
+    parents: DataFrame
+    vectors: DataFrame
+    words: fulltext.Index
+    embedder: Embedder
+    parent_id: str = "doc_id"
+    filters: tuple[str, ...] = ()
+
+    @staticmethod
+    def build(docs: DataFrame, content: str, embedder: Embedder, *, context: tuple[str, str] | None = None, fields: tuple[str, ...] = (), filters: tuple[str, ...] = (), parent_id: str = "doc_id", splitter: TextSplitter | None = None) -> SearchIndex:
+        """context: the columns of category and title that are embedded with each chunk; fields: further columns of words."""
+        cut = chunk(docs.where(F.trim(content) != ""), parent_id, content, splitter).select(parent_id, "chunk_index", F.col("content").alias("_piece"))
+        named = docs.select(parent_id, (context_text(F.col(context[0]), F.col(context[1])) if context else F.lit("")).alias("_context"))
+        rows = cut.join(named, parent_id).select(F.xxhash64(parent_id, "chunk_index").alias("chunk_id"), parent_id, embed_column(embedder, vector_text(F.col("_context"), F.col("_piece"))).alias("embedding"))
+        return SearchIndex(docs, rows, fulltext.build(docs, dict.fromkeys((*fields, content)), parent_id), embedder, parent_id, filters)
+
+    def _facets(self, facets: dict | None) -> dict:
+        if unknown := set(facets or {}) - set(self.filters):
+            raise ValueError(f"not declared as filters: {sorted(unknown)}")
+        return facets or {}
+
+    def vector(self, text: str, limit: int = 10, facets: dict | None = None) -> DataFrame:
+        return vector_search(self.parents, self.vectors, embed_query(self.embedder, text).tolist(), limit, facets=self._facets(facets), parent_id=self.parent_id)
+
+    def fts(self, text: str, limit: int = 10, facets: dict | None = None, parse_mode: str = "fts") -> DataFrame:
+        allowed = self.parents.where(facet_filter(self.parents, self._facets(facets))).select(F.col(self.parent_id).alias("doc_id"))
+        return fulltext.search(self.words, text, limit, allowed, parse_mode).withColumnRenamed("doc_id", self.parent_id)
+
+    def hybrid(self, text: str, limit: int = 10, facets: dict | None = None, parse_mode: str = "plain") -> DataFrame:
+        found = hybrid_search(self.parents, self.vectors, self.words, embed_query(self.embedder, text).tolist(), text, limit, facets=self._facets(facets), parent_id=self.parent_id, parse_mode=parse_mode)
+        return with_match_type(found)

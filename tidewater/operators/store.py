@@ -1,13 +1,14 @@
 """Maintenance of tables: upserts, replacement of chunks, cascading deletes, checks; and a store of versions on disk.
 
 Changes are sets of rows: anti-joins and unions. A store's table is a folder of versions and a pointer to the current
-one; a save writes new versions of all tables it changes and then moves each pointer, so readers see whole tables.
+ones; a change writes versions of all tables it touches and then moves each pointer, so readers see whole tables.
 There is no transaction over several tables on plain files: pointers move one after another.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tidewater.functions.text import context_text, vector_text
 from tidewater.operators.chunking import TextSplitter, chunk
 from tidewater.operators.embedding import Embedder, embed_column
 from tidewater.sources.schemas import CASCADES, TABLES, UNIQUE
+from tidewater.sources.shared import written
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,20 +62,32 @@ def make_chunks(notes: DataFrame, categories: DataFrame | None, splitter: TextSp
     return rows.withColumn("embedding", vector).select(*TABLES["note_chunks"].names)
 
 
-def save_notes(tables: dict[str, DataFrame], notes: DataFrame, splitter: TextSplitter, embedder: Embedder | None = None) -> dict[str, DataFrame]:
-    """Creates or updates notes and replaces their chunks and vectors. Missing contents keep the stored ones; notes
+def changed_notes(tables: dict[str, DataFrame], notes: DataFrame, splitter: TextSplitter, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of notes, and of their chunks, that saving `notes` makes: missing contents keep the stored ones; notes
     without content have no chunks; updated_at moves."""
-    old = tables["notes"]
-    stored = old.select("id", *[F.col(c).alias(f"_{c}") for c in ("title", "content", "category_id", "created_at")])
+    stored = tables["notes"].select("id", *[F.col(c).alias(f"_{c}") for c in ("title", "content", "category_id", "created_at")])
     value = lambda c: F.coalesce(F.col(c), F.col(f"_{c}")) if c in notes.columns else F.col(f"_{c}")
     rows = notes.join(stored, "id", "left").select("id", value("title").alias("title"), value("content").alias("content"), value("category_id").alias("category_id"), F.coalesce("_created_at", F.current_timestamp()).alias("created_at"), F.current_timestamp().alias("updated_at"))
+    return rows, make_chunks(rows.where("content <> ''"), tables.get("categories"), splitter, embedder)
+
+
+def save_notes(tables: dict[str, DataFrame], notes: DataFrame, splitter: TextSplitter, embedder: Embedder | None = None) -> dict[str, DataFrame]:
+    """The tables with notes created or updated and their chunks and vectors replaced."""
+    rows, chunks = changed_notes(tables, notes, splitter, embedder)
     out = dict(tables)
-    out["notes"] = upsert(old, rows, ["id"])
-    kept = delete(tables["note_chunks"], rows, "note_id", "id")
-    out["note_chunks"] = kept.unionByName(make_chunks(rows.where("content <> ''"), tables.get("categories"), splitter, embedder))
+    out["notes"] = upsert(tables["notes"], rows, ["id"])
+    out["note_chunks"] = delete(tables["note_chunks"], rows, "note_id", "id").unionByName(chunks)
     return out
 
 
+def sql(tables: dict[str, DataFrame], statement: str, params: list | None = None) -> DataFrame:
+    """A statement over the tables by their names, with `?` bound to params in order."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(statement, args=params or [])
+
+
 def new_content(notes: DataFrame, stored: DataFrame, column: str = "content") -> DataFrame:
     """Notes whose content no stored note has, one of each: the least id."""
     own = notes.withColumn("_sha", F.sha2(column, 256))
@@ -83,7 +97,13 @@ def new_content(notes: DataFrame, stored: DataFrame, column: str = "content") ->
 
 
 class Store:
-    """Tables under a root path."""
+    """Tables under a root path. A table is a list of versions: a whole one, then changes (rows, and the keys they replace).
+
+    `save` writes whole tables, `merge` changes, which cost what the change is worth; after MOST changes a table is
+    written whole again. `vacuum` removes what no list names any more.
+    """
+
+    MOST = 8
 
     def __init__(self, spark: SparkSession, root: str, dimension: int = 64):
         self.spark, self.root, self.dimension = spark, root, dimension
@@ -92,22 +112,42 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _current(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[str]:
         path, fs = self._fs(f"{self.root}/{name}/CURRENT")
         if not fs.exists(path):
-            return None
+            return []
         stream = fs.open(path)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode().split()
         finally:
             stream.close()
 
+    def _move(self, versions: dict[str, list[str]]) -> None:
+        """Pointers move one after another, each by a rename."""
+        for name, each in versions.items():
+            path, fs = self._fs(f"{self.root}/{name}/CURRENT")
+            new = self._fs(f"{self.root}/{name}/NEXT-{uuid.uuid4().hex}")[0]
+            stream = fs.create(new, True)
+            stream.write(bytearray("\n".join(each).encode()))
+            stream.close()
+            jvm = self.spark._jvm
+            how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            overwrite = self.spark.sparkContext._gateway.new_array(how, 1)
+            overwrite[0] = how.OVERWRITE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, path, overwrite)
+
     def create(self) -> None:
         """Empty tables where there are none; does nothing the second time."""
-        self.save({k: self.spark.createDataFrame([], s) for k, s in TABLES.items() if self._current(k) is None})
+        self.save({k: self.spark.createDataFrame([], s) for k, s in TABLES.items() if not self._versions(k)})
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{self._current(name)}")
+        first, *changes = self._versions(name)
+        out = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{first}")
+        for version in changes:
+            at = f"{self.root}/{name}/{version}"
+            gone = self.spark.read.parquet(f"{at}/gone")
+            out = out.join(gone, gone.columns, "left_anti").select(*TABLES[name].names).unionByName(self.spark.read.schema(TABLES[name]).parquet(f"{at}/rows"))
+        return out
 
     def tables(self) -> dict[str, DataFrame]:
         return {k: self.table(k) for k in TABLES}
@@ -115,26 +155,115 @@ class Store:
     def is_empty(self) -> bool:
         return self.table("notes").isEmpty() or self.table("note_chunks").isEmpty()
 
+    def sql(self, statement: str, params: list | None = None) -> DataFrame:
+        return sql(self.tables(), statement, params)
+
+    def seed(self, load: Callable[[], dict[str, DataFrame]]) -> dict[str, int]:
+        """Where notes or chunks are empty, all tables are cleared and loaded; else nothing changes. Rows of each table."""
+        if self.is_empty():
+            loaded = load()
+            self.save({k: loaded.get(k, self.spark.createDataFrame([], s)) for k, s in TABLES.items()})
+        return {k: df.count() for k, df in self.tables().items()}
+
+    def _checked(self, name: str, df: DataFrame) -> DataFrame:
+        if name == "note_chunks":
+            size = F.size("embedding")
+            ok = F.col("embedding").isNull() | (size == self.dimension)
+            df = df.withColumn("embedding", F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit(f"vectors must have {self.dimension} dimensions")).cast("array<float>")))
+        return df.select(*TABLES[name].names)
+
+    def _unique(self, name: str, path: str) -> None:
+        if name in UNIQUE and not violations(self.spark.read.parquet(path), UNIQUE[name]).isEmpty():
+            raise ValueError(f"{name}: {UNIQUE[name]} must be unique")
+
     def save(self, tables: dict[str, DataFrame]) -> None:
-        """Writes versions, checks unique keys and vector lengths, then moves the pointers. A failure leaves all as it was."""
+        """Writes whole versions, checks unique keys and vector lengths, then moves the pointers. A failure before the
+        first pointer moves leaves all as it was."""
         versions = {}
         for name, df in tables.items():
-            versions[name] = version = uuid.uuid4().hex
-            if name == "note_chunks":
-                size = F.size("embedding")
-                ok = F.col("embedding").isNull() | (size == self.dimension)
-                df = df.withColumn("embedding", F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit(f"vectors must have {self.dimension} dimensions")).cast("array<float>")))
-            df.select(*TABLES[name].names).write.parquet(f"{self.root}/{name}/{version}")
-            if name in UNIQUE:
-                bad = violations(self.spark.read.parquet(f"{self.root}/{name}/{version}"), UNIQUE[name])
-                if not bad.isEmpty():
-                    raise ValueError(f"{name}: {UNIQUE[name]} must be unique")
-        for name, version in versions.items():
-            path, fs = self._fs(f"{self.root}/{name}/CURRENT")
-            stream = fs.create(path, True)
-            stream.write(bytearray(version.encode()))
-            stream.close()
+            version = uuid.uuid4().hex
+            versions[name] = [version]
+            self._checked(name, df).write.parquet(f"{self.root}/{name}/{version}")
+            self._unique(name, f"{self.root}/{name}/{version}")
+        self._move(versions)
+
+    def merge(self, changes: dict[str, tuple[DataFrame | None, DataFrame]]) -> None:
+        """Of each table the rows to add (None: none) and the keys, by column, of the rows that they take the place of.
+
+        What is unique must be so among the rows added; the keys must cover rows of before that they would repeat.
+        """
+        versions, full = {}, []
+        for name, (rows, gone) in changes.items():
+            version = uuid.uuid4().hex
+            at = f"{self.root}/{name}/{version}"
+            versions[name] = [*self._versions(name), version]
+            rows = self.spark.createDataFrame([], TABLES[name]) if rows is None else rows
+            self._checked(name, rows).write.parquet(f"{at}/rows")
+            gone.distinct().write.parquet(f"{at}/gone")
+            self._unique(name, f"{at}/rows")
+            full += [name] if len(versions[name]) > self.MOST else []
+        self._move(versions)
+        if full:
+            self.save({name: self.table(name) for name in full})
+
+    def put(self, notes: DataFrame, splitter: TextSplitter, embedder: Embedder | None = None) -> None:
+        """Creates or updates notes with their chunks and vectors."""
+        rows = written(changed_notes(self.tables(), notes, splitter, embedder)[0], "notes")
+        chunks = make_chunks(rows.where("content <> ''"), self.table("categories"), splitter, embedder)
+        self.merge({"notes": (rows, rows.select("id")), "note_chunks": (chunks, rows.select(F.col("id").alias("note_id")))})
+
+    def remove(self, ids: list[int]) -> int:
+        """Notes go with their chunks, vectors and tags; how many there were."""
+        gone = self.table("notes").where(F.col("id").isin(*ids)).select("id") if ids else self.table("notes").where("false").select("id")
+        gone = written(gone, "gone")
+        n = gone.count()
+        if n:
+            key = gone.select(F.col("id").alias("note_id"))
+            self.merge({"notes": (None, gone), "note_chunks": (None, key), "note_tags": (None, key)})
+        return n
+
+    def vacuum(self) -> None:
+        """Removes versions that no table's list names. Readers of older ones must be done."""
+        for name in TABLES:
+            kept = {*self._versions(name), "CURRENT"}
+            path, fs = self._fs(f"{self.root}/{name}")
+            for f in fs.listStatus(path) if fs.exists(path) else []:
+                if f.getPath().getName() not in kept:
+                    fs.delete(f.getPath(), True)
 
     def drop(self) -> None:
         path, fs = self._fs(self.root)
         fs.delete(path, True)
+
+
+class MemoryStore(Store):
+    """The same over DataFrames in memory, for tests and small collections."""
+
+    def __init__(self, spark: SparkSession, dimension: int = 64):
+        self.spark, self.dimension, self.held = spark, dimension, {}
+
+    def _versions(self, name: str) -> list[str]:
+        return ["held"] if name in self.held else []
+
+    def table(self, name: str) -> DataFrame:
+        return self.held[name]
+
+    def save(self, tables: dict[str, DataFrame]) -> None:
+        new = {name: self.spark.createDataFrame(self._checked(name, df).collect(), TABLES[name]) for name, df in tables.items()}  # small by contract
+        for name, df in new.items():
+            if name in UNIQUE and not violations(df, UNIQUE[name]).isEmpty():
+                raise ValueError(f"{name}: {UNIQUE[name]} must be unique")
+        self.held.update(new)
+
+    def merge(self, changes: dict[str, tuple[DataFrame | None, DataFrame]]) -> None:
+        out = {}
+        for name, (rows, gone) in changes.items():
+            kept = self.table(name).join(gone.distinct(), gone.columns, "left_anti").select(*TABLES[name].names)
+            out[name] = kept if rows is None else kept.unionByName(rows.select(*TABLES[name].names))
+        self.save(out)
+
+    def vacuum(self) -> None:
+        pass
+
+    def drop(self) -> None:
+        self.held.clear()

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import title_of
+from tidewater.operators.chunking import MarkdownSplitter, TextSplitter, WindowSplitter, chunk
+
+#: Which splitter a file's kind calls for.
+SPLITTERS: dict[str, TextSplitter] = {"md": MarkdownSplitter(), "txt": WindowSplitter()}
 
 
 def read_notes(spark: SparkSession, glob: str) -> DataFrame:
     """(title, content), one row per file, whole files as UTF-8; order by title where order matters."""
     return spark.read.text(glob, wholetext=True).select(title_of(F.col("_metadata.file_name")).alias("title"), F.col("value").alias("content"))
+
+
+def chunk_files(spark: SparkSession, folder: str, splitters: dict[str, TextSplitter] | None = None) -> DataFrame:
+    """(path, title, and the columns of chunks) of all files of the given kinds, each split as its kind calls for."""
+    kinds = splitters or SPLITTERS
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.{" + ",".join(kinds) + "}", recursiveFileLookup=True)
+    files = files.select(F.col("_metadata.file_path").alias("path"), title_of(F.col("_metadata.file_name")).alias("title"), F.col("value").alias("text"))
+    parts = [chunk(files.where(F.col("path").endswith(f".{kind}")), "path", "text", splitter) for kind, splitter in kinds.items()]
+    return reduce(DataFrame.union, parts).join(files.select("path", "title"), "path")
