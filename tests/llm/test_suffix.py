@@ -75,3 +75,14 @@ def test_finer_anchors_of_hot_pieces(spark):
     for limits in ({"hot": 200, "bucket": 400}, {"hot": 0, "bucket": 400}, {}):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removed(docs, 60, gram=12, **limits).collect()}
         assert got == want
+
+
+def test_long_texts_at_the_usual_limits(spark):
+    rnd = random.Random(11)
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    shared = noise(30_000)
+    texts = ["b" * 40_000, shared, noise(500) + shared[:20_000] + noise(500) + shared[19_500:], "xy" * 10_000, noise(60_000)]
+    texts += [noise(300) + shared[9000:9600] + noise(300) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removed(docs).collect()}
+    assert got == dict(enumerate(expected([t.encode() for t in texts], 400)))

@@ -41,3 +41,12 @@ def test_plan_is_native(spark):
     out = urls.demo(spark, spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_overlapping_lists(spark):
+    """One pattern on several lists, and several patterns of one list, each with its own interval."""
+    rows = [("b", "d:bad.org", "add", 1), ("a", "d:bad.org", "add", 10), ("b", "d:bad.org", "remove", 20), ("c", "d:sub.bad.org", "add", 5), ("c", "p:sub.bad.org/x", "add", 15), ("a", "d:bad.org", "add", 12)]
+    entries = spark.createDataFrame([(n, p, a, D(2024, 1, d)) for n, p, a, d in rows], "list_name string, pattern string, action string, effective date")
+    want = {1: (1, "b"), 4: (1, "b"), 5: (2, "b"), 10: (3, "a"), 15: (4, "a"), 19: (4, "a"), 20: (3, "a")}
+    captures = spark.createDataFrame([(d, "http://sub.bad.org/x/y", D(2024, 1, d)) for d in want], "page_id long, url string, fetched_on date")
+    assert {r.page_id: (r.n_active, r.first_list) for r in urls.evaluate(captures, entries).collect()} == want
