@@ -12,10 +12,8 @@ treated alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tidewater.llm.common import SPACE, Cuts
 
@@ -61,17 +59,8 @@ def cut_lines(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SI
     rows = docs.withColumn("_own", F.xxhash64("text"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_own"] == gone["_mark"]), "left").drop("_id", "_mark", "_own")
 
-    @F.pandas_udf(StringType())
-    def shorter(text: pd.Series, removed: pd.Series) -> pd.Series:
-        def one(t: str, r) -> str:
-            drop = set(r)
-            return "\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop)
-
-        return pd.Series([one(t, r) for t, r in zip(text, removed, strict=True)], dtype=object)
-
-    # only rows that lose lines go through Python
-    changed = rows.where("_removed is not null").withColumns({"text": shorter("text", "_removed"), "_removed": F.size("_removed")})
-    return changed.unionByName(rows.where("_removed is null").withColumn("_removed", F.lit(0)))
+    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_removed", i))
+    return rows.withColumns({"text": F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")), "_removed": F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed"))})
 
 
 def drop_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
