@@ -84,3 +84,23 @@ def test_files_are_split_by_their_kind(spark, tmp_path):
     rows = chunk_files(spark, str(tmp_path)).collect()
     assert sorted((r.title, r.chunk_index, r.cut_type) for r in rows if r.title == "A B") == [("A B", 0, "One"), ("A B", 1, "One > Two")]
     assert {r.title for r in rows} == {"A B", "C"} and sum(r.title == "C" for r in rows) == 2
+
+
+def test_markdown_sql_on_headings():
+    """The registered SQL on texts with headings and code, of which the test tables have hardly any."""
+    import hashlib
+
+    import duckdb
+
+    from tidewater import registry
+
+    texts = [
+        "# A\nx\n## B\ny\n# C\nz", "", "\n", "#\nempty title\n####### seven\n###### six",
+        "intro\n# T\n```\n# not\n```\n## U\n" + "w " * 700 + "\n### V\n" + "line of text\n" * 200,
+        "```\n# in\n" + "q" * 2000 + "\n```\nrest\n# R\n" + "r" * 1500,
+    ]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = sorted((i, x.index, x.start, x.end, x.cut_type, x.is_last, hashlib.md5(x.text.encode()).hexdigest()) for i, t in enumerate(texts) for x in MarkdownSplitter().split_text(t))
+    assert sorted(c.execute(registry.oracle_sql()["markdown_chunks"]).fetchall()) == want and sum(bool(r[4]) for r in want) > 5

@@ -107,9 +107,32 @@ def sentence_chunks(spark, sf_dir):
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "start", "end")], "cut_type", "is_last", F.md5("content").alias("content_md5"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS m FROM documents),
+p AS (
+  SELECT doc_id, line || CASE WHEN k < m THEN chr(10) ELSE '' END AS line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
+    sum(starts_with(line, '```')::INTEGER) OVER (PARTITION BY doc_id ORDER BY k) % 2 = 0 AS plain
+  FROM l),
+h AS (SELECT doc_id, pos, length(regexp_extract(line, '^(#{{1,6}})\s+', 1)) AS level, trim(regexp_extract(line, '^#{{1,6}}\s+([^\n]*)', 1)) AS title FROM p WHERE plain AND regexp_matches(line, '^#{{1,6}}\s')),
+a AS (SELECT doc_id, pos, level FROM h UNION ALL SELECT doc_id, 0, 0 FROM documents),
+b AS (SELECT a.*, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos, level), length(text)) AS stop, text AS whole FROM a JOIN documents USING (doc_id)),
+c AS (
+  SELECT b.doc_id, b.pos, string_agg(h.title, ' > ' ORDER BY h.pos) AS crumbs FROM b JOIN h ON h.doc_id = b.doc_id AND h.pos <= b.pos AND b.level > 0
+  WHERE NOT EXISTS (SELECT 1 FROM h k WHERE k.doc_id = h.doc_id AND k.pos > h.pos AND k.pos <= b.pos AND k.level <= h.level) GROUP BY b.doc_id, b.pos),
+z AS (SELECT b.doc_id, b.pos, CASE WHEN b.level > 0 THEN crumbs ELSE '' END AS crumbs, substr(whole, b.pos + 1, b.stop - b.pos) AS text, b.stop - b.pos AS n FROM b LEFT JOIN c ON c.doc_id = b.doc_id AND c.pos = b.pos),
+walk AS (
+  SELECT doc_id, pos, crumbs, text, n, 0::BIGINT AS s FROM z WHERE n > 1000 AND NOT contains(text, '```')
+  UNION ALL
+  SELECT doc_id, pos, crumbs, text, n, greatest(s + 1, {_CUT}) FROM walk WHERE s + 1000 < n AND greatest(s + 1, {_CUT}) < n),
+y AS (
+  SELECT doc_id, pos + s AS start, pos + CASE WHEN s + 1000 >= n THEN n ELSE {_CUT} END AS "end", crumbs, substr(text, s + 1, CASE WHEN s + 1000 >= n THEN n ELSE {_CUT} END - s) AS content FROM walk
+  UNION ALL
+  SELECT doc_id, pos, pos + n, crumbs, text FROM z WHERE (n <= 1000 OR contains(text, '```')) AND regexp_matches(text, '\S'))
+SELECT doc_id, (row_number() OVER w - 1)::BIGINT AS chunk_index, start::BIGINT AS start, "end"::BIGINT AS "end", crumbs AS cut_type, lead(start) OVER w IS NULL AS is_last, md5(content) AS content_md5
+FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY start)""")
 def markdown_chunks(spark, sf_dir):
-    return chunking.chunk(table(spark, sf_dir, "documents"), splitter=chunking.MarkdownSplitter())
+    out = chunking.chunk(table(spark, sf_dir, "documents"), splitter=chunking.MarkdownSplitter())
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "start", "end")], "cut_type", "is_last", F.md5("content").alias("content_md5"))
 
 
 _CONTEXT = "concat_ws(chr(10), CASE WHEN lang IS NOT NULL THEN 'Категория: ' || lang END, CASE WHEN source <> '' THEN 'Заголовок: ' || source END)"
