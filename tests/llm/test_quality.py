@@ -46,7 +46,7 @@ def steps(x, floors, centre, cov, lower=quality.LOWER):
         cov = (x * w[:, None]).T @ x / h - np.outer(centre, centre) + np.diag(np.square(floors))
         new = (np.linalg.slogdet(cov)[1], centre, cov)
         if new[0] >= best[0] - lower:
-            return min(new, best, key=lambda e: e[0])
+            return new
         best = new
 
 

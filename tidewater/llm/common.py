@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources.shared import scratch
+
 #: ASCII white space, the only separators of words.
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -21,18 +20,6 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of its own (tests)."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
-        at = sc.getCheckpointDir()
-    return at
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Arrow batches of whole texts by bytes as well as rows, so that a worker's memory doesn't follow their lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -52,15 +39,16 @@ def typed_id(df: DataFrame, like: DataFrame) -> DataFrame:
 class Cuts:
     """Tables written to the shared folder. A written table costs one pass, where checkpoint() would run the plan twice.
 
-    They go when `only` says so, and the rest when the driver's JVM ends.
+    They go when `only` says so, and the rest when the driver's JVM ends. Spark removes the shuffle files and broadcasts
+    of plans that nothing refers to any more when the driver collects its garbage, which a driver with memory to spare
+    rarely does by itself; so it is asked to every SWEEP tables.
     """
 
+    SWEEP = 8
+
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}", 0
-        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self.files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        self.files.mkdirs(root)
-        self.files.deleteOnExit(root)
+        self.spark, self.root, self.n = spark, scratch(spark, "cut"), 0
+        self.files = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.held: set[str] = set()
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -70,8 +58,13 @@ class Cuts:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cut_path = path
         self.held.add(path)
+        if self.n % self.SWEEP == 0:
+            self.sweep()
         return out
 
+    def sweep(self) -> None:
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Removes a written table that no later plan reads."""
         self.held.discard(df._cut_path)
@@ -82,6 +75,7 @@ class Cuts:
         for path in self.held - {df._cut_path for df in kept}:
             self.files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
         self.held = {df._cut_path for df in kept}
+        self.sweep()
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,6 +106,7 @@ def components(edges: DataFrame, cuts: Cuts, a: str = "a", b: str = "b") -> Data
     """
     now = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("v <> u").distinct()
     now = cuts.write(now)
+    before = _digest(now)
     while True:
         # large star: every larger neighbour of x moves to the least of x and its neighbours
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
@@ -122,7 +117,7 @@ def components(edges: DataFrame, cuts: Cuts, a: str = "a", b: str = "b") -> Data
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(low, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         new = cuts.write(moved.union(low.select("v", F.col("m").alias("u"))).distinct())
-        same = _digest(new) == _digest(now)
+        same, before = (found := _digest(new)) == before, found
         cuts.drop(now)
         cuts.drop(large)
         now = new

@@ -6,7 +6,7 @@ small groups, language or all rows) the estimate seeks the share SUPPORT of rows
 diagonal, has the least determinant: from three starts (medians with median deviations, with the correlation of
 hyperbolic tangents, and with that of spatial signs), concentration steps take the rows nearest by Mahalanobis distance
 and estimate mean and covariance anew. Rows at the edge count in part, so that a step's weight is exactly the share; a
-step then never raises the determinant but for the grid in which distances are ranked, and one that doesn't lower it
+step then never raises the determinant but for the grid in which distances are ranked, and one that hardly lowers it
 ends its start. Of the starts the least determinant counts. The estimate is scaled to the chi-square median; rows
 beyond the cut-off are rejected. Groups are reduced by partial aggregation (sums, and exact percentiles over a few
 thousand distinct values) and joined back as one row each.
@@ -120,18 +120,19 @@ def factored(g: DataFrame) -> DataFrame:
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """Per start n, means, factor and logdet of the nearest rows. rows: START, FEATURES, n, rank and edge, the rank of the last row of the share."""
+    """Per start n, means, factor and logdet of the nearest rows, and the logdet before. rows: START, FEATURES, n, before, rank and edge, the rank of
+    the last row of the share."""
     part = {"b": F.col("rank") < F.col("edge"), "t": F.col("rank") == F.col("edge")}
     sums = [F.count_if(at).alias(f"n{p}") for p, at in part.items()]
     sums += [F.coalesce(F.sum(F.when(at, F.col(f))), F.lit(0)).alias(f"{p}{j}") for p, at in part.items() for j, f in enumerate(FEATURES)]
     sums += [F.coalesce(F.sum(F.when(at, F.col(FEATURES[j]) * F.col(FEATURES[k]))), F.lit(0)).alias(f"{p}{j}{k}") for p, at in part.items() for j in range(P) for k in range(j + 1)]
-    g = rows.groupBy(*START, "n").agg(*sums).withColumn("h", F.ceil(SUPPORT * F.col("n")))
+    g = rows.groupBy(*START, "n", "before").agg(*sums).withColumn("h", F.ceil(SUPPORT * F.col("n")))
     # rows at the edge have the weight that is left
     g = g.withColumn("w", (F.col("h") - F.col("nb")) / F.col("nt"))
     whole = lambda k: (F.col(f"b{k}") + F.col("w") * F.col(f"t{k}")) / F.col("h")
-    g = g.select(*START, "n", *[whole(j).alias(f"m{j}") for j in range(P)], *[whole(f"{j}{k}").alias(f"c{j}{k}") for j in range(P) for k in range(j + 1)])
+    g = g.select(*START, "n", "before", *[whole(j).alias(f"m{j}") for j in range(P)], *[whole(f"{j}{k}").alias(f"c{j}{k}") for j in range(P) for k in range(j + 1)])
     g = g.withColumns({f"c{j}{k}": F.col(f"c{j}{k}") - F.col(f"m{j}") * F.col(f"m{k}") + (FLOORS[j] ** 2 if j == k else 0) for j in range(P) for k in range(j + 1)})
-    return factored(g).select(*START, "n", *MEANS, *FACTOR, "logdet")
+    return factored(g).select(*START, "n", *MEANS, *FACTOR, "logdet", "before")
 
 
 def squared_distance(rows: DataFrame) -> DataFrame:
@@ -166,16 +167,15 @@ def starts(rows: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, cuts: Cuts) -> DataFrame:
     """Per judge the estimate of least determinant and `scale`, by which its squared distances are divided. rows: JUDGE and FEATURES."""
-    now, done = cuts.write(starts(rows)), []
+    now, done, kept = cuts.write(starts(rows)), [], [*START, "n", *MEANS, *FACTOR, "logdet"]
     for _ in range(STEPS):
-        far = squared_distance(on_group(rows, now)).select(*START, *FEATURES, ranked().alias("rank"))
+        far = cuts.write(squared_distance(on_group(rows, now)).select(*START, *FEATURES, F.col("logdet").alias("before"), ranked().alias("rank")))
         edge = far.groupBy(*START).agg(F.count("*").alias("n"), F.expr(f"percentile_disc({SUPPORT}) WITHIN GROUP (ORDER BY rank)").alias("edge"))
-        new = estimate(on_group(far, edge, by=START))
-        both = cuts.write(on_group(new, now.select(*START, F.struct("n", *MEANS, *FACTOR, "logdet").alias("old")), by=START))
-        lower = F.col("logdet") < F.col("old.logdet") - LOWER
-        # of a step that doesn't lower it, the lesser determinant
-        done.append(both.where(~lower).select(*START, F.when(F.col("logdet") < F.col("old.logdet"), F.struct("n", *MEANS, *FACTOR, "logdet")).otherwise(F.col("old")).alias("e")).select(*START, "e.*"))
-        now = both.where(lower).drop("old")
+        new = cuts.write(estimate(on_group(far, edge, by=START)))
+        cuts.drop(far)
+        lower = F.col("logdet") < F.col("before") - LOWER
+        done.append(new.where(~lower).select(kept))
+        now = new.where(lower).select(kept)
         if now.isEmpty():
             break
     least = reduce(DataFrame.union, [*done, now]).groupBy(*JUDGE).agg(F.min_by(F.struct("n", *MEANS, *FACTOR, "logdet"), F.struct("logdet", "start")).alias("e"))
