@@ -1,16 +1,17 @@
 import hashlib
 
 import numpy as np
-import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
+from test_bpe import plain_bpe
 from test_lines import plain as plain_lines
-from test_quality import concentration
+from test_mixing import plain_mix
 from test_quality import plain as plain_counts
-from test_simhash import groups
-from test_simhash import plain as plain_print
+from test_similar import grams
 
 import corpus_pipeline
-from tidewater.llm import bpe, mixing, quality
+from tidewater.llm import mixing, quality
+from tidewater.llm.common import Cuts
 
 
 def features(text):
@@ -20,37 +21,81 @@ def features(text):
     return [np.floor(1000 * v + 0.5) for v in values]
 
 
+def similar_roots(texts):
+    """The least id of each group of texts (by id) linked by a five-word Jaccard of 0.8 or more."""
+    sets = {i: grams(t) for i, t in texts.items()}
+    root = {i: i for i in sorted(sets)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in root:
+        for j in root:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in root}
+
+
 def test_run_matches_brute_force(spark, tmp_path):
+    from test_quality_small_groups import distances
+
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("source", F.when(F.col("lang") == "en", "src0").otherwise(F.col("source")))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
     rows = {r.doc_id: r for r in docs.collect()}
-    left = {i for i, r in rows.items() if not plain_counts(r.text)[5]}
-    big = sorted(i for i in left if rows[i].lang == "en")
-    assert len(big) >= quality.MIN_ROWS
-    far = concentration(np.array([features(rows[i].text) for i in big], float), np.array(quality.FLOORS, float))
-    left -= {i for i, d in zip(big, far, strict=True) if d > quality.CUTOFF}
-    ids = sorted(left)
+    ids = sorted(i for i, d in distances(rows)[0].items() if d <= quality.CUTOFF)
     text = dict(zip(ids, plain_lines([(i, rows[i].text, rows[i].source) for i in ids], 10), strict=True))
-    root = groups({i: plain_print(t) for i, t in text.items()})
-    ids = [i for i in ids if root[i] == i]
+    ids = [i for i, r in similar_roots(text).items() if i == r]
     rest = spark.createDataFrame([(i, text[i], rows[i].lang, rows[i].source) for i in ids], docs.select("doc_id", "text", "lang", "source").schema)
-    held = mixing.labelled(rest, mixing.Targets()).collect()
-    counts = {}
-    for r in held:
-        if n := len(r.text.encode().split()):
-            key = (r._source, r._lang, r._topic)
-            counts[key] = counts.get(key, 0) + n
-    p = mixing.probabilities(counts, mixing.rake(counts, mixing.Targets()), 0.6)
-    kept = [r for r in held if r._u < p.get((r._source, r._lang, r._topic), 0)]
+    raked = mixing.fit(rest, mixing.Targets(), Cuts(spark))
+    held = mixing.labelled(rest, raked, mixing.Targets().seed).collect()
+    p = plain_mix([(r.source, r.lang, r.text) for r in held], raked.centroids, mixing.Targets())
+    assert all(abs(r._u - x) > 1e-5 for r, x in zip(held, p, strict=True))  # no document hangs on the last digits
     want = {}
-    for r in kept:
-        tokens = bpe.encode_text(r.text, public_tokenizers.path(bpe.RANKS))
-        want[r.doc_id] = (len(tokens), hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest())
+    for r, x in zip(held, p, strict=True):
+        if r._u < x:
+            tokens = plain_bpe(r.text)
+            want[r.doc_id] = (len(tokens), hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest())
     assert got == want and len(got) > 20
 
 
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, distance string, kept string, node string"
+
+
+def edge_rows():
+    long = " ".join(f"l{i}" for i in range(30_000))
+    clean = " ".join(f"c{i}" for i in range(90))
+    return [(None, None, None, None, None, None, None, None), (1, None, "en", None, 0, "a", "b", "c"), (2, "", None, "src1", 0, "a", "b", "c"), (3, long, "en", "src1", 5, "a", "b", "c")] + [
+        (4, clean, "en", "src1", 5, "a", "b", "c")
+    ] * 2 + [(None, clean, "en", "src1", 5, "a", "b", "c"), (4, clean + " but another text", None, None, 5, "a", "b", "c")]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.createDataFrame(edge_rows(), EDGES)
+    got = run(spark, docs, "").collect()
+    assert run(spark, docs.limit(0), "").count() == 0
+    if stage == "encode_tokens":
+        assert len(got) == docs.count()
+        return
+    key = lambda r: str(tuple(r))
+    rows = sorted(edge_rows(), key=str)
+    left = sorted(map(tuple, got), key=key)
+    assert all(r in rows for r in left)
+    texts = {(r[0], r[1]) for r in left}
+    if stage == "quality_rules":
+        assert all(t and len(t.split()) >= 50 for _, t in texts) and (4, rows[0][1]) not in texts
+    elif stage == "line_dedup":
+        assert left == rows
+    elif stage == "near_dedup":  # what has no id stays, and so do repeated rows of the id that leads its group
+        assert [r for r in left if r[0] is None] == [r for r in rows if r[0] is None] and {r[0] for r in left} == {None, 1, 3, 4}
+
+
 def test_stages_keep_columns_and_clean_documents(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(80)), "en", "src1", 0, "kept") for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long, distance string")
     for _, stage in corpus_pipeline.STAGES[:3]:
