@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,18 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+@contextmanager
+def bounded(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """bounded_batches for the jobs that run inside; the session has its own settings again afterwards."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    bounded_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id as a string, text, and more: what workers get. Integers next to nulls would become floats in pandas."""
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewater.llm import bpe, brown, chat, hnsw, lines, mixing, quality, simhash, suffix, urls
+from tidewater.llm import bpe, brown, chat, hnsw, lines, mixing, quality, simhash, suffix, urls, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removed(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -74,12 +78,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_suffix": op10_suffix,
+    "op11_variants": op11_variants,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_lines": lines.ORACLE,
     "op7_urls": urls.ORACLE,
     "op8_chat": chat.ORACLE,
+    "op11_variants": variants.ORACLE,
 }
 
 
