@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewater.llm import bpe, brown, chat, hnsw, lines, mixing, quality, simhash, suffix, urls, variants
+from tidewater.llm import bpe, brown, chat, hnsw, lines, mixing, quality, repair, simhash, suffix, urls, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_suffix": op10_suffix,
     "op11_variants": op11_variants,
+    "op12_repair": op12_repair,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -86,6 +91,7 @@ ORACLES: dict[str, str] = {
     "op7_urls": urls.ORACLE,
     "op8_chat": chat.ORACLE,
     "op11_variants": variants.ORACLE,
+    "op12_repair": repair.ORACLE,
 }
 
 

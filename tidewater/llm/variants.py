@@ -155,13 +155,24 @@ def variants(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     return forms.join(ends, "rank", "left").select("word", "form", F.coalesce("end", "word").alias("root"), "n", "n_near", "form_n")
 
 
-_BYTES = "flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))"
-_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda a, j: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i))"
+class CRC:
+    """crc32 in SQL: a table of one row, crc (t), and an expression over it."""
+
+    _steps = "list_reduce(range(8), lambda a, j: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i)"
+    table = f"crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: {_steps}) AS t)"
+
+    @staticmethod
+    def of(text: str) -> str:
+        """Of a text without code points over U+07FF."""
+        octets = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))"
+        return f"xor(list_reduce({octets}, lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
 ORACLE = rf"""
-WITH RECURSIVE crc AS MATERIALIZED (SELECT {_TABLE} AS t),
+WITH RECURSIVE {CRC.table},
 r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{RUN}')), '{UPPER}', '{UPPER.lower()}') AS run FROM documents),
 d AS (SELECT doc_id, run, count(*) AS c FROM r GROUP BY ALL),
-h AS (SELECT run, c, xor(list_reduce({_BYTES}, lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM d, crc),
+h AS (SELECT run, c, {CRC.of("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM d, crc),
 w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n FROM h GROUP BY ALL),
 v AS MATERIALIZED (SELECT word, n FROM w WHERE length(word) >= 5 AND n >= 3),
 k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
