@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewater.llm import bpe, brown, chat, hnsw, lines, mixing, quality, repair, simhash, suffix, urls, variants
+from tidewater.llm import bpe, brown, chat, hnsw, langid, lines, mixing, quality, repair, simhash, suffix, urls, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix": op10_suffix,
     "op11_variants": op11_variants,
     "op12_repair": op12_repair,
+    "op13_langid": op13_langid,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
