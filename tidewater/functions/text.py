@@ -58,9 +58,12 @@ def search_text(*parts: Column | str) -> Column:
     return F.concat_ws("\n", *[F.when(p != "", p) for p in each])
 
 
-def breadcrumb_text(title: Column, path: Column, text: Column) -> Column:
-    """A section's text under its document and path of headings (`A > B`)."""
-    head = F.concat_ws("\n", F.concat(F.lit("Document: "), F.when(title != "", title)), F.concat(F.lit("Path: "), F.when(path != "", path)))
+def breadcrumb_text(title: Column, path: Column, text: Column, language: Column | None = None) -> Column:
+    """A section's text under its document and path of headings (`A > B`); code also under its language, if that is known."""
+    lines = [F.concat(F.lit("Document: "), F.when(title != "", title)), F.concat(F.lit("Path: "), F.when(path != "", path))]
+    if language is not None:
+        lines.append(F.concat(F.lit("Context: Code Snippet ("), F.when(language != "", language), F.lit(")")))
+    head = F.concat_ws("\n", *lines)
     return F.when(head != "", F.concat(head, F.lit("\n---\n"), text)).otherwise(text)
 
 

@@ -60,6 +60,11 @@ def wrapped(embedder: Embedder, texts: list[str], task: str) -> np.ndarray:
 
 def embed_column(embedder: Embedder, text: Column) -> Column:
     """Vectors of a text column by Arrow batches; blank texts fail the job, null texts have no vector."""
+    return embed_function(embedder)(text)
+
+
+def embed_function(embedder: Embedder):
+    """What embed_column applies, as a function to register."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -70,7 +75,7 @@ def embed_column(embedder: Embedder, text: Column) -> Column:
             made = iter(wrapped(embedder, x[there].tolist(), "document") if there.any() else ())
             yield pd.Series([next(made) if t else None for t in there], dtype=object)
 
-    return run(text)
+    return run
 
 
 def try_embed_column(embedder: Embedder, text: Column) -> Column:

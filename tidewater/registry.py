@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater import structured
 from tidewater.functions import text as tx
 from tidewater.functions import vectors as vx
 from tidewater.operators import chunking, fulltext, fusion, search, store
@@ -68,6 +69,32 @@ def chunk_documents(spark, sf_dir):
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "start", "end")], "cut_type", "is_last", F.md5("content").alias("content_md5"))
 
 
+_SPANS = ORACLES["chunk_documents"]
+
+
+@query(_SPANS)
+def chunk_native(spark, sf_dir):
+    """The same chunks without Python workers."""
+    out = chunking.chunk(table(spark, sf_dir, "documents"), native=True)
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "start", "end")], "cut_type", "is_last", F.md5("content").alias("content_md5"))
+
+
+@query(_SPANS)
+def chunk_sql(spark, sf_dir):
+    """The same chunks by a table function in a statement."""
+    from tidewater.functions.sql import register
+
+    register(spark)
+    statement = """
+    SELECT doc_id, CAST(c.chunk_index AS LONG) AS chunk_index, CAST(c.start AS LONG) AS start, CAST(c.`end` AS LONG) AS `end`, c.cut_type, c.is_last, md5(c.content) AS content_md5
+    FROM {documents}, LATERAL split_text(text, 'window', 1000) c"""
+    return spark.sql(statement, documents=table(spark, sf_dir, "documents"))
+
+
+query(structured.MARKDOWN_SQL)(structured.markdown_blocks)
+query(structured.CODE_SQL)(structured.code_chunks)
+
+
 @query(f"WITH {CHUNKS} SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) AS n_chunks, round((SELECT avg(length(text)) FROM documents), 6) AS avg_chars, round(count(*) / (SELECT count(*) FROM documents), 6) AS avg_chunks FROM cut")
 def chunk_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -421,6 +448,18 @@ def hash_embed_docs(spark, sf_dir):
     return docs.select("doc_id", F.posexplode("v").alias("bucket", "x")).where("x <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+@query(ORACLES["hash_embed_docs"])
+def embed_sql(spark, sf_dir):
+    """The same vectors by a table function in a statement."""
+    from tidewater.functions.sql import register
+
+    register(spark)
+    statement = """
+    SELECT doc_id, CAST(bucket AS LONG) AS bucket, round(CAST(x AS DOUBLE), 6) AS x
+    FROM embed_rows(TABLE(SELECT doc_id, text FROM {documents}), 'text'), LATERAL posexplode(embedding) AS (bucket, x) WHERE x <> 0"""
+    return spark.sql(statement, documents=table(spark, sf_dir, "documents"))
+
+
 QUESTION = "the licence of the people and the king"
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import title_of
-from tidewater.operators.chunking import MarkdownSplitter, TextSplitter, WindowSplitter, chunk
+from tidewater.operators.chunking import TextSplitter, WindowSplitter, chunk
+from tidewater.operators.code import CodeSplitter
+from tidewater.operators.markdown import MarkdownBlockSplitter
 
 #: Which splitter a file's kind calls for.
-SPLITTERS: dict[str, TextSplitter] = {"md": MarkdownSplitter(), "txt": WindowSplitter()}
+SPLITTERS: dict[str, TextSplitter] = {"md": MarkdownBlockSplitter(least=0), "markdown": MarkdownBlockSplitter(least=0), "txt": WindowSplitter(), "py": CodeSplitter()}
 
 
 def read_notes(spark: SparkSession, glob: str) -> DataFrame:
@@ -20,9 +22,12 @@ def read_notes(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def chunk_files(spark: SparkSession, folder: str, splitters: dict[str, TextSplitter] | None = None) -> DataFrame:
-    """(path, title, and the columns of chunks) of all files of the given kinds, each split as its kind calls for."""
+    """(path, title, the columns of chunks, metadata as JSON) of all files of the given kinds, each split as its kind calls for."""
     kinds = splitters or SPLITTERS
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.{" + ",".join(kinds) + "}", recursiveFileLookup=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), title_of(F.col("_metadata.file_name")).alias("title"), F.col("value").alias("text"))
-    parts = [chunk(files.where(F.col("path").endswith(f".{kind}")), "path", "text", splitter) for kind, splitter in kinds.items()]
+    parts = []
+    for kind, splitter in kinds.items():
+        made = chunk(files.where(F.col("path").endswith(f".{kind}")), "path", "text", splitter)
+        parts.append(made.withColumn("metadata", F.to_json("metadata") if hasattr(splitter, "METADATA") else F.lit(None).cast("string")))
     return reduce(DataFrame.union, parts).join(files.select("path", "title"), "path")
