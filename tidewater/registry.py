@@ -364,6 +364,29 @@ def fts_index_after_changes(spark, sf_dir):
     return out.select("term", "doc_id", "field", F.col("tf").cast("long").alias("tf"))
 
 
+_CHANGED = """
+SELECT doc_id, source AS title, CASE WHEN doc_id % 10 = 0 THEN 'a changed note: ' || lang ELSE text END AS content FROM documents WHERE doc_id % 7 <> 3
+UNION ALL SELECT doc_id + 1000000000, source, 'an added note ' || lang || text FROM documents WHERE doc_id % 50 = 1"""
+
+
+@query(f"""
+WITH n AS ({_CHANGED}), u AS (SELECT doc_id, 'title' AS field, {_TOKENS % "title"} AS terms FROM n UNION ALL SELECT doc_id, 'content', {_TOKENS % "content"} FROM n),
+t AS (SELECT doc_id, field, unnest(terms) AS term FROM u)
+SELECT term, doc_id, field, count(*) AS tf FROM t GROUP BY ALL""")
+def store_index_after_changes(spark, sf_dir):
+    """The index that a store keeps, after notes were changed, added and removed in three commits."""
+    docs = table(spark, sf_dir, "documents")
+    into = store.Store(spark, scratch(spark, "store"), index=("title", "content"))
+    into.create()
+    notes = sample_tables(spark, sf_dir)["notes"]
+    into.save({"notes": notes})
+    into.put(docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("a changed note: "), "lang").alias("content")), chunking.WindowSplitter())
+    added = docs.where("doc_id % 50 = 1").select((F.col("doc_id") + 1000000000).alias("id"), F.col("source").alias("title"), F.concat(F.lit("an added note "), "lang", "text").alias("content"))
+    into.put(added, chunking.WindowSplitter())
+    into.remove(notes.where("id % 7 = 3").select("id"))
+    return into.fulltext().postings.select("term", "doc_id", "field", F.col("tf").cast("long").alias("tf"))
+
+
 # fusion
 
 _FUSED = "SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(CASE WHEN list = 0 THEN rank END) AS rank_0, min(CASE WHEN list = 1 THEN rank END) AS rank_1 FROM both_lists GROUP BY doc_id"

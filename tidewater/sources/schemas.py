@@ -17,6 +17,11 @@ TABLES = {
     "note_chunks": _table(id=L, note_id=L, chunk_index=IntegerType(), content=S, created_at=T, embedding=ArrayType(FloatType())),
     "note_tags": _table(note_id=L, tag_id=L, created_at=T),
 }
+#: Of a store that keeps a full-text index of its notes.
+INDEX = {
+    "postings": StructType().add("term", S).add("doc_id", L).add("field", S).add("tf", IntegerType()).add("positions", ArrayType(IntegerType())),
+    "doc_stats": StructType().add("doc_id", L).add("doc_len", IntegerType()),
+}
 UNIQUE = {"categories": ["name"], "tags": ["name"], "note_chunks": ["note_id", "chunk_index"], "note_tags": ["note_id", "tag_id"]}
 #: child table, its column, parent table: rows go with their parent.
 CASCADES = [("notes", "category_id", "categories"), ("note_chunks", "note_id", "notes"), ("note_tags", "note_id", "notes"), ("note_tags", "tag_id", "tags")]
