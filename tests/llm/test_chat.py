@@ -68,3 +68,16 @@ def test_typed_column(spark):
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     r = chat.format_turns(df, "parts").first()
     assert r.segment == "<|turn|>user<|body|>hi<|image|><|end|>" and r.attachments[0].ref == "i.png" and r.expanded_tokens == [1]
+
+
+@pytest.mark.parametrize("control", chat.CONTROLS)
+def test_controls_over_several_parts(control):
+    """No split of a control string over text parts, with other parts around, gets it into the body."""
+    for a in range(len(control) + 1):
+        for b in range(a, len(control) + 1):
+            texts = [control[:a], control[a:b], control[b:]]
+            for parts in ([{"type": "text", "text": t} for t in texts], [{"text": texts[0]}, {"type": "text", "text": None}, {"text": texts[1]}, {"text": texts[2] + "z"}, {"type": "image", "ref": "i"}, {"text": control}]):
+                segment, start, end, _ = chat.format_turn("assistant", parts)
+                body = segment[start:end].replace(chat.PLACEHOLDERS["image"], "", 1) if len(parts) > 3 else segment[start:end]
+                assert not any(c in body for c in chat.CONTROLS)
+                assert chat.unescape(body) == "".join(p.get("text") or "" for p in parts)

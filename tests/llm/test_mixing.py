@@ -140,3 +140,34 @@ def test_edges(spark):
     assert mixing.sample(docs.limit(0)).count() == 0 and mixing.sample(docs.limit(2)).count() == 0
     own = docs.withColumn("topic", mixing.F.lit("given"))
     assert {r._topic for r in mixing.mixed(own.drop("kept", "probability", "_u"), Targets(budget=1.0)).collect()} == {"given"}
+
+
+def many(spark, sources, n):
+    """n documents of many sources, of which one has a third."""
+    return spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, CAST(5 + id % 17 AS INT)), k -> concat('w', hash(id, k) % 50))) AS text", f"CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % {sources - 1}) END AS source", "CASE id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'y' END AS lang", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS topic")
+
+
+def test_every_source_has_a_share_of_its_own(spark):
+    docs = many(spark, 5000, 40_000)
+    raked = mixing.fit(docs, Targets(), Cuts(spark))
+    shares = {k: (t, e) for d, k, t, e in raked.shares if d == "source"}
+    assert len(shares) == 5000 and OTHER not in shares and raked.converged
+    assert all(abs(t - e) < 1e-6 for t, e in shares.values()) and shares["hot"][0] < 0.3
+
+
+@pytest.mark.parametrize("targets", [Targets(), Targets({"hot": 0.2, "s1": 0.1, "s2": 0.3}, {"x": 0.6, OTHER: 0.4}, None, budget=0.02)])
+def test_tables_give_what_arrays_give(spark, monkeypatch, targets):
+    docs = many(spark, 30, 3000)
+    plain = mixing.fit(docs, targets, Cuts(spark))
+    monkeypatch.setattr(mixing, "CELLS", 5)
+    raked = mixing.fit(docs, targets, Cuts(spark))
+    got = {tuple(r[c] for c in mixing.CELL): r.expected for r in raked.cells.collect()}
+    assert plain.converged and raked.converged and set(got) == set(plain.expected)
+    most = sum(plain.expected.values())
+    assert all(abs(x - plain.expected[c]) < 1e-4 * most for c, x in got.items())
+    wanted = {(d, k): t for d, k, t, _ in plain.shares}
+    rows = mixing.shares(raked, docs).collect()
+    assert {(r.marginal, r.level) for r in rows} == set(wanted) and all(abs(r.target - wanted[r.marginal, r.level]) < 1e-9 and abs(r.shortfall) < 1e-4 for r in rows)
+    out = mixing.mixed(docs, targets)
+    tokens = out.agg({"weight": "max"}).first()[0]
+    assert 0 < tokens <= 1 and 0 < out.where("kept").count() < 3000

@@ -101,3 +101,22 @@ def test_stages_keep_columns_and_clean_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:3]:
         out = stage(spark, docs, "")
         assert sorted(out.columns) == sorted(docs.columns) and out.count() == 20
+
+
+CLASHES = ["_id", "_mark", "_own", "_removed", "_gone", "_u", "_n", "_made", "_judged", "_print", "node", "mark", "rep", "distance", "kept", "weight", "probability", "component_id", "removed", "_own0", "a.b", "level"]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES[:4]] + ["near_copies"])
+def test_columns_named_like_an_operators_keep_their_values(spark, stage):
+    from tidewater.llm import simhash
+
+    run = dict(corpus_pipeline.STAGES).get(stage) or (lambda spark, docs, _: simhash.drop_near_copies(docs))
+    line = "\n".join(f"shared line {k}" for k in range(3))
+    rows = [(i, " ".join(f"w{i % 40}x{j}" for j in range(80)) + "\n" + line, "en", f"src{i % 20}", 0, *[f"{c}{i}" for c in CLASHES]) for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    out = run(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert got and all(r[5:] == rows[r[0]][5:] and r[2:4] == rows[r[0]][2:4] for r in got)
+    assert len(got) == {"quality_rules": 60, "line_dedup": 60, "near_dedup": 40, "near_copies": 40}.get(stage, len(got))

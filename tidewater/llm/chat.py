@@ -45,9 +45,15 @@ class Flattened:
     """What the visitor has seen: pieces of output, attachments in order, expanded tokens of each."""
 
     pieces: list[str] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)  # texts since the last attachment, not escaped yet
     attachments: list[tuple[str, str]] = field(default_factory=list)
     tokens: list[int] = field(default_factory=list)
 
+    def close(self) -> None:
+        """Texts that touch are escaped as one, since a control string may run over several of them."""
+        self.pieces.append(escape("".join(self.text)))
+        self.text = []
+
 
 @dataclass(frozen=True)
 class PartVisitor:
@@ -64,9 +70,10 @@ class PartVisitor:
         getattr(self, f"visit_{kind}")(part, out)
 
     def visit_text(self, part: dict, out: Flattened) -> None:
-        out.pieces.append(escape(part.get("text") or ""))
+        out.text.append(part.get("text") or "")
 
     def attach(self, kind: str, part: dict, tokens: float, out: Flattened) -> None:
+        out.close()
         out.pieces.append(PLACEHOLDERS[kind])
         out.attachments.append((kind, part.get("ref") or ""))
         out.tokens.append(max(1, math.ceil(tokens)))
@@ -87,6 +94,7 @@ def format_turn(role: str | None, content: str | list[dict] | None, visitor: Par
     out = Flattened()
     for part in [{"type": "text", "text": content}] if content is None or isinstance(content, str) else content:
         (visitor or PartVisitor()).visit(part, out)
+    out.close()
     head, body = TURN + escape(role or "") + BODY, "".join(out.pieces)
     return head + body + END, len(head), len(head) + (len(body) if role == "assistant" else 0), out
 

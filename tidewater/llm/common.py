@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -41,6 +41,20 @@ def bounded(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator
             spark.conf.set(k, v)
 
 
+def set_aside(docs: DataFrame, *needed: str | None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column but the needed ones under a name that no operator uses, and what names them back.
+
+    So whatever columns a table has, they neither clash with those that an operator adds nor get lost.
+    """
+    own, keep = docs.columns, {n.lower() for n in needed if n}
+    names = {c: f"_own{i}" for i, c in enumerate(own) if c.lower() not in keep}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(names[c] if c in names else f"`{c}`").alias(c) for c in own])
+
+    return docs.withColumnsRenamed(names), back
+
+
 def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id as a string, text, and more: what workers get. Integers next to nulls would become floats in pandas."""
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more)

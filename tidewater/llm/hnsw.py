@@ -9,8 +9,8 @@ the shard is searched by blocks of brute force. Links are verified by cosine in
 
 Equal vectors of a label are one row of the index, with their number. A task streams its queries: it holds one shard
 and one batch. Where a shard has more than QUERIES queries of other shards, they are dealt to several tasks, each with
-the shard. It counts links and emits a spanning forest of them, never the pairs of a dense group; components are
-the connected components of the forests.
+the shard. Links within a shard are bits (32 MB at 16,384 rows), those of a batch are counted block by block; what is
+emitted is a spanning forest, never the pairs of a dense group. Components are the connected components of the forests.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those with a null label or id,
 link with nothing; neither do vectors of different lengths; every row is a vector, so repeated rows link with each
@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Cuts, components, local_labels
+from tidewater.llm.common import Cuts, components
 
 SIMILARITY, SHARD = 0.98, 1 << 14
 DEGREE, WIDTHS, AUDIT, RECALL = 24, (32, 64, 128, 256), 64, 0.98
-BLOCK, BATCH, SLACK = 512, 1024, 1e-4
+BLOCK, BATCH, PAIRS, SLACK = 512, 1024, 1 << 15, 1e-4
 QUERIES = 1 << 20
 
 
@@ -160,7 +160,11 @@ class Shard:
         if own is not None:
             every[at, own] = -np.inf
         nearest = every.max(axis=1)
-        others = lambda pairs: {(i, j) for i, j in zip(*pairs, strict=True) if own is None or own[i] != j}
+
+        def others(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            """Pairs as numbers, without rows' matches with themselves."""
+            return np.unique(np.concatenate([(i * self.n + j)[own[i] != j] if own is not None else i * self.n + j for i, j in found]))
+
         truth = others(self.brute(q))
         for width in WIDTHS[WIDTHS.index(self.width) :]:
             if width >= self.n:
@@ -169,47 +173,89 @@ class Shard:
             if own is not None:
                 sim = np.where(ids == own[:, None], -np.inf, sim)
             self.recall = float((sim.max(axis=1) >= nearest - 1e-5).mean())
-            if truth:
-                self.recall = min(self.recall, len(others(self.narrow(q, width)) & truth) / len(truth))
+            if len(truth):
+                self.recall = min(self.recall, float(np.isin(truth, others(self.narrow(q, width)), assume_unique=True).mean()))
             if self.recall >= RECALL:
                 self.width = width
                 return
         self.width = None
 
     def verified(self, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = np.einsum("ij,ij->i", q[i], self.graph.exact[j]) >= self.similarity if len(i) else np.zeros(0, bool)
+        near = np.zeros(len(i), bool)
+        for s in range(0, len(i), PAIRS):  # what is gathered of vectors is bounded
+            at = slice(s, s + PAIRS)
+            near[at] = np.einsum("ij,ij->i", q[i[at]], self.graph.exact[j[at]]) >= self.similarity
         return i[near], j[near]
 
-    def brute(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        made = []
+    def brute(self, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Verified links of the queries with all rows, some rows at a time. Similarities in single precision err by less
+        than the slack, so only those within it of the least are worked out in double precision."""
+        short, slack = q.astype(np.float32), max(SLACK, 2e-7 * q.shape[1])
         for s in range(0, self.n, BLOCK * 8):
-            i, j = np.nonzero(q.astype(np.float32) @ self.graph.x[s : s + BLOCK * 8].T >= self.similarity - SLACK)
-            made.append(self.verified(q, i, j + s))
-        return tuple(np.concatenate(x) for x in zip(*made, strict=True))
-
-    def narrow(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+            sim = short @ self.graph.x[s : s + BLOCK * 8].T
+            sure = sim >= self.similarity + slack
+            i, j = np.nonzero(sure)
+            yield i, j + s
+            i, j = np.nonzero((sim >= self.similarity - slack) & ~sure)
+            yield self.verified(q, i, j + s)
+
+    def narrow(self, q: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Verified links of the queries; those with a beam full of links are searched again more widely."""
         own = q.astype(np.float32)
         ids, sim = self.graph.beam(0, own, self.graph.entry(own, 0, self.n), width, self.n)
         close = sim >= self.similarity - SLACK
         full = close.all(axis=1)
         i, j = np.nonzero(close & ~full[:, None])
-        made = [self.verified(q, i, ids[i, j])]
+        yield self.verified(q, i, ids[i, j])
         if full.any():
             again = np.flatnonzero(full)
-            i, j = self.narrow(q[again], 4 * width) if 4 * width <= min(WIDTHS[-1], self.n) else self.brute(q[again])
-            made.append((again[i], j))
-        return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+            for i, j in self.narrow(q[again], 4 * width) if 4 * width <= min(WIDTHS[-1], self.n) else self.brute(q[again]):
+                yield again[i], j
+
+    def own(self, vectors: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many links each row has with other rows (each counted `times`), and the least row of its component.
+
+        A link counts if either of its rows has found it. Links are bits, a row of them for each row of the shard.
+        """
+        bits = np.zeros((self.n, -(-self.n // 8)), np.uint8)
+        now, block = 0, np.zeros((min(BLOCK, self.n), self.n), bool)
+
+        def put() -> None:
+            rows = block[: min(BLOCK, self.n - now)]
+            rows[np.arange(len(rows)), now + np.arange(len(rows))] = False
+            bits[now : now + len(rows)] |= np.packbits(rows, axis=1)
+            bits[:, now // 8 : -(-(now + len(rows)) // 8)] |= np.packbits(rows.T, axis=1)
+
+        for i, j in self.links(vectors):
+            if len(i) and i[0] // BLOCK * BLOCK != now:
+                put()
+                block[:] = False
+                now = int(i[0]) // BLOCK * BLOCK
+            block[i - now, j] = True
+        put()
+        links, label, left = np.zeros(self.n, np.int64), np.arange(self.n), np.ones(self.n, bool)
+        for s in range(0, self.n, BLOCK):
+            links[s : s + BLOCK] = np.unpackbits(bits[s : s + BLOCK], axis=1, count=self.n) @ times
+        for row in np.flatnonzero(links):
+            if not left[row]:
+                continue
+            edge = np.array([row])
+            while len(edge):  # breadth first
+                left[edge], label[edge] = False, row
+                reach = np.bitwise_or.reduce([np.bitwise_or.reduce(bits[edge[s : s + BLOCK]], axis=0) for s in range(0, len(edge), BLOCK)], axis=0)
+                edge = np.flatnonzero(np.unpackbits(reach, count=self.n).astype(bool) & left)
+        return links, label
 
     def links(self, vectors: np.ndarray, foreign: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (query, row of the shard), by blocks of queries. Queries of other shards are audited as well."""
+        """Index pairs (query, row of the shard), some of a block of queries at a time. Queries of other shards are audited
+        as well."""
         q = vectors.astype(np.float64)
         q /= np.linalg.norm(q, axis=1, keepdims=True)
         if foreign:
             self.settle(q[np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT)).astype(int))])
         for s in range(0, len(q), BLOCK):
-            i, j = self.brute(q[s : s + BLOCK]) if self.width is None else self.narrow(q[s : s + BLOCK], self.width)
-            yield i + s, self.graph.order[j]
+            for i, j in self.brute(q[s : s + BLOCK]) if self.width is None else self.narrow(q[s : s + BLOCK], self.width):
+                yield i + s, self.graph.order[j]
 
 
 def search(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
@@ -228,18 +274,8 @@ def search(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
         made = Shard(np.stack(x["embedding"].to_numpy()), similarity)
         made.rep, made.times = x["rep"].to_numpy(), x["times"].to_numpy()
         lead = x["slice"].iloc[0] == 0
-        links, label = np.zeros(len(x), np.int64), np.arange(len(x))
-        pairs = []
-        for i, j in made.links(np.stack(x["embedding"].to_numpy())):
-            keep = i != j
-            i, j = i[keep], j[keep]
-            pairs.append(np.unique(np.minimum(i, j) * len(x) + np.maximum(i, j)))
-        every = np.unique(np.concatenate(pairs))
-        i, j = every // len(x), every % len(x)
-        np.add.at(links, i, made.times[j])
-        np.add.at(links, j, made.times[i])
-        label = local_labels(len(x), i, j)
-        made.label = label
+        links, made.label = made.own(np.stack(x["embedding"].to_numpy()), made.times)
+        label = made.label
         moved = label != np.arange(len(x))
         return made, rows(made.rep, links, made.rep[moved], made.rep[label[moved]]) if lead else rows(none, none, none, none)
 
@@ -256,15 +292,13 @@ def search(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
                 if shard is None:
                     shard, out = opened()
                     yield out
-                links, edge_a, edge_b = np.zeros(len(queries), np.int64), [none], [none]
+                links, touched = np.zeros(len(queries), np.int64), none
                 rep = queries["rep"].to_numpy()
                 for i, j in shard.links(np.stack(queries["embedding"].to_numpy()), foreign=True):
                     np.add.at(links, i, shard.times[j])
                     # a query joins each group of the shard that it touches once
-                    touched = np.unique(i * shard.n + shard.label[j]) if len(i) else none
-                    edge_a.append(rep[touched // shard.n])
-                    edge_b.append(shard.rep[touched % shard.n])
-                yield rows(rep, links, np.concatenate(edge_a), np.concatenate(edge_b))
+                    touched = np.union1d(touched, i * shard.n + shard.label[j])
+                yield rows(rep, links, rep[touched // shard.n], shard.rep[touched % shard.n])
     if members and shard is None and key[3] == 0:
         yield opened()[1]
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACE, Cuts
+from tidewater.llm.common import SPACE, Cuts, set_aside
 
 MIN_SITES = 10
 #: log2 of a sketch's registers: a relative standard error of 1.6 %.
@@ -54,7 +54,7 @@ def removals(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SIT
 
 
 def cut_lines(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with `text` less its boilerplate lines, and `_removed`, their number."""
+    """docs (doc_id, text, the site's column) with `text` less its boilerplate lines, and `_removed`, their number."""
     gone = removals(docs, site_col, min_sites).withColumnsRenamed({"doc_id": "_id", "mark": "_mark", "removed": "_removed"})
     rows = docs.withColumn("_own", F.xxhash64("text"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_own"] == gone["_mark"]), "left").drop("_id", "_mark", "_own")
@@ -65,10 +65,11 @@ def cut_lines(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SI
 
 def drop_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs with shortened texts; n_chars, where there is one, follows. Every row stays."""
-    out = cut_lines(docs, site_col, min_sites)
+    rows, back = set_aside(docs, "doc_id", "text", "n_chars", site_col)
+    out = cut_lines(rows, site_col, min_sites)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return back(out)
 
 
 ORACLE = r"""

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents fall into cells of source, language and topic. One aggregation counts each cell's tokens; it is bounded by
-`levels` a marginal, beyond which values are one level, OTHER. Raking scales the cells' expected tokens to one marginal
-after the other until all hold. A cell can't give more tokens than it has, so each scaling is sought under that bound
+Documents fall into cells of source, language and topic; one aggregation counts each cell's tokens. However many values a
+marginal has, each is a level of its own. Raking scales the cells' expected tokens to one marginal after the other until
+all hold: up to CELLS cells in arrays on the driver, more in tables, where a scaling is one sum by level and one join
+(`rake_tables`); both follow the same targets to the same shares. A cell can't give more tokens than it has, so each scaling is sought under that bound
 (a document is never drawn twice); what a marginal lacks because of it is reported, not hidden. A cell's expected
 tokens over its tokens are the calibrated sampling probability; a document is kept if its hash falls below its cell's.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import topics
-from tidewater.llm.common import Cuts, bounded_batches
+from tidewater.llm.common import Cuts, bounded_batches, set_aside
 
 OTHER = "(other)"
 DIMS = ("source", "lang", "topic")
 CELL = [f"_{d}" for d in DIMS]
+#: Cells that are raked on the driver at most.
+CELLS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -44,20 +48,22 @@ class Targets:
     budget: float = 0.6
     power: float = 0.7
     seed: int = 17
-    levels: int = 200
     topics: int = 8
 
 
 @dataclass
 class Raked:
-    """Expected tokens of each cell, and for each marginal's level the share wanted and that expected."""
+    """Expected tokens of each cell, and for each marginal's level the share wanted and that expected. Where cells are
+    raked in tables, `cells` (CELL, n, expected) and `levels` (marginal, level, target, expected) hold the same."""
 
     tokens: dict[tuple[str, ...], int]
     expected: dict[tuple[str, ...], float]
     shares: list[tuple[str, str, float, float]]
     converged: bool
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, topics.WIDTH)))
-    named: dict[str, list[str]] = field(default_factory=dict)
+    named: dict[str, list[str] | None] = field(default_factory=dict)
+    cells: DataFrame | None = None
+    levels: DataFrame | None = None
 
     def probability(self, cell: tuple[str, ...]) -> float:
         return self.expected[cell] / self.tokens[cell]
@@ -97,8 +103,10 @@ def rake(counts: dict[tuple[str, ...], int], targets: Targets, tolerance: float
     axes = []
     for i, d in enumerate(DIMS):
         names = sorted({c[i] for c in cells})
-        level = np.array([names.index(c[i]) for c in cells])
-        axes.append((names, level, wanted_shares(n, level, names, getattr(targets, d), total, targets.power), [np.flatnonzero(level == k) for k in range(len(names))]))
+        place = {name: k for k, name in enumerate(names)}
+        level = np.array([place[c[i]] for c in cells])
+        members = np.split(np.argsort(level, kind="stable"), np.cumsum(np.bincount(level, minlength=len(names)))[:-1])
+        axes.append((names, level, wanted_shares(n, level, names, getattr(targets, d), total, targets.power), members))
     factors = [np.ones(len(names)) for names, *_ in axes]
     x, worst = n * targets.budget, np.inf
     for _ in range(rounds):
@@ -120,9 +128,74 @@ def rake(counts: dict[tuple[str, ...], int], targets: Targets, tolerance: float
     return Raked(dict(counts), dict(zip(cells, x.tolist(), strict=True)), shares, worst < tolerance)
 
 
-def leveled(rows: DataFrame, named: dict[str, list[str]]) -> DataFrame:
-    """rows with their values of DIMS that aren't among the named ones as OTHER."""
-    return rows.withColumns({f"_{d}": F.when(F.col(f"_{d}").isin(*named[d]), F.col(f"_{d}")).otherwise(OTHER) if named[d] else F.lit(OTHER) for d in DIMS})
+def rake_tables(cells: DataFrame, targets: Targets, cuts: Cuts, tolerance: float = 1e-6, rounds: int = 200) -> Raked:
+    """The same in tables. cells: (CELL, n). A level's factor moves by one step of Newton's towards what it lacks: its
+    tokens are a concave function of it, so steps end where the sorted search on the driver ends."""
+    n = F.col("n").cast("double")
+    tokens = cells.agg(F.sum("n").alias("n")).first()["n"]
+    total = targets.budget * tokens
+
+    def root(y, least: float) -> float:
+        """a such that min(n, a * y) sums to the total."""
+        a = 0.0
+        for _ in range(100):
+            r = cells.agg(F.sum(F.when(n <= a * y, n).otherwise(0.0)).alias("full"), F.sum(F.when(n > a * y, y)).alias("rest")).first()
+            if not r["rest"] or abs(r["full"] + a * r["rest"] - total) <= least * total:
+                return a
+            a = (total - r["full"]) / r["rest"]
+        return a
+
+    want = {}
+    for d in DIMS:
+        level, target = F.col(f"_{d}"), getattr(targets, d)
+        if target is None:
+            y = F.pow(n, F.lit(targets.power))
+            each = F.least(n, F.lit(root(y, 1e-12)) * y)
+        else:
+            each = None
+        sums = cells.groupBy(level.alias("level")).agg(F.sum(n if each is None else each).alias("t"))
+        if target is not None:
+            given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], "level string, w double")
+            sums = cuts.write(sums.join(given, "level", "left").withColumn("w", F.coalesce("w", F.lit(0.0))))
+            sums = sums.select("level", (F.col("w") if sums.agg(F.sum("w")).first()[0] > 0 else F.col("t")).alias("t"))
+        whole = sums.agg(F.sum("t")).first()[0]
+        want[d] = cuts.write(sums.select("level", (F.col("t") / whole).alias("want")))
+    now = cuts.write(cells.select(*CELL, n.alias("n"), *[F.lit(1.0).alias(f"f_{d}") for d in DIMS]))
+    worst, x = np.inf, lambda d: reduce(lambda a, b: a * b, [F.col(f"f_{j}") for j in DIMS if j != d], F.col("n") * targets.budget)
+    for _ in range(rounds):
+        worst = 0.0
+        for d in DIMS:
+            y, a = x(d), F.col(f"f_{d}")
+            sums = now.groupBy(F.col(f"_{d}").alias("level")).agg(F.max(a).alias("a"), F.sum(F.when(F.col("n") <= a * y, F.col("n")).otherwise(0.0)).alias("full"), F.sum(F.when(F.col("n") > a * y, y).otherwise(0.0)).alias("rest"))
+            lacks = F.col("want") * total - F.col("full")
+            moved = F.when(F.col("want") <= 0, 0.0).when(F.col("rest") > 0, F.greatest(lacks, F.lit(0.0)) / F.col("rest")).otherwise(F.col("a"))
+            # a factor under which every cell of a level is full may be too large by far: it starts again from below
+            over = (F.col("rest") <= 0) & (lacks < 0)
+            new = cuts.write(sums.join(want[d], "level").select("level", F.when(over, F.col("a") / 2).otherwise(moved).alias("new"), (F.abs(F.col("full") + F.col("a") * F.col("rest") - F.col("want") * total) / total).alias("off"), ((F.col("rest") <= 0) & (lacks >= 0)).alias("spent")))
+            worst = max(worst, new.where("not spent").agg(F.max("off")).first()[0] or 0.0)
+            was, now = now, cuts.write(now.join(new.select(F.col("level").alias(f"_{d}"), "new"), f"_{d}").select(*CELL, "n", *[F.col("new" if j == d else f"f_{j}").alias(f"f_{j}") for j in DIMS]))
+            cuts.drop(was)
+            cuts.drop(new)
+        if worst < tolerance:
+            break
+    full = cuts.write(now.select(*CELL, F.col("n").cast("long").alias("n"), F.least(F.col("n"), x(None)).alias("expected")))
+    drawn = full.agg(F.sum("expected")).first()[0] or 1e-300
+    levels = [full.groupBy(F.col(f"_{d}").alias("level")).agg((F.sum("expected") / drawn).alias("expected")).join(want[d], "level").select(F.lit(d).alias("marginal"), "level", F.col("want").alias("target"), "expected") for d in DIMS]
+    levels = cuts.write(reduce(DataFrame.union, levels))
+    cuts.only(full, levels)
+    return Raked({}, {}, [], worst < tolerance, cells=full, levels=levels)
+
+
+def leveled(rows: DataFrame, named: dict[str, list[str] | None]) -> DataFrame:
+    """rows with their values of DIMS as levels: OTHER stands for null, and for what isn't among the named ones, if any are."""
+
+    def level(d: str):
+        value = F.col(f"_{d}")
+        if named.get(d) is None:
+            return F.coalesce(value, F.lit(OTHER))
+        return F.when(value.isin(*named[d]), value).otherwise(OTHER) if named[d] else F.lit(OTHER)
+
+    return rows.withColumns({f"_{d}": level(d) for d in DIMS})
 
 
 def topic_name(at: np.ndarray) -> pa.Array:
@@ -143,18 +216,16 @@ def fit(docs: DataFrame, targets: Targets, cuts: Cuts) -> Raked:
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2) if own else topic_name(at), x.column(3)], [*CELL, "n"])
 
     cells = cuts.write(rows.mapInArrow(label, ", ".join(f"{c} string" for c in CELL) + ", n long").groupBy(*CELL).agg(F.sum("n").alias("n")).where("n > 0"))
-    named = {}
-    for d in DIMS:
-        if (target := getattr(targets, d)) is not None:
-            named[d] = [k for k in target if k != OTHER]
-        else:
-            top = cells.where(F.col(f"_{d}").isNotNull()).groupBy(f"_{d}").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), f"_{d}").limit(targets.levels)
-            named[d] = [r[0] for r in top.collect()]
-    found = leveled(cells, named).groupBy(*CELL).agg(F.sum("n").alias("n")).collect()  # bounded by the levels
-    counts = {tuple(r[c] for c in CELL): r["n"] for r in found}
-    raked = rake(counts, targets) if counts else Raked({}, {}, [], True)
+    named = {d: None if (target := getattr(targets, d)) is None else [k for k in target if k != OTHER] for d in DIMS}
+    found = cuts.write(leveled(cells, named).groupBy(*CELL).agg(F.sum("n").alias("n")))
+    cuts.only(found)
+    if found.count() > CELLS:
+        raked = rake_tables(found, targets, cuts)
+    else:
+        counts = {tuple(r[c] for c in CELL): r["n"] for r in found.collect()}  # CELLS at most
+        raked = rake(counts, targets) if counts else Raked({}, {}, [], True)
+        cuts.only()
     raked.centroids, raked.named = centroids, named
-    cuts.only()
     return raked
 
 
@@ -176,6 +247,8 @@ def labelled(docs: DataFrame, raked: Raked, seed: int) -> DataFrame:
 
 def shares(raked: Raked, like: DataFrame) -> DataFrame:
     """(marginal, level, target, expected, shortfall): shares of tokens; shortfall: what the bound of one draw a document costs."""
+    if raked.levels is not None:
+        return raked.levels.withColumn("shortfall", F.greatest(F.lit(0.0), F.col("target") - F.col("expected")))
     rows = [(d, k, t, e, max(0.0, t - e)) for d, k, t, e in raked.shares]
     return like.sparkSession.createDataFrame(rows, "marginal string, level string, target double, expected double, shortfall double")
 
@@ -184,18 +257,20 @@ def mixed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """docs and weight (the cell's share of expected tokens), probability, kept; helper columns stay too."""
     targets = targets or Targets()
     raked = fit(docs, targets, Cuts(docs.sparkSession))
-    total = sum(raked.expected.values()) or 1.0
-    cells = docs.sparkSession.createDataFrame([(*k, x / total, raked.probability(k)) for k, x in sorted(raked.expected.items())], ", ".join(f"{c} string" for c in CELL) + ", weight double, probability double")
-    rows = labelled(docs, raked, targets.seed).join(F.broadcast(cells), CELL, "left")  # bounded by the levels
+    if raked.cells is not None:
+        total = raked.cells.agg(F.sum("expected")).first()[0] or 1.0
+        cells = raked.cells.select(*CELL, (F.col("expected") / total).alias("weight"), (F.col("expected") / F.col("n")).alias("probability"))
+    else:
+        total = sum(raked.expected.values()) or 1.0
+        cells = docs.sparkSession.createDataFrame([(*k, x / total, raked.probability(k)) for k, x in sorted(raked.expected.items())], ", ".join(f"{c} string" for c in CELL) + ", weight double, probability double")
+        cells = F.broadcast(cells)  # CELLS rows at most
+    rows = labelled(docs, raked, targets.seed).join(cells, CELL, "left")
     some = F.col("_n") > 0
     rows = rows.withColumns({k: F.when(some, F.coalesce(k, F.lit(0.0))).otherwise(0.0) for k in ("weight", "probability")})
     return rows.withColumn("kept", F.col("_u") < F.col("probability"))
 
 
 def sample(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
-    """The kept rows with their own columns. Own columns named like a helper are set aside meanwhile."""
-    own = docs.columns
-    needed = [c for c in ("doc_id", "text", *DIMS) if c in own]
-    clash = {c: f"_own{i}_{c}" for i, c in enumerate(own) if c not in needed}
-    out = mixed(docs.withColumnsRenamed(clash), targets).where("kept")
-    return out.select(*[F.col(clash.get(c, c)).alias(c) for c in own])
+    """The kept rows with their own columns."""
+    rows, back = set_aside(docs, "doc_id", "text", *DIMS)
+    return back(mixed(rows, targets).where("kept"))

@@ -25,7 +25,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACE, Cuts
+from tidewater.llm.common import SPACE, Cuts, set_aside
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
@@ -199,7 +199,8 @@ def judge(docs: DataFrame, key: list[str]) -> DataFrame:
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with their own columns. Rows are told apart by id and a hash of what is judged."""
     mark = F.xxhash64(*[F.coalesce(F.col(k), F.lit("\x00")) for k in (*GROUP, "text")])
-    out = judge(docs.select("doc_id", *GROUP, "text").withColumn("_mark", mark), ["doc_id", "_mark"])
+    rows, back = set_aside(docs, "doc_id", "text", *GROUP)
+    out = judge(rows.select("doc_id", *GROUP, "text").withColumn("_mark", mark), ["doc_id", "_mark"])
     gone = out.where("not kept").select(F.col("doc_id").alias("_id"), "_mark").distinct()
-    marked = docs.withColumn("_own", mark)
-    return marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_mark"]), "left_anti").drop("_own")
+    marked = rows.withColumn("_judged", mark)
+    return back(marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_judged"] == gone["_mark"]), "left_anti"))

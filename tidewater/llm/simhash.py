@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Cuts, byte_words, components, local_labels, texts_of, typed_id
+from tidewater.llm.common import Cuts, byte_words, components, local_labels, set_aside, texts_of, typed_id
 
 WIDTH, SEED, SHINGLE = 64, 42, 3
 BLOCK = 1 << 16
@@ -189,11 +189,12 @@ def drop_near_copies(docs: DataFrame, budget: int = 2) -> DataFrame:
 
     The verdicts of a repeated doc_id follow its rows' texts: a row stays if its own text's group is led by its doc_id.
     """
-    groups = simhash_groups(docs, budget)
+    rows, back = set_aside(docs, "doc_id", "text")
+    groups = simhash_groups(rows, budget)
     gone = groups.where("doc_id <> component_id").select("doc_id", F.col("fingerprint").alias("_print")).distinct()
     # an id may have several texts: each row's verdict is found by its own text
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text"), F.lit("\x00"))))
+    marked = rows.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text"), F.lit("\x00"))))
     cuts = Cuts(docs.sparkSession)
     again = marked.join(gone.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", "_mark")
     drop = cuts.write(fingerprints(again, "_mark").withColumn("_print", F.lpad(F.lower(F.hex("fp")), 16, "0")).join(gone, ["doc_id", "_print"], "left_semi").select("doc_id", "_mark").distinct())
-    return marked.join(drop, ["doc_id", "_mark"], "left_anti").select(*docs.columns)
+    return back(marked.join(drop, ["doc_id", "_mark"], "left_anti"))
