@@ -155,7 +155,7 @@ def test_every_source_has_a_share_of_its_own(spark):
     assert all(abs(t - e) < 1e-6 for t, e in shares.values()) and shares["hot"][0] < 0.3
 
 
-@pytest.mark.parametrize("targets", [Targets(), Targets({"hot": 0.2, "s1": 0.1, "s2": 0.3}, {"x": 0.6, OTHER: 0.4}, None, budget=0.02)])
+@pytest.mark.parametrize("targets", [Targets(), Targets({"hot": 0.4, "s1": 0.6}, {"x": 0.6, OTHER: 0.4}, None, budget=0.01)])
 def test_tables_give_what_arrays_give(spark, monkeypatch, targets):
     docs = many(spark, 30, 3000)
     plain = mixing.fit(docs, targets, Cuts(spark))
