@@ -44,11 +44,15 @@ CHUNK = 1 << 22
 @dataclass(frozen=True)
 class Settings:
     classes: int = 48
-    rounds: int = 8
+    rounds: int = 60  # a guard: rounds end when the likelihood rises by less than the tolerance
     own: float = 2e-5
     common: float = 1e-6
     tolerance: float = 1e-4
 
+    def __post_init__(self) -> None:
+        if not 2 <= self.classes <= 254:  # with the tail a class is a byte
+            raise ValueError("classes must be from 2 to 254")
+
 
 def fold(docs: DataFrame) -> DataFrame:
     """doc_id (a string), text, held_out."""
