@@ -10,7 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import context_text, vector_text
@@ -21,6 +24,8 @@ from tidewater.operators.embedding import Embedder, embed_column, embed_query
 from tidewater.operators.fusion import ranked, reciprocal_rank
 
 OVERSAMPLE, BRANCH = 10, 100
+#: Queries whose distances to a block of rows a task holds at once.
+BATCH = 256
 
 
 def facet_filter(df: DataFrame, facets: dict) -> Column:
@@ -42,6 +47,59 @@ def nearest(vectors: DataFrame, query, k: int | None, id_col: str = "chunk_id",
     return rows if digits is None else rows.withColumn("distance", F.round("distance", digits))
 
 
+def _best(q: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in q, id, distance) of the k nearest rows of each unit vector of q, in the order of (distance, id)."""
+    distance = np.round(1.0 - q @ rows.T, digits)
+    edge = np.partition(distance, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+    i, j = np.nonzero(distance <= edge[:, None])
+    order = np.lexsort((ids[j], distance[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    i, j = i[place < k], j[place < k]
+    return i, ids[j], distance[i, j]
+
+
+def nearest_many(queries: DataFrame, rows: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "chunk_id", vector_col: str = "embedding", *, others: bool = False, digits: int = 9, block: int = 4096) -> DataFrame:
+    """(query_id, id_col, distance, rank): the k nearest rows by cosine distance of every query, all queries at once.
+
+    Queries and rows are dealt to blocks by hash, and each pair of blocks is one matrix product in a task of its own,
+    which gives k rows a query; what is shuffled are the vectors, once for each block of the other side, and k rows for
+    each query and block of rows. A task holds two blocks and BATCH rows of their product. others: a row is no
+    neighbour of the query with its own id. Distances are rounded to `digits`, equal ones are ordered by id.
+
+    Vectors that are null, empty, zero or hold null or non-finite components, and null ids, are no neighbours and have
+    none; vectors of different lengths raise ValueError.
+    """
+    v = F.col(vector_col).cast("array<double>")
+    usable = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    clean = lambda df, key: df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null").where(usable)
+    q, r = clean(queries, query_id), clean(rows, id_col)
+    n_q, n_r = (max(1, -(-df.count() // block)) for df in (q, r))
+    deal = lambda df, own, n, other, m, is_query: df.select("id", "v", F.lit(is_query).alias("is_query"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    both = deal(q, "qb", n_q, "rb", n_r, True).unionByName(deal(r, "rb", n_r, "qb", n_q, False))
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        made = pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "distance": np.zeros(0)})
+        if x["is_query"].all() or not x["is_query"].any():
+            return made
+        if x["v"].map(len).nunique() > 1:
+            raise ValueError("vectors must have one length")
+        unit = np.stack(x["v"].to_numpy())
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        ids, asks = x["id"].to_numpy(), x["is_query"].to_numpy()
+        own, asked, against, held, found = ids[asks], unit[asks], unit[~asks], ids[~asks], []
+        for s in range(0, len(own), BATCH):
+            i, near, distance = _best(asked[s : s + BATCH], against, held, k + others, digits)
+            found.append(pd.DataFrame({"query": own[s + i], "id": near, "distance": distance}))
+        made = pd.concat(found)
+        return made[made["query"] != made["id"]] if others else made
+
+    near = both.groupBy("qb", "rb").applyInPandas(run, "query long, id long, distance double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
+    best = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select(F.col("query").alias(query_id), F.col("id").alias(id_col), "distance", "rank")
+
+
 AGGREGATES = {"min": F.min, "avg": F.avg, "max": F.max}
 
 

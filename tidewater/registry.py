@@ -220,6 +220,17 @@ def vector_topk(spark, sf_dir):
     return search.nearest(rows, the_query(spark, sf_dir), 10, "vec_id")
 
 
+@query("""
+WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10""")
+def vector_all_nearest(spark, sf_dir):
+    """The ten nearest other vectors of every vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    out = search.nearest_many(rows.withColumn("query_id", F.col("vec_id")), rows, 10, id_col="vec_id", others=True)
+    return out.withColumns({"distance": F.round("distance", 6), "rank": F.col("rank").cast("long")})
+
+
 @query(f"""
 SELECT vec_id, {D} AS distance, row_number() OVER (ORDER BY {RAW}, vec_id) AS rank FROM embeddings WHERE label = 3 ORDER BY {RAW}, vec_id LIMIT 10""")
 def vector_rows_facet(spark, sf_dir):
