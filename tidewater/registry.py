@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tidewater import structured
 from tidewater.functions import text as tx
 from tidewater.functions import vectors as vx
 from tidewater.operators import chunking, fulltext, fusion, search, store
-from tidewater.operators.embedding import HashingEmbedder, embed_column, embed_query
+from tidewater.operators.embedding import HashingEmbedder, QueryCache, embed_column, embed_query, try_embed_column
 from tidewater.sources.shared import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,6 +350,9 @@ _register_fts("fts_not", "the NOT ours", ["term = 'the'", "term = 'ours'"], "tf0
 _register_fts("fts_prefix", "licen*", ["term LIKE 'licen%'"], "tf0 > 0")
 _register_fts("fts_phrase", '"of the"', [_PHRASE % ("of", "the")], "tf0 > 0")
 _register_fts("fts_column", "source:src3 AND text:the", ["field = 'source' AND term = 'src3'", "field = 'text' AND term = 'the'"], "tf0 > 0 AND tf1 > 0")
+_register_fts("fts_column_set", "{source text}:la OR {source}:src3", ["term = 'la'", "field = 'source' AND term = 'src3'"], "tf0 > 0 OR tf1 > 0")
+_register_fts("fts_column_except", "-source:the", ["field <> 'source' AND term = 'the'"], "tf0 > 0")
+_register_fts("fts_plus", "of + the", [_PHRASE % ("of", "the")], "tf0 > 0")
 _register_fts("fts_initial", "text:^the", ["field = 'text' AND term = 'the' AND pos = 0"], "tf0 > 0")
 _register_fts("fts_near", "NEAR(la de, 2)", [_NEAR % ("la", "de"), _NEAR % ("de", "la")], "tf0 > 0 AND tf1 > 0")
 _register_fts("fts_nested", "(une OR die) AND NOT_A_TERM OR los NOT que", ["term = 'une'", "term = 'die'", _PHRASE % ("not", "a"), "term = 'los'", "term = 'que'"], "((tf0 > 0 OR tf1 > 0) AND tf2 > 0) OR (tf3 > 0 AND NOT tf4 > 0)", [0, 1, 2, 3])
@@ -455,6 +459,22 @@ def hybrid_facet_pre(spark, sf_dir):
     return _hybrid(spark, sf_dir, exact=True, facets={"lang": "fr"}, facet_mode="pre")
 
 
+@query(f"WITH top AS ({_hybrid_oracle()}) SELECT *, CASE WHEN rank_1 IS NULL THEN 'VECTOR' WHEN rank_0 IS NULL THEN 'FTS' ELSE 'HYBRID' END AS match_type FROM top")
+def declared_index(spark, sf_dir):
+    """Hybrid search through a declared index whose query vectors are kept; what found each row."""
+    vector = np.array(the_query(spark, sf_dir), np.float32)
+
+    class Given:
+        dimension = len(vector)
+
+        def embed(self, texts, task="document"):
+            return np.stack([vector] * len(texts))
+
+    index = search.SearchIndex(table(spark, sf_dir, "documents"), chunk_vectors(spark, sf_dir), index_of(spark, sf_dir), QueryCache(Given()))
+    out = index.hybrid("les, und?", parse_mode="plain_or")
+    return _fused(out).join(out.select("doc_id", "match_type"), "doc_id")
+
+
 @query(f"WITH top AS ({_hybrid_oracle()}) SELECT top.rank, doc_id, lang, source, md5(text) AS text_md5 FROM top JOIN documents USING (doc_id)")
 def hydrated_results(spark, sf_dir):
     top = _hybrid(spark, sf_dir).select("doc_id", "rank")
@@ -575,6 +595,63 @@ def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in tables.items()])
 
 
+@query("SELECT doc_id AS id, doc_id % 10 = 0 AS moved FROM documents")
+def touched_notes(spark, sf_dir):
+    """Saving a note moves its updated_at, and no other's."""
+    tables = sample_tables(spark, sf_dir)
+    out = store.save_notes(tables, tables["notes"].where("id % 10 = 0").select("id", "title"), chunking.WindowSplitter())
+    return out["notes"].select("id", (F.col("updated_at") > F.col("created_at")).alias("moved"))
+
+
+@query("SELECT count(*) FILTER (doc_id % 3 = 1) AS removed, 0::BIGINT AS again, count(*) FILTER (doc_id % 3 <> 1) AS n_left FROM documents")
+def removed_notes(spark, sf_dir):
+    """How many notes removing some of them says it has removed, at first and again."""
+    into, notes = store.Store(spark, scratch(spark, "store")), sample_tables(spark, sf_dir)["notes"]
+    into.create()
+    into.save({"notes": notes})
+    gone = notes.where("id % 3 = 1").select("id")
+    removed, again = into.remove(gone), into.remove(gone)
+    return into.table("notes").agg(F.lit(removed).cast("long").alias("removed"), F.lit(again).cast("long").alias("again"), F.count("*").alias("n_left"))
+
+
+@query(f"""
+WITH {CHUNKS}, n AS (
+  SELECT 'notes' AS name, count(*) AS n FROM documents UNION ALL SELECT 'note_chunks', count(*) FROM cut UNION ALL SELECT 'note_tags', count(*) FROM documents
+  UNION ALL SELECT 'tags', count(DISTINCT source) FROM documents UNION ALL SELECT 'categories', 4)
+SELECT *, true AS loaded_once, true AS dropped FROM n""")
+def seeded_store(spark, sf_dir):
+    """Rows of a store that was seeded twice, loaded once and dropped."""
+    into, loads = store.Store(spark, scratch(spark, "store")), []
+    into.create()
+
+    def load():
+        loads.append(1)
+        return sample_tables(spark, sf_dir)
+
+    into.seed(load)
+    rows = into.seed(load)
+    into.drop()
+    return spark.createDataFrame([(k, n, len(loads) == 1, into.state().n == 0) for k, n in rows.items()], "name string, n long, loaded_once boolean, dropped boolean")
+
+
+@query(r"SELECT doc_id, NOT regexp_matches(CASE WHEN doc_id % 5 = 0 THEN repeat(' ', doc_id % 3) ELSE text END, '\S') AS blank FROM documents")
+def blank_texts(spark, sf_dir):
+    """Blank texts have no vector."""
+    text = F.expr("CASE WHEN doc_id % 5 = 0 THEN repeat(' ', CAST(doc_id % 3 AS INT)) ELSE text END")
+    return table(spark, sf_dir, "documents").select("doc_id", try_embed_column(HashingEmbedder(), text).isNull().alias("blank"))
+
+
+@query("SELECT doc_id, md5(concat_ws(chr(10), 'Document: ' || source, 'Path: ' || lang, 'Context: Code Snippet (' || lang || ')') || chr(10) || '---' || chr(10) || text) AS text_md5 FROM documents WHERE source <> '' AND lang <> ''")
+def breadcrumbs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("source <> '' AND lang <> ''")
+    return docs.select("doc_id", F.md5(tx.breadcrumb_text(F.col("source"), F.col("lang"), F.col("text"), F.col("lang"))).alias("text_md5"))
+
+
+@query("SELECT doc_id, translate(substr(text, 1, 30), chr(10), ' ') || '...' AS p30, translate(substr(text, 1, 50), chr(10), ' ') || '...' AS p50 FROM documents")
+def note_previews(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview("text", 30).alias("p30"), tx.preview("text", 50).alias("p50"))
+
+
 @query("SELECT doc_id AS id, source AS tag, lang AS category FROM documents")
 def note_tags_bridge(spark, sf_dir):
     t = sample_tables(spark, sf_dir)
