@@ -129,12 +129,17 @@ class Graph:
             valid &= ~seen[live[:, None], near]
             r, c = np.nonzero(valid)
             seen[live[r], near[r, c]] = True
-            s = np.where(valid, np.einsum("id,ijd->ij", q[live], x[near]), -np.inf).astype(np.float32)
-            every = np.concatenate([sim[live], s], axis=1)
+            s = np.full(near.shape, -np.inf, np.float32)
+            s[r, c] = np.einsum("ij,ij->i", q[live[r]], x[near[r, c]])
+            # most rows far into a search find nothing better than what their beam holds
+            gains = (s > sim[live].min(axis=1)[:, None]).any(axis=1)
+            rows, s, near = live[gains], s[gains], near[gains]
+            every = np.concatenate([sim[rows], s], axis=1)
             top = np.argpartition(-every, width - 1, axis=1)[:, :width]
-            sim[live] = np.take_along_axis(every, top, 1)
-            ids[live] = np.take_along_axis(np.concatenate([ids[live], np.where(valid, near, -1)], axis=1), top, 1)
-            todo[live] = np.take_along_axis(np.concatenate([todo[live], valid], axis=1), top, 1)
+            at = np.arange(len(rows))[:, None]
+            sim[rows] = every[at, top]
+            ids[rows] = np.concatenate([ids[rows], np.where(s > -np.inf, near, -1)], axis=1)[at, top]
+            todo[rows] = np.concatenate([todo[rows], s > -np.inf], axis=1)[at, top]
         return ids, sim
 
 
