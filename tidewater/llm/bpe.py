@@ -7,7 +7,7 @@ in parallel. Where an overlap has no common boundary (one very long pre-token),
 Decoding concatenates the bytes of the ids. Short texts are a single chunk.
 
 Defined results: a null text is empty; an empty text has no ids; special tokens are ordinary text; rows with the same
-id and text give equal rows; an empty table gives no rows.
+id and text give equal rows; further columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

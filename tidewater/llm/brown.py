@@ -17,7 +17,7 @@ distribution sums to one; a word that training doesn't have is the unknown word
 
 Defined results: a null text is empty and has one token, its end; the end is a class and a word of its own that no text
 can spell; rows with a null id train; with no training text every probability is that of an unseen word; each row is
-scored by itself, repeated or not; an empty table gives no rows. Words are told apart by 64 bits of hash.
+scored by itself, repeated or not; further columns, whatever their names, are not read; an empty table gives no rows. Words are told apart by 64 bits of hash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ turns' segments in order, and readers stream over them.
 
 Defined results: a null text or content is empty, a null role is an empty role; turns are ordered by turn (nulls
 first), then role and text; repeated rows are repeated turns; rows with a null conv_id form one conversation; unknown
-part types raise ValueError; an empty table gives no rows.
+part types raise ValueError; text parts that touch are one text; further columns are not read; an empty table gives no
+rows.
 """
 
 from __future__ import annotations

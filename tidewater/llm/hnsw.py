@@ -14,7 +14,8 @@ emitted is a spanning forest, never the pairs of a dense group. Components are t
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those with a null label or id,
 link with nothing; neither do vectors of different lengths; every row is a vector, so repeated rows link with each
-other; component_id is then the row's own vec_id; an empty table gives no rows.
+other; component_id is then the row's own vec_id; further columns, whatever their names, are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ first occurrence in the corpus stays, so that no content is lost from it altoget
 Lines are compared with runs of ASCII blanks made one space and outer blanks cut, by 128 bits of hash. Defined results:
 wordless lines always stay; a null site counts as no site; a null text stays null and has no lines; the first
 occurrence is the one with the smallest id (null ids first), then text hash, then line; rows alike in id and text are
-treated alike; an empty table gives no rows.
+treated alike; an empty table gives no rows. `drop_boilerplate` keeps further columns, whatever their names, as they are;
+`cut_lines` takes none named `_id`, `_mark`, `_own` or `_removed`.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ thousand distinct values) and joined back as one row each.
 
 Defined results: null texts have no words and fail the base rule; null languages and sources form groups of their own;
 groups with under MIN_ROWS rows that pass the base rules are judged by the estimate of their language, and if that has
-too few as well, by that of all rows, however few; an empty table gives no rows; repeated rows are judged row by row. A
+too few as well, by that of all rows, however few; `drop_rejected` keeps further columns, whatever their names; an empty table gives no rows; repeated rows are judged row by row. A
 window of three words is compared by its 64-bit hash within its own text.
 """
 

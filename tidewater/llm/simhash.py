@@ -9,7 +9,7 @@ traverses its pair of subtrees over sorted arrays.
 Defined results: a null or wordless text has fingerprint zero and links like any other; under three words the whole
 word sequence is the only shingle; repeated shingles count each time; rows that share a doc_id give one row each; rows
 with a null id link and bridge like others, and their component is null only if all its ids are; an empty table gives
-no rows.
+no rows. Further columns, whatever their names, are not read; `drop_near_copies` keeps them as they are.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ cuts at l + 1. Only the smaller sides are visited. At LENGTH it stops: what then
 many bytes.
 
 Pieces are told apart by 128 bits of hash. Defined results: a null text is empty; texts shorter than LENGTH keep all;
-rows alike in id and text are two texts that repeat each other; an empty table gives no rows.
+rows alike in id and text are two texts that repeat each other; further columns, whatever their names, are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Patterns: `d:example.org` matches the host and all below it; `p:example.org/a/b`
 with these segments. A URL's schemes, case of host, user, port, query and fragment don't matter. Defined results: null
 and unparsable URLs match nothing; a null day has no active entries; of entries for one pattern and day "remove" wins;
 captures alike in id, URL and day are treated alike, each row stays; empty lists block nothing; an empty table of
-captures gives no rows. Long URLs: only as many labels and segments are tried as the longest pattern has.
+captures gives no rows; captures keep further columns, but none named `_id`, `_day`, `_own`, `_mark`, `_n`, `_l`,
+`n_active`, `first_list` or `blocked`. Long URLs: only as many labels and segments are tried as the longest pattern has.
 """
 
 from __future__ import annotations
