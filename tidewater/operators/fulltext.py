@@ -3,11 +3,15 @@
 postings: (term, doc_id, field, tf, positions), sorted by term within its files, so that `term IN (...)` prunes row
 groups; stats: (doc_id, doc_len). The index is a pure function of the documents, so it is never stale: after a change
 the affected documents' rows are replaced.
+
+A document's tokens are grouped where its row is, by a sort and folds over its own array, and the result is written once:
+no token is shuffled, and whatever reads postings or lengths, as the sample that ranges are drawn from, cuts no text again.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.text import tokens
 from tidewater.plans.ftsquery import Node, Phrase, Query, parse, plain
+from tidewater.sources.shared import written
 
 #: Fixed values of the ranking formula.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -29,8 +34,7 @@ class Index:
     fields: tuple[str, ...]
 
     def write(self, path: str) -> None:
-        # a stop word's postings are spread by document
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        dealt(self.postings).write.mode("overwrite").parquet(f"{path}/postings")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
@@ -47,14 +51,47 @@ class Index:
         return Index(keep(self.postings).unionByName(new.postings), keep(self.stats).unionByName(new.stats), self.fields)
 
 
+def dealt(postings: DataFrame) -> DataFrame:
+    """Postings as files hold them: a query's terms are in few row groups, a stop word's are spread by document."""
+    return postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _grouped(terms: Column) -> Column:
+    """The distinct terms of an array in order, each with its sorted positions."""
+
+    def runs(x: Column) -> Column:
+        edges = F.filter(F.sequence(F.lit(0), F.size(x["term"]) - 1), lambda i: (i == 0) | (x["term"][i] != x["term"][i - 1]))
+        return _let(F.struct(x["term"].alias("term"), x["pos"].alias("pos"), edges.alias("edges"), F.size(x["term"]).alias("n")), cut)
+
+    def cut(h: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(h["edges"], k + 1), h["n"])
+        return F.transform(h["edges"], lambda i, k: F.struct(h["term"][i].alias("term"), F.slice(h["pos"], i + 1, end(k) - i).alias("positions")))
+
+    places = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    some = _let(places, lambda at: _let(F.struct(at["term"].alias("term"), at["pos"].alias("pos")), runs))
+    return F.when(F.size(terms) > 0, some).otherwise(F.array().cast("array<struct<term:string,positions:array<int>>>"))
+
+
 def build(docs: DataFrame, fields: dict[str, str | None], id_col: str = "doc_id") -> Index:
-    """fields: name in queries -> column (None: the same name). Positions restart in each field."""
-    held = [F.struct(F.lit(name).alias("field"), tokens(F.col(column or name)).alias("terms")) for name, column in fields.items()]
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*held)).alias("x")).select("doc_id", "x.field", "x.terms")
-    each = parts.select("doc_id", "field", F.posexplode("terms").alias("pos", "term"))
-    postings = each.groupBy("term", "doc_id", "field").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    total = reduce(lambda a, b: a + b, (F.size(tokens(F.col(column or name))) for name, column in fields.items()))
-    return Index(postings, docs.select(F.col(id_col).alias("doc_id"), total.alias("doc_len")), tuple(fields))
+    """fields: name in queries -> column (None: the same name). Positions restart in each field. Rows that share an id
+    are one document, with a row each in stats."""
+    held = [F.struct(F.lit(name).alias("field"), _let(tokens(F.col(column or name)), lambda t: F.struct(F.size(t).alias("n"), _grouped(t).alias("terms"))).alias("of")) for name, column in fields.items()]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.array(*held).alias("x"))
+    total = F.aggregate("x", F.lit(0), lambda n, f: n + f["of"]["n"])
+    rows = written(rows.select("doc_id", total.alias("doc_len"), F.transform("x", lambda f: F.struct(f["field"].alias("field"), f["of"]["terms"].alias("terms"))).alias("x")), "index")
+    parts = rows.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.field", F.explode("x.terms").alias("t"))
+    each = parts.select(F.col("t.term").alias("term"), "doc_id", "field", F.size("t.positions").alias("tf"), "t.positions")
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
+    if not again.isEmpty():
+        several = F.col("doc_id").eqNullSafe(F.col("_id"))
+        merged = each.join(again, several, "left_semi").groupBy("term", "doc_id", "field").agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+        each = each.join(again, several, "left_anti").unionByName(merged)
+    return Index(each, rows.select("doc_id", "doc_len"), tuple(fields))
 
 
 def document_frequency(index: Index) -> DataFrame:

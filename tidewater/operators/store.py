@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import context_text, vector_text
 from tidewater.operators.chunking import TextSplitter, chunk
 from tidewater.operators.embedding import Embedder, embed_column
-from tidewater.operators.fulltext import Index, build
+from tidewater.operators.fulltext import Index, build, dealt
 from tidewater.sources.schemas import CASCADES, INDEX, TABLES, UNIQUE
 from tidewater.sources.shared import written
 
@@ -232,9 +232,7 @@ class Store:
         return df.select(*self.schemas[name].names)
 
     def _write(self, name: str, df: DataFrame, path: str) -> None:
-        if name == "postings":  # a query's terms are in few row groups; a stop word's postings are spread by document
-            df = df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        df.write.parquet(path)
+        (dealt(df) if name == "postings" else df).write.parquet(path)
 
     def _unique(self, name: str, rows: DataFrame, stored: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """What must be unique is so among the rows, and between them and the stored rows that stay."""
