@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tidewater.operators.search import nearest_many
+from tidewater.operators.search import MOST, blocks_of, nearest_many
 
 
 def brute(queries, rows, k, others):
@@ -31,3 +31,10 @@ def test_lengths_must_agree(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "chunk_id long, embedding array<double>")
     with pytest.raises(Exception, match="one length"):
         nearest_many(df.withColumnRenamed("chunk_id", "query_id"), df, 1).collect()
+
+
+def test_what_is_dealt_grows_no_faster_than_the_tables():
+    """A vector meets as many blocks of the other side in a table five or sixty times as large; a block stays bounded."""
+    assert blocks_of(9_000, 64) == blocks_of(45_000, 64) == blocks_of(300_000, 64)
+    assert 600_000 // blocks_of(600_000, 64) <= MOST // 64 and 50_000 // blocks_of(50_000, 1536) <= MOST // 1536
+    assert blocks_of(0, 1) == blocks_of(500, 64) == 1

@@ -24,8 +24,10 @@ from tidewater.operators.embedding import Embedder, embed_column, embed_query
 from tidewater.operators.fusion import ranked, reciprocal_rank
 
 OVERSAMPLE, BRANCH = 10, 100
-#: Queries whose distances to a block of rows a task holds at once.
-BATCH = 256
+#: Queries whose distances to a block of rows a task holds at once, and the most of these distances.
+BATCH, CELLS = 256, 1 << 21
+#: Blocks of a side, as long as they hold neither fewer vectors than LEAST nor more components than MOST.
+BLOCKS, LEAST, MOST = 6, 1024, 1 << 22
 
 
 def facet_filter(df: DataFrame, facets: dict) -> Column:
@@ -59,22 +61,30 @@ def _best(q: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, digits: int)
     return i, ids[j], distance[i, j]
 
 
-def nearest_many(queries: DataFrame, rows: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "chunk_id", vector_col: str = "embedding", *, others: bool = False, digits: int = 9, block: int = 4096) -> DataFrame:
+def blocks_of(n: int, dims: int) -> int:
+    """Into how many blocks n vectors are dealt."""
+    return max(1, -(-n // max(1, min(max(LEAST, -(-n // BLOCKS)), MOST // max(1, dims)))))
+
+
+def nearest_many(queries: DataFrame, rows: DataFrame, k: int = 10, query_id: str = "query_id", id_col: str = "chunk_id", vector_col: str = "embedding", *, others: bool = False, digits: int = 9, block: int | None = None) -> DataFrame:
     """(query_id, id_col, distance, rank): the k nearest rows by cosine distance of every query, all queries at once.
 
     Queries and rows are dealt to blocks by hash, and each pair of blocks is one matrix product in a task of its own,
     which gives k rows a query; what is shuffled are the vectors, once for each block of the other side, and k rows for
-    each query and block of rows. A task holds two blocks and BATCH rows of their product. others: a row is no
-    neighbour of the query with its own id. Distances are rounded to `digits`, equal ones are ordered by id.
+    each query and block of rows. There are BLOCKS of a side until they hold MOST components, so that what is shuffled
+    grows no faster than the tables up to there; floats are shuffled as floats. A task holds two blocks and some rows of their product. others: a
+    row is no neighbour of the query with its own id. Distances are rounded to `digits`, equal ones are ordered by id.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and null ids, are no neighbours and have
     none; vectors of different lengths raise ValueError.
     """
-    v = F.col(vector_col).cast("array<double>")
+    single = all(df.schema[vector_col].dataType.simpleString() == "array<float>" for df in (queries, rows))
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
     usable = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     clean = lambda df, key: df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null").where(usable)
     q, r = clean(queries, query_id), clean(rows, id_col)
-    n_q, n_r = (max(1, -(-df.count() // block)) for df in (q, r))
+    sizes = [df.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first() for df in (q, r)]
+    n_q, n_r = (max(1, -(-n // block)) if block else blocks_of(n, dims) for n, dims in sizes)
     deal = lambda df, own, n, other, m, is_query: df.select("id", "v", F.lit(is_query).alias("is_query"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
     both = deal(q, "qb", n_q, "rb", n_r, True).unionByName(deal(r, "rb", n_r, "qb", n_q, False))
 
@@ -84,12 +94,17 @@ def nearest_many(queries: DataFrame, rows: DataFrame, k: int = 10, query_id: str
             return made
         if x["v"].map(len).nunique() > 1:
             raise ValueError("vectors must have one length")
-        unit = np.stack(x["v"].to_numpy())
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         ids, asks = x["id"].to_numpy(), x["is_query"].to_numpy()
-        own, asked, against, held, found = ids[asks], unit[asks], unit[~asks], ids[~asks], []
-        for s in range(0, len(own), BATCH):
-            i, near, distance = _best(asked[s : s + BATCH], against, held, k + others, digits)
+
+        def unit(some: np.ndarray) -> np.ndarray:
+            out = np.stack(x["v"].to_numpy()[some]).astype(np.float64)
+            out /= np.linalg.norm(out, axis=1, keepdims=True)
+            return out
+
+        own, asked, against, held, found = ids[asks], unit(asks), unit(~asks), ids[~asks], []
+        step = min(BATCH, max(1, CELLS // len(held)))
+        for s in range(0, len(own), step):
+            i, near, distance = _best(asked[s : s + step], against, held, k + others, digits)
             found.append(pd.DataFrame({"query": own[s + i], "id": near, "distance": distance}))
         made = pd.concat(found)
         return made[made["query"] != made["id"]] if others else made
