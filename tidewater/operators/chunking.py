@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
+#: Characters of chunks that a worker gathers before it sends them on.
+PARCEL = 1 << 20
 CHUNK = "chunk_index int, start int, `end` int, cut_type string, is_last boolean, content string"
 
 
@@ -213,8 +216,22 @@ def window_chunks(text: Column | str, splitter: WindowSplitter | None = None) ->
     return _let(F.struct(F.length(text).alias("n"), pieces.alias("pieces")), fold)
 
 
+def parcels(made: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Chunks by lists of PARCEL characters in all, or one chunk beyond them; the content is the seventh field."""
+    part, size = [], 0
+    for row in made:
+        part.append(row)
+        size += len(row[6]) + 100
+        if size >= PARCEL:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", splitter: TextSplitter | None = None, native: bool = False) -> DataFrame:
-    """id_col and the columns of CHUNK: a row per chunk, produced where its document is; no shuffle.
+    """id_col and the columns of CHUNK: a row per chunk, produced where its document is; no shuffle. A worker holds the
+    Arrow batch of texts that it was sent, one text of it as a string, and PARCEL characters of chunks.
 
     A splitter with a METADATA type has a column `metadata` too. native: windows are cut by `window_chunks`, without
     Python workers; on one machine its interpreted folds take about twice the time of a worker's loop.
@@ -227,15 +244,18 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split
         return cut.select(id_col, "chunk_index", *[F.col(f"_c.{c}").alias(c) for c in ("start", "end", "cut_type", "is_last", "content")])
     kind, more = getattr(splitter, "METADATA", None), ["metadata"] if hasattr(splitter, "METADATA") else []
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    names = ["_id", "chunk_index", "start", "end", "cut_type", "is_last", "content", *more]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string(), *([to_arrow_type(DataType.fromDDL(kind))] if more else [])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            made = ((i, c.index, c.start, c.end, c.cut_type, c.is_last, c.text, *([c.metadata] if more else [])) for i, t in zip(x["_id"], x["_text"], strict=True) for c in splitter.split_text(t))
-            while part := list(islice(made, 4096)):
-                yield pd.DataFrame(part, columns=["_id", "chunk_index", "start", "end", "cut_type", "is_last", "content", *more])
+            # one text at a time leaves the batch
+            made = ((i.as_py(), c.index, c.start, c.end, c.cut_type, c.is_last, c.text, *([c.metadata] if more else [])) for i, t in zip(x["_id"], x["_text"], strict=True) for c in splitter.split_text(t.as_py()))
+            for part in parcels(made):
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*part, strict=True), [x.schema.field("_id").type, *types], strict=True)], names)
 
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, {CHUNK}" + (f", metadata {kind}" if more else "")
-    return rows.where("_text is not null").mapInPandas(run, schema).withColumnRenamed("_id", id_col)
+    return rows.where("_text is not null").mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def statistics(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
