@@ -16,13 +16,22 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import python_tokens
 
 
+#: Texts that an embedder gets at once; a worker sends their vectors on before it takes the next ones.
+SLICE = 512
+
+
+def _slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for x in batches:
+        yield from (x.iloc[at : at + SLICE] for at in range(0, len(x), SLICE))
+
+
 class Embedder(Protocol):
     dimension: int
 
     def embed(self, texts: list[str], task: str) -> np.ndarray: ...
 
 
-@lru_cache(1 << 20)
+@lru_cache(1 << 16)
 def _place(token: str, dimension: int) -> tuple[int, float]:
     digest = hashlib.md5(token.encode()).hexdigest()
     return int(digest[:8], 16) % dimension, 1.0 if int(digest[8], 16) < 8 else -1.0
@@ -68,7 +77,7 @@ def embed_function(embedder: Embedder):
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
+        for x in _slices(batches):
             there = x.notna()
             if (x[there].str.strip() == "").any():
                 raise ValueError("the text must not be empty")
@@ -83,7 +92,7 @@ def try_embed_column(embedder: Embedder, text: Column) -> Column:
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
+        for x in _slices(batches):
             there = x.notna() & (x.str.strip() != "")
             try:
                 made = iter(wrapped(embedder, x[there].tolist(), "document") if there.any() else ())
