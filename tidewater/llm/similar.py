@@ -1,6 +1,11 @@
-"""Near-dedup by the Jaccard similarity of five-word shingles: MinHash candidates, exact verification.
+"""Near-dedup by the Jaccard similarity of five-word shingles: fingerprints and MinHash for candidates, exact verification.
 
-Texts with equal shingle sets collapse to one node. A node's BANDS x ROWS minima give BANDS buckets; two sets with a
+Texts with equal shingle sets collapse to one node. First op1's binary-trie self-join links the nodes' SimHash
+fingerprints (a bit is set if it is set in over half of a set's hashes) at BUDGET or fewer differing bits, and what
+reaches the similarity is linked. The trie can't carry a budget that finds all of it, so buckets find the rest, among
+nodes that the trie has not connected yet.
+
+A node's BANDS x ROWS minima give BANDS buckets; two sets with a
 similarity of 0.8 share a bucket but for three in a million, more similar ones but for fewer.
 
 What two sets have in common is at most what either has in common with anything, and at most a set's size less the
@@ -36,9 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import Cuts, bounded_batches, byte_words, components, set_aside, texts_of, typed_id
+from tidewater.llm.simhash import link_edges
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 43
 BANDS, ROWS = 24, 4
+#: Bits in which fingerprints may differ for the trie to propose a pair.
+BUDGET = 2
 #: Pairs of one leader that meet one copy of its set.
 FAN = 64
 #: Members of a bucket from which on it is worth counting what they have in common with any other.
@@ -77,16 +85,24 @@ def buckets(grams: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(rows[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
+def fingerprint(grams: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a shingle set; of the empty set zero."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(grams), BLOCK):
+        counts += np.unpackbits(grams[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(grams)).view(">u8")[0].astype(np.uint64).astype(np.int64))
+
+
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, node, buckets): one row per document with an id. mark: a hash of the text."""
+    """(doc_id, mark, node, fp, buckets): one row per document with an id. mark: a hash of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             sets = [shingles(t) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "mark": x["mark"], "node": [node_of(s) for s in sets], "buckets": [buckets(s) for s in sets]})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "mark": x["mark"], "node": [node_of(s) for s in sets], "fp": [fingerprint(s) for s in sets], "buckets": [buckets(s) for s in sets]})
 
     rows = texts_of(docs.where("doc_id is not null"), text_mark().alias("mark"))
-    return typed_id(rows.mapInPandas(run, "doc_id string, mark long, node string, buckets array<long>"), docs)
+    return typed_id(rows.mapInPandas(run, "doc_id string, mark long, node string, fp long, buckets array<long>"), docs)
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
@@ -121,6 +137,17 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", common.alias("common"), (F.size("ga") + F.size("gb") - common).alias("all")).where(F.col("common") >= similarity * F.col("all")).select("a", "b")
 
 
+def trie_pairs(unique: DataFrame, cuts: Cuts) -> DataFrame:
+    """(a, b): pairs of nodes (node, fp) that connect all whose fingerprints link, one fewer than nodes or less. Nodes
+    with one fingerprint are paired with the least of them, which stands for it in the trie."""
+    first = cuts.write(unique.groupBy("fp").agg(F.min("node").alias("first")))
+    alike = unique.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    edges = link_edges(first.select("fp"), cuts, BUDGET)
+    of = lambda end: first.select(F.col("fp").alias(f"_{end}"), F.col("first").alias(f"n{end}"))
+    ends = edges.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b"))
+    return cuts.write(alike.union(ends.select(F.least("na", "nb"), F.greatest("na", "nb"))).distinct())
+
+
 def common_sizes(sets: DataFrame) -> DataFrame:
     """(node, common): how many of a node's shingles any other of these nodes has too."""
     own = F.xxhash64("node")
@@ -147,13 +174,17 @@ def may_link(similarity: float):
     return most >= similarity / (1 + similarity) * (F.col("size") + F.col("size_a")) - 1e-6
 
 
-def link_components(members: DataFrame, sets: DataFrame, cuts: Cuts, similarity: float) -> DataFrame | None:
-    """(node, component) of linked nodes. members: (bucket, node, size, common, signature) of the buckets with several nodes."""
-    found, roots, k = [], None, 0
+def link_components(members: DataFrame, sets: DataFrame, cuts: Cuts, similarity: float, linked: DataFrame) -> DataFrame | None:
+    """(node, component) of linked nodes. members: (bucket, node, size, common, signature) of the buckets with several nodes.
+    linked: (a, b), links there are already."""
+    found, k = [linked], 0
+    roots = None if linked.isEmpty() else cuts.write(components(linked, cuts))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
     spread = members.join(sizes, "bucket").groupBy("node").agg(F.sum("m").alias("spread"))
     members = cuts.write(members.join(spread, "node"))
     now = members.withColumn("component", F.col("node"))
+    if roots is not None:
+        now = members.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
     while True:
         # a bucket whose members are one component is done
         order = F.struct(-F.col("spread"), F.xxhash64("node"), "node")
@@ -181,14 +212,18 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     bounded_batches(docs.sparkSession)
     rows = cuts.write(nodes_of(docs))
     # copies collapse here
-    unique = cuts.write(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("buckets").alias("buckets")))
+    unique = cuts.write(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("fp").alias("fp"), F.any_value("buckets").alias("buckets")))
+    proposed = trie_pairs(unique.select("node", "fp"), cuts)
     every = unique.select("node", "rep", F.explode("buckets").alias("bucket"))
     shared = every.groupBy("bucket").count().where("count > 1").select("bucket", (F.col("count") >= DENSE).alias("dense"))
     members = cuts.write(every.join(cuts.write(shared), "bucket").select("bucket", "node", "rep", "dense"))
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    nodes = members.groupBy("node").agg(F.max("dense").alias("dense"))
+    either = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = cuts.write(members.select("node", "dense").union(either.withColumn("dense", F.lit(False))).groupBy("node").agg(F.max("dense").alias("dense")))
+    ids = unique.join(nodes, "node").select(F.col("rep").alias("doc_id")).distinct()
     sets = cuts.write(sets_of(docs.join(ids, "doc_id", "left_semi")).join(nodes, "node"))
-    roots = link_components(able_members(members.drop("rep"), sets, cuts, similarity), sets, cuts, similarity)
+    linked = cuts.write(verified(proposed, sets, similarity))
+    cuts.sweep()  # the trie's shuffles go before the buckets' come
+    roots = link_components(able_members(members.drop("rep"), sets, cuts, similarity), sets, cuts, similarity, linked)
     if roots is not None:
         at = unique.select("node", "rep").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = at.groupBy("component").agg(F.min("rep").alias("component_id"))
