@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import python_tokens
@@ -54,3 +56,24 @@ def test_long_text_is_in_proportion(spark):
     index = fulltext.build(text, {"title": None, "text": None}, "id")
     assert index.postings.agg(F.count("*"), F.sum("tf")).first()[:] == (70_001, 300_000)
     assert index.stats.first().doc_len == 300_000
+
+
+def test_blocks_are_dealt_instead_of_postings(spark, monkeypatch, tmp_path):
+    """One term of many documents is few rows to shuffle; parts of a batch, and a text beyond a part, lose nothing."""
+    rows = [(i, None if i % 3 else f"Same é{i % 7} e{i % 7}", "same Ünd und " + f"w{i} " * (i % 5)) for i in range(300)]
+    rows += [(300, "İ ß Σ ΑΣ", "x" * 9000), (None, "", "same"), (-1, "- , -", None)]
+    assert built(spark, rows).blocks.where("term = 'same'").count() < 30
+    monkeypatch.setattr(fulltext, "PART", 4000)
+    run = fulltext._in_blocks(("title", "text"))
+    texts = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "title": [(r[1] or "").lower() for r in rows], "text": [(r[2] or "").lower() for r in rows]})
+    made = pa.Table.from_batches(list(run(iter([texts])))).to_pylist()
+    got = {(b["term"], i, b["field"]): b["positions"][b["at"][k] : b["at"][k + 1]] for b in made if b["term"] is not None for k, i in enumerate(b["ids"])}
+    assert got == brute(rows) and max(len(b["ids"]) for b in made) == fulltext.BLOCK
+    assert sum(len(b["ids"]) for b in made if b["term"] is None) == len(rows)
+    index = built(spark, rows)
+    check(index, rows)
+    index.write(str(tmp_path / "i"))
+    check(fulltext.Index.read(spark, str(tmp_path / "i"), index.fields), rows)
+    for file in (tmp_path / "i" / "postings").glob("*.parquet"):
+        terms = pq.read_table(file)["term"].to_pylist()
+        assert terms == sorted(terms, key=str.encode)

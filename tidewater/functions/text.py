@@ -29,6 +29,11 @@ def tokens(text: Column | str) -> Column:
 _FOLDING = str.maketrans(FOLD_FROM, FOLD_TO)
 
 
+def folded(low: str) -> str:
+    """A string in lower case without the diacritics that fold() takes."""
+    return low if low.isascii() else low.translate(_FOLDING)
+
+
 @cache
 def _token():
     import regex
@@ -38,8 +43,7 @@ def _token():
 
 def python_tokens(text: str) -> list[str]:
     """The same for a string in Python: queries on the driver, texts in workers."""
-    low = text.lower()
-    return _token().findall(low if low.isascii() else low.translate(_FOLDING))
+    return _token().findall(folded(text.lower()))
 
 
 def context_text(category: Column, title: Column) -> Column:

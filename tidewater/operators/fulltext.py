@@ -4,27 +4,36 @@ postings: (term, doc_id, field, tf, positions), sorted by term within its files,
 groups; stats: (doc_id, doc_len). The index is a pure function of the documents, so it is never stale: after a change
 the affected documents' rows are replaced.
 
-A document's tokens are grouped where its row is, by a sort and folds over its own array, and the result is written once:
-no token is shuffled, and whatever reads postings or lengths, as the sample that ranges are drawn from, cuts no text again.
+Tokens are grouped where their rows are: a worker cuts some megabytes of texts at a time and gathers their tokens by term,
+column by column in Arrow and numpy, into blocks of up to BLOCK postings of one term and field. Blocks are written once,
+so no token is shuffled, and whatever reads postings or lengths cuts no text again. It is blocks that are sampled, dealt
+and sorted (by term and first document), a fraction of the postings in number; they are taken apart where they arrive.
+Letters lose their diacritics after the cut, which moves no edge: letters become letters.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tidewater.functions.text import tokens
+from tidewater.functions.text import TOKEN, folded
 from tidewater.plans.ftsquery import Node, Phrase, Query, parse, plain
 from tidewater.sources.shared import written
 
 #: Fixed values of the ranking formula.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Postings of a block, and bytes of text that a worker groups at once (a longer text is grouped by itself).
+BLOCK, PART = 64, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -32,9 +41,17 @@ class Index:
     postings: DataFrame
     stats: DataFrame
     fields: tuple[str, ...]
+    blocks: DataFrame | None = None
+
+    def dealt(self) -> DataFrame:
+        """The postings as files hold them."""
+        if self.blocks is None:
+            return dealt(self.postings)
+        first = F.col("ids")[0]
+        return _apart(self.blocks.repartitionByRange("term", first).sortWithinPartitions("term", first))
 
     def write(self, path: str) -> None:
-        dealt(self.postings).write.mode("overwrite").parquet(f"{path}/postings")
+        self.dealt().write.mode("overwrite").parquet(f"{path}/postings")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
@@ -56,42 +73,107 @@ def dealt(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value worked out once."""
-    return F.transform(F.array(value), then)[0]
-
-
-def _grouped(terms: Column) -> Column:
-    """The distinct terms of an array in order, each with its sorted positions."""
-
-    def runs(x: Column) -> Column:
-        edges = F.filter(F.sequence(F.lit(0), F.size(x["term"]) - 1), lambda i: (i == 0) | (x["term"][i] != x["term"][i - 1]))
-        return _let(F.struct(x["term"].alias("term"), x["pos"].alias("pos"), edges.alias("edges"), F.size(x["term"]).alias("n")), cut)
-
-    def cut(h: Column) -> Column:
-        end = lambda k: F.coalesce(F.get(h["edges"], k + 1), h["n"])
-        return F.transform(h["edges"], lambda i, k: F.struct(h["term"][i].alias("term"), F.slice(h["pos"], i + 1, end(k) - i).alias("positions")))
-
-    places = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    some = _let(places, lambda at: _let(F.struct(at["term"].alias("term"), at["pos"].alias("pos")), runs))
-    return F.when(F.size(terms) > 0, some).otherwise(F.array().cast("array<struct<term:string,positions:array<int>>>"))
+def _apart(blocks: DataFrame) -> DataFrame:
+    """Blocks as postings: the positions of the k-th document are those from at[k] to at[k + 1]."""
+    each = blocks.select("term", "field", "at", "positions", F.posexplode("ids").alias("k", "doc_id"))
+    tf = F.col("at")[F.col("k") + 1] - F.col("at")[F.col("k")]
+    return each.select("term", "doc_id", "field", tf.alias("tf"), F.slice("positions", F.col("at")[F.col("k")] + 1, tf).alias("positions"))
+
+
+def _terms(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct terms of unfolded words, in order, and which of them each word is."""
+    coded = words.dictionary_encode()
+    low = coded.dictionary
+    other = pc.invert(pc.string_is_ascii(low))
+    if pc.any(other).as_py():
+        low = pc.replace_with_mask(low, other, pa.array([folded(t) for t in low.filter(other).to_pylist()], pa.string()))
+    terms = low.dictionary_encode()
+    order = pc.sort_indices(terms.dictionary)
+    rank = np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    return terms.dictionary.take(order), rank[terms.indices.to_numpy()][coded.indices.to_numpy()]
+
+
+def gathered(ids: pa.Array, texts: pa.Array, field: str) -> tuple[list[pa.Array], np.ndarray]:
+    """The blocks of texts in lower case, by term, as columns (none if there are no tokens), and how many tokens each text has."""
+    sizes = np.zeros(len(texts), np.int32)
+    texts = pc.ascii_trim(pc.replace_substring_regex(texts, "[^" + TOKEN[1:], " "), " ")
+    filled = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    if not len(filled):
+        return [], sizes
+    words = pc.split_pattern(texts.take(pa.array(filled)), " ")
+    sizes[filled] = count = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    terms, code = _terms(words.flatten())
+    # words are in the order of their rows; two stable passes by 16 bits put them in the order of their terms
+    by = np.argsort(code.astype(np.uint16), kind="stable")
+    by = by[np.argsort((code >> 16).astype(np.uint16)[by], kind="stable")]
+    code, row = code[by], np.repeat(np.arange(len(filled), dtype=np.int32), count)[by]
+    place = by - (np.cumsum(count) - count)[row]
+    at = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1]))))
+    ends = np.append(at, len(code))
+    code, row = code[at], row[at]
+    new = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    block = np.flatnonzero((np.arange(len(code)) - np.repeat(new, np.diff(np.append(new, len(code))))) % BLOCK == 0)
+    edge = np.append(block, len(code))
+    # each block has an edge more than documents
+    inside = np.arange(len(code) + len(block)) - np.repeat(np.arange(len(block)), np.diff(edge) + 1)
+    offsets = ends[inside] - np.repeat(at[block], np.diff(edge) + 1)
+    listed = lambda offset, values: pa.ListArray.from_arrays(pa.array(offset, pa.int32()), values)
+    return [
+        terms.take(pa.array(code[block])),
+        pa.array([field]).take(pa.array(np.zeros(len(block), np.int32))),
+        listed(edge, ids.take(pa.array(filled[row]))),
+        listed(edge + np.arange(len(edge)), pa.array(offsets, pa.int32())),
+        listed(ends[edge], pa.array(place, pa.int32())),
+        pa.nulls(len(block), pa.list_(pa.int32())),
+    ], sizes
+
+
+COLUMNS = ["term", "field", "ids", "at", "positions", "sizes"]
+
+
+def _in_blocks(fields: tuple[str, ...]):
+    """(doc_id, a text in lower case a field) to COLUMNS: blocks, and rows without a term that hold ids and sizes of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            held = np.cumsum(sum(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in x.columns[1:]))
+            start = 0
+            while start < len(held):
+                stop = max(start + 1, int(np.searchsorted(held, (held[start - 1] if start else 0) + PART, "right")))
+                ids, *texts = x.slice(start, stop - start).columns
+                total = np.zeros(len(ids), np.int32)
+                for field, text in zip(fields, texts, strict=True):
+                    made, sizes = gathered(ids, text, field)
+                    total += sizes
+                    if made:
+                        yield pa.RecordBatch.from_arrays(made, COLUMNS)
+                edge = pa.array([*range(0, len(ids), BLOCK), len(ids)], pa.int32())
+                none, no_list = (pa.nulls(len(edge) - 1, t) for t in (pa.string(), pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([none, none, pa.ListArray.from_arrays(edge, ids), no_list, no_list, pa.ListArray.from_arrays(edge, pa.array(total))], COLUMNS)
+                start = stop
+
+    return run
 
 
 def build(docs: DataFrame, fields: dict[str, str | None], id_col: str = "doc_id") -> Index:
     """fields: name in queries -> column (None: the same name). Positions restart in each field. Rows that share an id
     are one document, with a row each in stats."""
-    held = [F.struct(F.lit(name).alias("field"), _let(tokens(F.col(column or name)), lambda t: F.struct(F.size(t).alias("n"), _grouped(t).alias("terms"))).alias("of")) for name, column in fields.items()]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.array(*held).alias("x"))
-    total = F.aggregate("x", F.lit(0), lambda n, f: n + f["of"]["n"])
-    rows = written(rows.select("doc_id", total.alias("doc_len"), F.transform("x", lambda f: F.struct(f["field"].alias("field"), f["of"]["terms"].alias("terms"))).alias("x")), "index")
-    parts = rows.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.field", F.explode("x.terms").alias("t"))
-    each = parts.select(F.col("t.term").alias("term"), "doc_id", "field", F.size("t.positions").alias("tf"), "t.positions")
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.lower(F.coalesce(F.col(column or name), F.lit(""))).alias(f"t{i}") for i, (name, column) in enumerate(fields.items())])
+    ints = ArrayType(IntegerType())
+    types = [StringType(), StringType(), ArrayType(rows.schema["doc_id"].dataType), ints, ints, ints]
+    made = StructType([StructField(name, t) for name, t in zip(COLUMNS, types, strict=True)])
+    held = written(rows.mapInArrow(_in_blocks(tuple(fields)), made), "index")
+    blocks = held.where("term IS NOT NULL").drop("sizes")
+    stats = held.where("term IS NULL").select("sizes", F.posexplode("ids").alias("k", "doc_id")).select("doc_id", F.col("sizes")[F.col("k")].alias("doc_len"))
+    each = _apart(blocks)
+    again = stats.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
     if not again.isEmpty():
         several = F.col("doc_id").eqNullSafe(F.col("_id"))
         merged = each.join(again, several, "left_semi").groupBy("term", "doc_id", "field").agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
         each = each.join(again, several, "left_anti").unionByName(merged)
-    return Index(each, rows.select("doc_id", "doc_len"), tuple(fields))
+        blocks = None
+    return Index(each, stats, tuple(fields), blocks)
 
 
 def document_frequency(index: Index) -> DataFrame:

@@ -209,7 +209,7 @@ class Store:
             return {}
         made = None if rows is None else build(rows, dict.fromkeys(self.index), "id")
         key = gone.select(F.col("id").alias("doc_id"))
-        return {"postings": (made and made.postings, key), "doc_stats": (made and made.stats, key)}
+        return {"postings": (made and made.dealt(), key), "doc_stats": (made and made.stats, key)}
 
     def is_empty(self) -> bool:
         return self.table("notes").isEmpty() or self.table("note_chunks").isEmpty()
@@ -231,8 +231,8 @@ class Store:
             df = df.withColumn("embedding", F.when(ok, F.col("embedding")).otherwise(F.raise_error(F.lit(f"vectors must have {self.dimension} dimensions")).cast("array<float>")))
         return df.select(*self.schemas[name].names)
 
-    def _write(self, name: str, df: DataFrame, path: str) -> None:
-        (dealt(df) if name == "postings" else df).write.parquet(path)
+    def _write(self, name: str, df: DataFrame, path: str, ready: bool = False) -> None:
+        (dealt(df) if name == "postings" and not ready else df).write.parquet(path)
 
     def _unique(self, name: str, rows: DataFrame, stored: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """What must be unique is so among the rows, and between them and the stored rows that stay."""
@@ -252,28 +252,28 @@ class Store:
         """Writes whole versions, checks unique keys and vector lengths, then commits them all. A failure before that
         leaves all as it was. With notes, their index is written whole."""
         at, lists = self.state(), {}
-        if self.index and "notes" in tables and "postings" not in tables:
+        if ready := bool(self.index) and "notes" in tables and "postings" not in tables:
             made = build(tables["notes"], dict.fromkeys(self.index), "id")
-            tables = tables | {"postings": made.postings, "doc_stats": made.stats}
+            tables = tables | {"postings": made.dealt(), "doc_stats": made.stats}
         for name, df in tables.items():
             lists[name] = [uuid.uuid4().hex]
             path = f"{self.root}/{name}/{lists[name][0]}"
-            self._write(name, self._checked(name, df), path)
+            self._write(name, self._checked(name, df), path, ready)
             self._unique(name, self.spark.read.schema(self.schemas[name]).parquet(path))
         self._commit(at, lists)
 
-    def merge(self, changes: dict[str, tuple[DataFrame | None, DataFrame]], at: State | None = None) -> None:
+    def merge(self, changes: dict[str, tuple[DataFrame | None, DataFrame]], at: State | None = None, ready: bool = False) -> None:
         """Of each table the rows to add (None: none) and the keys, by column, of the rows that they take the place of.
 
         at: the state that the changes were made from; Conflict if it is no longer the last. What is unique must be so
-        among the rows added, and between them and the stored rows that stay.
+        among the rows added, and between them and the stored rows that stay. ready: postings are dealt already.
         """
         at, lists = at or self.state(), {}
         for name, (rows, gone) in changes.items():
             version = uuid.uuid4().hex
             lists[name] = [*at.lists[name], version]
             rows = self.spark.createDataFrame([], self.schemas[name]) if rows is None else rows
-            self._write(name, self._checked(name, rows), f"{self.root}/{name}/{version}/rows")
+            self._write(name, self._checked(name, rows), f"{self.root}/{name}/{version}/rows", ready)
             gone.distinct().write.parquet(f"{self.root}/{name}/{version}/gone")
             self._unique(name, self._change(name, version)[0], self.table(name, at), self._change(name, version)[1])
         self._commit(at, lists)
@@ -310,7 +310,7 @@ class Store:
         rows = written(changed_notes(self.tables(at), notes, splitter, embedder)[0], "notes")
         chunks = make_chunks(rows.where("content <> ''"), self.table("categories", at), splitter, embedder)
         gone = rows.select("id")
-        self.merge({"notes": (rows, gone), "note_chunks": (chunks, rows.select(F.col("id").alias("note_id"))), **self._indexed(rows, gone)}, at)
+        self.merge({"notes": (rows, gone), "note_chunks": (chunks, rows.select(F.col("id").alias("note_id"))), **self._indexed(rows, gone)}, at, ready=True)
 
     def remove(self, ids: list[int] | DataFrame) -> int:
         """Notes go with their chunks, vectors, tags and postings; how many there were. ids: a list or a table (id)."""
@@ -360,7 +360,7 @@ class MemoryStore(Store):
             self._unique(name, df)
         self.held.update(new)
 
-    def merge(self, changes: dict[str, tuple[DataFrame | None, DataFrame]], at: State | None = None) -> None:
+    def merge(self, changes: dict[str, tuple[DataFrame | None, DataFrame]], at: State | None = None, ready: bool = False) -> None:
         out = {}
         for name, (rows, gone) in changes.items():
             kept = self.table(name).join(gone.distinct(), gone.columns, "left_anti").select(*self.schemas[name].names)
