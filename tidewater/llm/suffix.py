@@ -6,18 +6,23 @@ task, so texts are dealt by content first: of the grams inside each window of LE
 piece of text. Pieces alike are one, with their number: they repeat as a whole. Pieces whose anchor occurs nowhere else
 are done. The rest, where one anchor has several different pieces, are gathered by anchor in bounded buckets.
 
+Words are dealt in the same way and beside them, as sequences of WORDS words that start anywhere else too, whatever stands
+between their words: passages of over 50 words may have fewer than LENGTH bytes. They remove nothing and are counted.
+
 An anchor with more than `hot` bytes of pieces would outgrow a bucket. Its pieces are cut into shorter ones, by where the
 anchor lies in a window, and each gets a finer anchor: the bytes that all windows of its cut share. The same steps
 follow, again and again with an eighth of the windows, until every anchor fits a bucket; a piece of one window has
 nothing to be told apart from.
 
-A bucket's pieces are concatenated with unique ends, and their transform is taken. Breadth-first backward extension
+In a bucket a piece is left out if it shares with no other piece of its anchor what all windows of an eighth of their
+places have in common, so none of its windows can be shared. The others are concatenated with unique ends, and their
+transform is taken. Breadth-first backward extension
 derives the common prefixes of neighbouring suffixes by increasing value: an interval of suffixes that share l bytes is
 cut where they differ next, and each cut, extended to the left by every byte that stands before both sides, gives the
 cuts at l + 1. Only the smaller sides are visited. At LENGTH it stops: what then still lies in one interval shares that
 many bytes.
 
-Pieces are told apart by 128 bits of hash. Defined results: a null text is empty; texts shorter than LENGTH keep all;
+Pieces are told apart by 128 bits of hash, half of them their anchor's and half their own, by another base. Defined results: a null text is empty; texts shorter than LENGTH keep all;
 rows alike in id and text are two texts that repeat each other; further columns, whatever their names, are not read; an
 empty table gives no rows.
 """
@@ -36,6 +41,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import Cuts, bounded_batches, texts_of, typed_id
 
 LENGTH, GRAM = 400, 64
+#: Of passages that are counted: words, and words of an anchor.
+WORDS, WORD_GRAM = 51, 12
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BUCKET, HOT = 1 << 20, 1 << 20
 #: A hot anchor's pieces are cut to at most this share of their windows.
@@ -59,13 +66,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+@functools.lru_cache(8)
+def inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
 class Hashes:
-    """Hashes of any ranges of a text: polynomial prefix sums modulo 2^64."""
+    """Hashes of any ranges of a text's bytes or numbered words: polynomial prefix sums modulo 2^64."""
 
     def __init__(self, data: np.ndarray, base: int):
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power(base, len(data)), out=self.sums[1:])
-        self.inverse = power(pow(base, -1, 1 << 64), len(data) + 1)
+        self.inverse = power(inverse(base), len(data) + 1)
 
     def of(self, start: np.ndarray | slice, stop: np.ndarray | slice) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.inverse[start])
@@ -80,13 +92,29 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def pieces(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(start, stop, at, h, c1, c2) of each piece: windows start in [start, stop - length]; at, h: its anchor, c1 and c2: its own hashes."""
-    n = len(text)
-    if n < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
+def word_ranges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words (what stands between the six ASCII blanks) start and stop."""
     data = np.frombuffer(text, np.uint8)
-    one, two = Hashes(data, BASES[0]), Hashes(data, BASES[1])
+    blank = np.concatenate(([True], (data == 32) | ((data >= 9) & (data <= 13)), [True]))
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    return edge[::2], edge[1::2]
+
+
+def hashed(text: bytes, words: bool) -> tuple[Hashes, Hashes]:
+    data = np.frombuffer(text, np.uint8)
+    both = [Hashes(data, base) for base in BASES]
+    return tuple(by_word(both, *word_ranges(text)) if words else both)
+
+
+def by_word(both: list[Hashes], start: np.ndarray, stop: np.ndarray) -> list[Hashes]:
+    return [Hashes(x.of(start, stop), base) for x, base in zip(both, BASES, strict=True)]
+
+
+def pieces(one: Hashes, two: Hashes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(start, stop, at, h, c) of each piece: windows start in [start, stop - length]; at, h: its anchor, c: its own hash."""
+    n = len(one.sums) - 1
+    if n < length:
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     g = one.of(slice(0, n - gram + 1), slice(gram, n + 1))
     key = (g & ~U32) | (U32 - np.arange(len(g), dtype=np.uint64))
     anchor = (U32 - (sliding_min(key, length - gram + 1) & U32)).astype(np.int64)
@@ -94,18 +122,26 @@ def pieces(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     stop = np.concatenate((start[1:], [len(anchor)])) + length - 1
     at = anchor[start]
     shape = mix((at - start).astype(np.uint64) * np.uint64(BASES[1]) + (stop - start).astype(np.uint64))
-    return start, stop, at, g[at], mix(one.of(start, stop) ^ shape), two.of(start, stop) + shape
+    return start, stop, at, g[at], mix(two.of(start, stop) ^ shape)
+
+
+def both_pieces(text: bytes, length: int, gram: int, words: int, word_gram: int) -> list[np.ndarray]:
+    """(words, start, stop, at, h, c) of a text's pieces by bytes and by words, all placed by bytes."""
+    both = list(hashed(text, False))
+    a, b = word_ranges(text)
+    plain = pieces(*both, length, gram)
+    start, stop, at, *keys = pieces(*by_word(both, a, b), words, word_gram)
+    flag = np.repeat([False, True], [len(plain[0]), len(start)])
+    return [flag, *(np.concatenate(x) for x in zip(plain, (a[start], b[stop - 1], a[at], *keys), strict=True))]
 
 
-def finer(piece: bytes, at: int, h: int, size: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(start, stop, h, c1, c2) of the shorter pieces of a piece with its anchor at `at`, of `size` windows at most.
+def finer(one: Hashes, two: Hashes, at: int, h: int, size: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(start, stop, h, c) of the shorter pieces of a piece with its anchor at `at`, of `size` windows at most.
 
     Windows are cut where the anchor's place in them is a multiple of size. The bytes common to all windows that such a
     cut can have are the finer anchor, whether the piece has all of them or not, so equal windows have equal ones.
     """
-    data = np.frombuffer(piece, np.uint8)
-    one, two = Hashes(data, BASES[0]), Hashes(data, BASES[1])
-    place = at - np.arange(len(data) - length + 1)
+    place = at - np.arange(len(one.sums) - length)
     cut = place // size
     start = np.flatnonzero(np.concatenate(([True], cut[1:] != cut[:-1])))
     stop = np.concatenate((start[1:], [len(place)])) + length - 1
@@ -113,22 +149,24 @@ def finer(piece: bytes, at: int, h: int, size: int, length: int = LENGTH) -> tup
     inside = at - cut * size
     key = mix(one.of(inside, inside - size + 1 + length) ^ mix(cut.astype(np.uint64) * np.uint64(BASES[1]) + np.uint64(h % (1 << 64))))
     shape = mix((at - start).astype(np.uint64) * np.uint64(BASES[1]) + (stop - start).astype(np.uint64))
-    return start, stop, key, mix(one.of(start, stop) ^ shape), two.of(start, stop) + shape
+    return start, stop, key, mix(two.of(start, stop) ^ shape)
 
 
 def suffix_order(t: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array (suffixes that share `depth` bytes in any order), by prefix doubling of what is left.
 
-    t: values 1..256, 0 at the ends, which all differ.
+    t: values from 1 on (256 of bytes), 0 at the ends, which all differ.
     """
     n = len(t)
+    bits = max(1, int(t.max()).bit_length())
+    first = 63 // bits
     key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = (key << 9) | np.pad(t[k:], (0, min(k, n))).astype(np.int64)
+    for k in range(first):
+        key = (key << bits) | np.pad(t[k:], (0, min(k, n))).astype(np.int64)
     # nothing behind a suffix's end counts
     to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    near = to_end < 7
-    key[near] &= ~((np.int64(1) << (9 * (6 - to_end[near]))) - 1)
+    near = to_end < first
+    key[near] &= ~((np.int64(1) << (bits * (first - 1 - to_end[near]))) - 1)
     sa = np.argsort(key)
     # equal ends, and what stands before them, follow the order of the texts
     slots = np.flatnonzero(near[sa])
@@ -137,7 +175,7 @@ def suffix_order(t: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     new = np.concatenate(([True], (key[1:] != key[:-1]) | near[sa[1:]]))
     rank = np.empty(n, np.int64)
     rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    size = 7
+    size = first
     while size < depth:
         tied = np.concatenate((~new[1:], [False])) | ~new
         slots = np.flatnonzero(tied)
@@ -163,11 +201,30 @@ def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which], which
 
 
-def repeats(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """Starts, in each text, of strings of this length that start at another place of the texts too."""
+def likely(data: np.ndarray, sizes: np.ndarray, at: np.ndarray, h: np.ndarray, length: int, gram: int, parts: int = 8) -> np.ndarray:
+    """Which pieces may share a window with another one of their anchor h; data: all of them in a row, at: the anchor's place.
+
+    Windows are told by the anchor's place in them, cut into parts. Those of a part have a string around the anchor in common.
+    """
+    first, whole, keep = np.cumsum(sizes) - sizes + at, Hashes(data, BASES[0]), np.zeros(len(sizes), bool)
+    for places in np.array_split(np.arange(length - gram + 1), parts):
+        if len(places):
+            before, after = places[0], length - places[-1]
+            has = np.flatnonzero((at >= before) & (at + after <= sizes))
+            key = mix(whole.of(first[has] - before, first[has] + after) ^ mix(h[has]))
+            _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+            keep[has[n[which] > 1]] = True
+    return keep
+
+
+def repeats(texts: list[bytes] | list[np.ndarray], length: int = LENGTH) -> list[np.ndarray]:
+    """Starts, in each text, of strings of this length that start at another place of the texts too. Texts: bytes, or numbers."""
     sizes = np.array([len(x) + 1 for x in texts])
     ends = np.cumsum(sizes) - 1
-    t = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int32) + 1
+    if isinstance(texts[0], bytes):
+        t = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int32) + 1
+    else:
+        t = np.concatenate([y for x in texts for y in (x, [0])]).astype(np.int32) + 1
     t[ends] = 0
     n = len(t)
     sa = suffix_order(t, ends, length)
@@ -236,70 +293,116 @@ def keyed(docs: DataFrame) -> DataFrame:
     return texts_of(docs.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("mark", F.xxhash64("text"))
 
 
-SPAN = "doc_id string, mark long, start long, stop long"
+SPAN = "doc_id string, mark long, words boolean, start long, stop long"
 PIECE = SPAN + ", at long, n long, h long"
+KIND = ["words", "h", "c"]
 
 
 def told_apart(rows: DataFrame, cuts: Cuts, hot: int, *more: str) -> tuple[DataFrame, DataFrame, int]:
     """What repeats as a whole (SPAN); one of each kind of the pieces that may repeat in part, and their bytes but for hot ones.
 
-    rows: PIECE, c1, c2 and more. n: how many pieces a row stands for.
+    rows: PIECE, c and more. n: how many pieces a row stands for.
     """
     one = F.min(F.struct("doc_id", "mark", "start", "stop", "at", *more)).alias("one")
-    kinds = cuts.write(rows.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), one))
-    whole = rows.where("n = 1").join(kinds.where("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("doc_id", "mark", "start", "stop")
+    kinds = cuts.write(rows.groupBy(*KIND).agg(F.sum("n").alias("n"), one))
+    cuts.sweep()
+    whole = cuts.write(rows.where("n = 1").join(kinds.where("n > 1").select(*KIND), KIND, "left_semi").select("doc_id", "mark", "words", "start", "stop"))
+    cuts.sweep()
     # anchors with different pieces, at least one of which is alone
     size = F.sum(F.col("one.stop") - F.col("one.start"))
-    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), size.alias("bytes")).where("kinds > 1 and least = 1")
-    anchors = cuts.write(anchors.select("h", "bytes", (F.col("bytes") > hot).alias("hot")))
+    anchors = kinds.groupBy("words", "h").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), size.alias("bytes")).where("kinds > 1 and least = 1")
+    anchors = cuts.write(anchors.select("words", "h", "bytes", (F.col("bytes") > hot).alias("hot")))
     fits = anchors.where("not hot").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    return whole, kinds.join(anchors.select("h", "hot"), "h").select("one.*", "n", "h", "hot"), fits
-
-
-def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
-    """(doc_id, mark, start, stop): ranges of bytes that go; they may overlap."""
+    return whole, kinds.join(anchors.select("words", "h", "hot"), ["words", "h"]).select("one.*", "n", "words", "h", "hot"), fits
+
+
+def shared(x: pd.DataFrame, words: bool, length: int, gram: int) -> list[tuple[int, int, int]]:
+    """(row, start, stop) of what a bucket's pieces share, a piece a row."""
+    at = (x["at"] - x["start"]).to_numpy()
+    if words:
+        texts = [p.split() for p in x["piece"]]
+        sizes, data = np.array([len(t) for t in texts]), pd.factorize(np.array([w for t in texts for w in t], object))[0]
+        at = np.array([len(p[:k].split()) for p, k in zip(x["piece"], at, strict=True)])
+        texts = np.split(data, np.cumsum(sizes)[:-1])
+    else:
+        texts = x["piece"].tolist()
+        sizes, data = np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8)
+    rows = np.flatnonzero(likely(data, sizes, at, x["h"].to_numpy().astype(np.uint64), length, gram))
+    made = []
+    for i, found in zip(rows.tolist(), repeats([texts[i] for i in rows], length) if len(rows) else [], strict=True):
+        if x["n"].iat[i] == 1 and len(found):
+            first = x["start"].iat[i]
+            if words:
+                starts, stops = word_ranges(x["piece"].iat[i])
+                made += [(i, first + int(starts[a]), first + int(stops[b - 1])) for a, b in runs(found, length)]
+            else:
+                made += [(i, first + a, first + b) for a, b in runs(found, length)]
+    return made
+
+
+def repeated_spans(
+    docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, hot: int = HOT, words: int = WORDS, word_gram: int = WORD_GRAM
+) -> DataFrame:
+    """(doc_id, mark, words, start, stop): ranges of bytes that go or, with words, whose words are counted; they may overlap."""
     rows = keyed(docs)
+    units = {False: (length, gram), True: (words, word_gram)}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            made = [pieces(t.encode(), length, gram) for t in x["text"]]
+            made = [both_pieces(t.encode(), length, gram, words, word_gram) for t in x["text"]]
             count = [len(m[0]) for m in made]
-            out = {k: np.concatenate([m[i] for m in made]).astype(np.int64) for i, k in enumerate(("start", "stop", "at", "h", "c1", "c2"))}
+            out = {"words": np.concatenate([m[0] for m in made])}
+            out |= {k: np.concatenate([m[i] for m in made]).astype(np.int64) for i, k in enumerate(("start", "stop", "at", "h", "c"), 1)}
             yield pd.DataFrame({"doc_id": x["doc_id"].repeat(count).reset_index(drop=True), "mark": x["mark"].repeat(count).to_numpy(), "n": 1} | out)
 
-    long = rows.where(F.octet_length("text") >= length)
-    every = cuts.write(long.mapInPandas(cut, PIECE + ", c1 long, c2 long"))
+    long = rows.where(F.octet_length("text") >= min(length, 2 * words - 1))
+    every = cuts.write(long.mapInPandas(cut, PIECE + ", c long"))
     whole, left, total = told_apart(every, cuts, hot)
-    spans = [cuts.write(whole)]
-    lists = left.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "n", "hot", "at", "start", "stop")).alias("wanted"))
-    lists = lists.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    spans = [whole]
+    lists = left.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("h", "n", "hot", "words", "at", "start", "stop")).alias("wanted"))
+    lists = cuts.write(lists.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}))
+    # texts are shuffled next, so what was before must not lie beside them
+    cuts.only(whole, lists)
     held = long.join(lists, long["doc_id"].eqNullSafe(lists["_id"]) & (long["mark"] == lists["_mark"])).drop("_id", "_mark").dropDuplicates(["doc_id", "mark"])
-    names = ["doc_id", "mark", "start", "stop", "at", "n", "h", "hot", "piece"]
+    names = ["doc_id", "mark", "words", "start", "stop", "at", "n", "h", "hot", "piece"]
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            made = []
+            made, size = [], 0
             for doc_id, mark, text, want in zip(x["doc_id"], x["mark"], x["text"], x["wanted"], strict=True):
                 data = text.encode()
-                made += [(doc_id, mark, w["start"], w["stop"], w["at"], w["n"], w["h"], w["hot"], data[w["start"] : w["stop"]]) for w in want]
+                for w in want:
+                    made.append((doc_id, mark, w["words"], w["start"], w["stop"], w["at"], w["n"], w["h"], w["hot"], data[w["start"] : w["stop"]]))
+                    size += w["stop"] - w["start"]
+                    if size > 1 << 22:
+                        yield pd.DataFrame(made, columns=names)
+                        made, size = [], 0
             yield pd.DataFrame(made, columns=names)
 
     held = cuts.write(held.mapInPandas(take, PIECE + ", hot boolean, piece binary"))
-    fitting, size = [held.where("not hot")], length - gram + 1
+    cuts.sweep()
+    fitting, sizes = [held.where("not hot")], {unit: a - b + 1 for unit, (a, b) in units.items()}
 
-    def shorten(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    def shorten(batches: Iterator[pd.DataFrame], sizes: dict[bool, int]) -> Iterator[pd.DataFrame]:
         for x in batches:
             made = []
-            for doc_id, mark, start, at, n, h, piece in zip(x["doc_id"], x["mark"], x["start"], x["at"], x["n"], x["h"], x["piece"], strict=True):
-                for a, b, *keys in zip(*(k.astype(np.int64).tolist() for k in finer(piece, at - start, h, size, length)), strict=True):
-                    made.append((doc_id, mark, start + a, start + b, at, n, *keys, piece[a:b]))
-            yield pd.DataFrame(made, columns=["doc_id", "mark", "start", "stop", "at", "n", "h", "c1", "c2", "piece"])
-
-    while size > 1 and not (now := held.where("hot")).isEmpty():
-        size = -(-size // FINER)
-        shorter = cuts.write(now.mapInPandas(functools.partial(shorten, size=size), PIECE + ", c1 long, c2 long, piece binary"))
+            for doc_id, mark, unit, start, at, n, h, piece in zip(x["doc_id"], x["mark"], x["words"], x["start"], x["at"], x["n"], x["h"], x["piece"], strict=True):
+                own = at - start
+                first = np.arange(len(piece) + 1)
+                last = first[1:]
+                if unit:
+                    first, last = word_ranges(piece)
+                    own = int(np.searchsorted(first, own))
+                for a, b, *keys in zip(*(k.astype(np.int64).tolist() for k in finer(*hashed(piece, unit), own, h, sizes[unit], units[unit][0])), strict=True):
+                    a, b = int(first[a]), int(last[b - 1])
+                    made.append((doc_id, mark, unit, start + a, start + b, at, n, *keys, piece[a:b]))
+            yield pd.DataFrame(made, columns=["doc_id", "mark", "words", "start", "stop", "at", "n", "h", "c", "piece"])
+
+    while max(sizes.values()) > 1 and not (now := held.where("hot")).isEmpty():
+        sizes = {unit: -(-size // FINER) for unit, size in sizes.items()}
+        shorter = cuts.write(now.mapInPandas(functools.partial(shorten, sizes=sizes), PIECE + ", c long, piece binary"))
         whole, left, fits = told_apart(shorter, cuts, hot, "piece")
-        spans.append(cuts.write(whole))
+        spans.append(whole)
         held = cuts.write(left.select(*names))
         fitting.append(held.where("not hot"))
         total += fits
@@ -309,12 +412,14 @@ def repeated_spans(docs: DataFrame, cuts: Cuts, length: int = LENGTH, gram: int
 
     def expand(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["h", "start"], ignore_index=True)
-        made = [(i, s + a, s + b) for i, (s, n, found) in enumerate(zip(x["start"], x["n"], repeats(x["piece"].tolist(), length), strict=True)) if n == 1 for a, b in runs(found, length)]
+        unit = bool(x["words"].iat[0])
+        made = shared(x, unit, *units[unit])
         at = [m[0] for m in made]
-        return pd.DataFrame({"doc_id": x["doc_id"].iloc[at].reset_index(drop=True), "mark": x["mark"].to_numpy()[at], "start": np.array([m[1] for m in made], np.int64), "stop": np.array([m[2] for m in made], np.int64)})
+        out = {"mark": x["mark"].to_numpy()[at], "words": unit, "start": np.array([m[1] for m in made], np.int64), "stop": np.array([m[2] for m in made], np.int64)}
+        return pd.DataFrame({"doc_id": x["doc_id"].iloc[at].reset_index(drop=True)} | out)
 
     gathered = functools.reduce(DataFrame.union, fitting).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    spans.append(cuts.write(gathered.groupBy("bucket").applyInPandas(lambda x: expand(x), SPAN)))
+    spans.append(cuts.write(gathered.groupBy("words", "bucket").applyInPandas(lambda x: expand(x), SPAN)))
     cuts.only(*spans)
     return functools.reduce(DataFrame.union, spans)
 
@@ -330,16 +435,17 @@ def merged(spans, size: int) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
-    """doc_id (a string), text (null: empty) and spans, an array of the ranges to remove (null: none): a row for each row of docs."""
+    """doc_id (a string), text (null: empty) and spans, an array of ranges (null: none): to remove or, with words, to count words in. A row for each row of docs."""
     bounded_batches(docs.sparkSession)
     spans = repeated_spans(docs, Cuts(docs.sparkSession), length, **limits)
-    lists = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    lists = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("words", "start", "stop")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
     rows = keyed(docs)
     return rows.join(lists, rows["doc_id"].eqNullSafe(lists["_id"]) & (rows["mark"] == lists["_mark"]), "left").select("doc_id", "text", "spans")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words (those in sequences of WORDS words that also start
+    elsewhere), kept (the bytes that stay)."""
     found = with_spans(docs, length, **limits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,10 +453,10 @@ def removed(docs: DataFrame, length: int = LENGTH, **limits: int) -> DataFrame:
             made = []
             for text, spans in zip(x["text"], x["spans"], strict=True):
                 data = text.encode()
-                gone = [] if spans is None else merged(spans, len(data))
+                gone, told = (merged((s for s in (() if spans is None else spans) if s["words"] == unit), len(data)) for unit in (False, True))
                 at = [0, *(y for r in gone for y in r), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
-                made.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.concat([x[["doc_id"]].reset_index(drop=True), pd.DataFrame(made, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])], axis=1)
+                made.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), sum(len(data[a:b].split()) for a, b in told), kept))
+            yield pd.concat([x[["doc_id"]].reset_index(drop=True), pd.DataFrame(made, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words", "kept"])], axis=1)
 
-    return typed_id(found.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), docs)
+    return typed_id(found.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long, kept binary"), docs)
