@@ -45,6 +45,8 @@ LENGTH, GRAM = 400, 64
 WORDS, WORD_GRAM = 51, 12
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BUCKET, HOT = 1 << 20, 1 << 20
+#: Bytes of texts that are cut at once.
+TOGETHER = 1 << 16
 #: A hot anchor's pieces are cut to at most this share of their windows.
 FINER = 8
 U32 = np.uint64(0xFFFFFFFF)
@@ -110,29 +112,48 @@ def by_word(both: list[Hashes], start: np.ndarray, stop: np.ndarray) -> list[Has
     return [Hashes(x.of(start, stop), base) for x, base in zip(both, BASES, strict=True)]
 
 
-def pieces(one: Hashes, two: Hashes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(start, stop, at, h, c) of each piece: windows start in [start, stop - length]; at, h: its anchor, c: its own hash."""
+def pieces(one: Hashes, two: Hashes, low: np.ndarray, high: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, start, stop, at, h, c) of each piece of the texts that lie in [low, high) of what is hashed.
+
+    Windows start in [start, stop - length]; at, h: its anchor, c: its own hash.
+    """
     n = len(one.sums) - 1
-    if n < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+    window, text = spread(low, np.maximum(low, high - length + 1))
+    if not len(window):
+        return (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
     g = one.of(slice(0, n - gram + 1), slice(gram, n + 1))
     key = (g & ~U32) | (U32 - np.arange(len(g), dtype=np.uint64))
-    anchor = (U32 - (sliding_min(key, length - gram + 1) & U32)).astype(np.int64)
-    start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    stop = np.concatenate((start[1:], [len(anchor)])) + length - 1
-    at = anchor[start]
+    anchor = (U32 - (sliding_min(key, length - gram + 1)[window] & U32)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))))
+    start, stop, at = window[first], window[np.append(first[1:], len(window)) - 1] + length, anchor[first]
     shape = mix((at - start).astype(np.uint64) * np.uint64(BASES[1]) + (stop - start).astype(np.uint64))
-    return start, stop, at, g[at], mix(two.of(start, stop) ^ shape)
+    return text[first], start, stop, at, g[at], mix(two.of(start, stop) ^ shape)
+
+
+def both_pieces(texts: list[bytes], length: int, gram: int, words: int, word_gram: int) -> list[np.ndarray]:
+    """(text, words, start, stop, at, h, c) of the pieces of some texts by bytes and by words, all placed by their text's bytes."""
+    size = np.array([len(t) + 1 for t in texts])
+    low, high = np.cumsum(size) - size, np.cumsum(size) - 1
+    whole = b" ".join(texts)
+    both = list(hashed(whole, False))
+    a, b = word_ranges(whole)
+    plain = pieces(*both, low, high, length, gram)
+    text, start, stop, at, *keys = pieces(*by_word(both, a, b), np.searchsorted(a, low), np.searchsorted(a, high), words, word_gram)
+    flag = np.repeat([False, True], [len(plain[0]), len(start)])
+    text, start, stop, at, *keys = (np.concatenate(x) for x in zip(plain, (text, a[start], b[stop - 1], a[at], *keys), strict=True))
+    return [text, flag, start - low[text], stop - low[text], at - low[text], *keys]
 
 
-def both_pieces(text: bytes, length: int, gram: int, words: int, word_gram: int) -> list[np.ndarray]:
-    """(words, start, stop, at, h, c) of a text's pieces by bytes and by words, all placed by bytes."""
-    both = list(hashed(text, False))
-    a, b = word_ranges(text)
-    plain = pieces(*both, length, gram)
-    start, stop, at, *keys = pieces(*by_word(both, a, b), words, word_gram)
-    flag = np.repeat([False, True], [len(plain[0]), len(start)])
-    return [flag, *(np.concatenate(x) for x in zip(plain, (a[start], b[stop - 1], a[at], *keys), strict=True))]
+def by_size(texts: list[bytes], size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in a row of some size together (a longer one alone), and where they start."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and held + len(text) > size:
+            yield first, texts[first:i]
+            first, held = i, 0
+        held += len(text)
+    if texts:
+        yield first, texts[first:]
 
 
 def finer(one: Hashes, two: Hashes, at: int, h: int, size: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -349,11 +370,14 @@ def repeated_spans(
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            made = [both_pieces(t.encode(), length, gram, words, word_gram) for t in x["text"]]
-            count = [len(m[0]) for m in made]
-            out = {"words": np.concatenate([m[0] for m in made])}
-            out |= {k: np.concatenate([m[i] for m in made]).astype(np.int64) for i, k in enumerate(("start", "stop", "at", "h", "c"), 1)}
-            yield pd.DataFrame({"doc_id": x["doc_id"].repeat(count).reset_index(drop=True), "mark": x["mark"].repeat(count).to_numpy(), "n": 1} | out)
+            made = []
+            for first, texts in by_size([t.encode() for t in x["text"]], TOGETHER):
+                text, *more = both_pieces(texts, length, gram, words, word_gram)
+                made.append([text + first, *more])
+            if made:
+                text, flag, *more = map(np.concatenate, zip(*made, strict=True))
+                out = {k: v.astype(np.int64) for k, v in zip(("start", "stop", "at", "h", "c"), more, strict=True)}
+                yield pd.DataFrame({"doc_id": x["doc_id"].iloc[text].reset_index(drop=True), "mark": x["mark"].to_numpy()[text], "words": flag, "n": 1} | out)
 
     long = rows.where(F.octet_length("text") >= min(length, 2 * words - 1))
     every = cuts.write(long.mapInPandas(cut, PIECE + ", c long"))
